@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """df written as Parquet to a new place in the shared scratch folder, and read back: a compact checkpoint."""
+    spark = df.sparkSession
+    path = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def map_texts(
     rows: DataFrame,
     text_function: Callable[[], Callable[[list], Iterable[tuple]]],
@@ -44,6 +54,8 @@ def map_texts(
 ) -> DataFrame:
     """Applies a function to the last column of rows, in chunks, and keeps the other columns before its results.
 
+    That column is a string, a binary, or a struct that begins with one.
+
     text_function() is called once in each task and returns a function from a list of values (str, bytes or None)
     to one tuple of results for each of them.
     """
@@ -60,7 +72,9 @@ def map_texts(
         apply = text_function()
         for batch in batches:
             start, size, sizes = 0, 0, batch.column(len(kept))
-            lengths = [0 if n is None else n for n in pa.compute.binary_length(sizes).to_pylist()]
+            if pa.types.is_struct(sizes.type):  # the text comes first in it
+                sizes = sizes.field(0)
+            lengths = [n or 0 for n in pc.binary_length(sizes).to_pylist()]
             for end, n in enumerate(lengths, 1):
                 size += n
                 if size >= CHUNK_BYTES or end == len(lengths):
