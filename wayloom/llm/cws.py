@@ -37,7 +37,7 @@ def signatures(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     words = words_of(F.col(text_col))
     rows = texts.select(*keys, F.col(text_col).alias("__text"), words.alias("__words"))
     own = F.array(F.xxhash64("__text"))
-    hashed = rows.select(*keys, F.when(F.size("__words") > 0, F.array_sort(F.transform("__words", lambda w: F.xxhash64(w)))).otherwise(own).alias("__h"))
+    hashed = rows.select(*keys, F.when(F.size("__words") > 0, F.sort_array(F.transform("__words", lambda w: F.xxhash64(w)))).otherwise(own).alias("__h"))
     at = F.filter(F.sequence(F.lit(0), F.size("__h") - 1), lambda i: (i == 0) | (F.get("__h", i) != F.get("__h", i - 1)))
     runs = hashed.select(*keys, "__h", at.alias("__at"))
     following = F.concat(F.slice("__at", 2, F.size("__at")), F.array(F.size("__h")))

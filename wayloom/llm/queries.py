@@ -13,7 +13,9 @@ from .bpe import bpe_decode, bpe_encode
 from .common import read
 from .cws import edited_likeness
 from .decontam import contamination, is_contaminated
+from .html import extract_text
 from .license import license_scan
+from .linededup import dedup_lines
 from .simhash import near_duplicates
 from .suffixes import remove_repeats
 from .tokencount import token_counts
@@ -59,6 +61,15 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(read(spark, sf_dir, "pages"))
+
+
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' texts without repeated lines."""
+    return dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -75,6 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_license": op5_license,
     "op6_decontamination": op6_decontamination,
+    "op7_html": op7_html,
+    "op8_lines": op8_lines,
     "op9_repeats": op9_repeats,
     "op10_fingerprints": op10_fingerprints,
 }
