@@ -104,6 +104,9 @@ def shared_ids(prints: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of its component, in docs' own columns; repeated rows go to one."""
-    first = near_duplicates(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col("component_id").alias("__first")).distinct()
-    return docs.join(first, docs[id_col] == first["__first"], "left_semi").dropDuplicates([id_col])
+    """The rows of docs but for those whose id is not the smallest of its component, in docs' own columns.
+
+    Of rows equal in id and text one stays; rows with a null id stay.
+    """
+    later = near_duplicates(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__later"))
+    return docs.join(later, docs[id_col] == later["__later"], "left_anti").dropDuplicates([id_col, text_col])
