@@ -1,4 +1,6 @@
 """All registered queries and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import w1
+
+QUERIES: dict = w1.QUERIES.copy()
+ORACLE_SQL: dict = w1.SQL.copy()
