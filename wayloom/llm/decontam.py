@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, materialise
 
 WINDOW = 13
 #: Windows of a block; a block takes some 150 bytes a window in each executor.
@@ -84,6 +84,7 @@ def contamination(
         F.sort_array(F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", "n")))).alias("hits"),
         F.collect_set("gram").alias("grams"),
     )
+    per = materialise(per)  # two uses follow; the scan of the texts shall run once
     # runs that touch or overlap become one
     merge = lambda acc, x: F.when(
         (F.size(acc) > 0) & (x["start"] <= F.element_at(acc, -1)["start"] + F.element_at(acc, -1)["n"]),
