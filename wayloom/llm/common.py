@@ -54,7 +54,7 @@ def map_texts(
 ) -> DataFrame:
     """Applies a function to the last column of rows, in chunks, and keeps the other columns before its results.
 
-    That column is a string, a binary, or a struct that begins with one.
+    That column is a string, a binary, or a struct that begins with one or with its size in bytes.
 
     text_function() is called once in each task and returns a function from a list of values (str, bytes or None)
     to one tuple of results for each of them.
@@ -72,9 +72,11 @@ def map_texts(
         apply = text_function()
         for batch in batches:
             start, size, sizes = 0, 0, batch.column(len(kept))
-            if pa.types.is_struct(sizes.type):  # the text comes first in it
+            if pa.types.is_struct(sizes.type):  # the text or its size comes first in it
                 sizes = sizes.field(0)
-            lengths = [n or 0 for n in pc.binary_length(sizes).to_pylist()]
+            if not pa.types.is_integer(sizes.type):
+                sizes = pc.binary_length(sizes)
+            lengths = [n or 0 for n in sizes.to_pylist()]
             for end, n in enumerate(lengths, 1):
                 size += n
                 if size >= CHUNK_BYTES or end == len(lengths):
