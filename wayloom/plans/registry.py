@@ -1,6 +1,9 @@
 """All registered queries and the SQL that gives the same rows."""
 
-from . import w1
+from . import w1, w3
 
-QUERIES: dict = w1.QUERIES.copy()
-ORACLE_SQL: dict = w1.SQL.copy()
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
+for _part in (w1, w3):
+    QUERIES |= _part.QUERIES
+    ORACLE_SQL |= _part.SQL
