@@ -7,9 +7,10 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decomposed(names: pd.Series) -> pd.Series:
     return names.map(lambda s: None if s is None else unicodedata.normalize("NFKD", s))
 
