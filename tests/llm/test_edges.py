@@ -1,8 +1,11 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and extra columns with clashing names."""
 
+import random
+
 import brute
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from wayloom.llm import bpe, cws, decontam, html, langid, license, linededup, simhash, suffixes, tokencount
 
@@ -92,3 +95,14 @@ def test_layout(spark):
     text = html.render(html.parse(page))
     assert text == "A & b\n\nc\n\nd e\n\n- f\n- g\n\n1   | 22\n333 | 4"
     assert html.extract_text(spark.createDataFrame([(1, None), (2, "<p"), (3, "<div>" * 5000 + "x")], "page_id long, html string").withColumnRenamed("x", "y")).count() == 3
+
+
+def test_lines_without_spaces(spark):
+    rng = random.Random(1)
+    base = "".join(rng.choice("0123456789abcdef") for _ in range(200))
+    cjk = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(200))
+    rows = [(1, base), (2, "Q" + base), (3, base[:100] + "Q" + base[100:]), (4, cjk), (5, "文" + cjk), (6, cjk[:100] + "文" + cjk[100:])]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(table(spark, rows)).collect()}
+    assert got == {1: base, 2: "", 3: "", 4: cjk, 5: "", 6: ""}
+    found = spark.createDataFrame([("abcdefghijé𝄞",), ("abc",)], "line string").select(linededup.shingle_hashes(F.col("line")).alias("h"), F.xxhash64(F.encode("line", "UTF-32")).alias("own")).collect()
+    assert len(set(found[0].h)) == 4 and found[1].h == [found[1].own]

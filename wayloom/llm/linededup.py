@@ -1,8 +1,7 @@
 """Fuzzy line deduplication, with DataFrame functions alone.
 
-A line's shingles are the SHINGLE characters from the start of each word on, and, in words of more than STEP
-characters, from every STEP-th character of the word on; case and outer white space do not count. Each shingle is
-hashed once onto a ring; BANDS * ROWS points divide the ring, and the first hash after each point is one minimum, as
+A line's shingles are all its runs of SHINGLE characters, or the line itself if it is shorter; case and outer white
+space do not count. Each shingle of each distinct line is hashed once onto a ring; BANDS * ROWS points divide the ring, and the first hash after each point is one minimum, as
 likely to agree between two lines as their Jaccard similarity is high. Lines that agree in all the minima of a band
 are candidates; candidates are compared by their exact Jaccard similarity; linked lines form components, and of each
 component the first line by document and place stays.
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 from .components import components
 
-SHINGLE, STEP, SIMILARITY = 9, 8, 0.8
+SHINGLE, SIMILARITY = 9, 0.8
 BANDS, ROWS = 8, 4
 #: Buckets of up to so many lines are compared pair by pair, larger ones with their first line, and then in finer buckets.
 SMALL_BUCKET = 16
@@ -30,8 +29,11 @@ def normal(line: Column) -> Column:
 
 def shingle_hashes(line: Column) -> Column:
     """Sorted hashes of a normal line's shingles, with repeats."""
-    found = F.regexp_extract_all(line, F.lit(rf"(?=(.{{1,{SHINGLE}}}))\S{{1,{STEP}}}\s*"), F.lit(1))
-    return F.sort_array(F.transform(found, lambda s: F.xxhash64(s)))
+    # four bytes a character, so that a shingle is cut out without counting from the line's start; as an argument the
+    # encoded line is not built anew for each shingle
+    at = lambda w: F.sequence(F.lit(1), F.greatest(F.octet_length(w) - (4 * SHINGLE - 1), F.lit(1)), F.lit(4))
+    cut = lambda w: F.transform(at(w), lambda i: F.xxhash64(F.substring(w, i, F.lit(4 * SHINGLE))))
+    return F.sort_array(F.get(F.transform(F.array(F.encode(line, "UTF-32")), cut), F.lit(0)))
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -44,7 +46,7 @@ def bands(lines: DataFrame) -> DataFrame:
     """(band, line_id): the bands of each distinct line."""
     points = BANDS * ROWS
     place = lambda h: F.shiftrightunsigned(h, 64 - (points - 1).bit_length()).cast("int")
-    hashed = lines.select(F.xxhash64("line").alias("line_id"), shingle_hashes(F.col("line")).alias("h"))
+    hashed = lines.select("line").distinct().select(F.xxhash64("line").alias("line_id"), shingle_hashes(F.col("line")).alias("h"))
     # signed order turns the ring by half, which is as good; the first hash of each sector, in order
     firsts = F.filter("h", lambda x, i: (i == 0) | (place(x) != place(F.get("h", i - 1))))
     sectors = hashed.select("line_id", F.map_from_entries(F.transform(firsts, lambda x: F.struct(place(x), x))).alias("m"), F.get("h", F.lit(0)).alias("any"))
@@ -57,7 +59,7 @@ def bands(lines: DataFrame) -> DataFrame:
     minima = sectors.select("line_id", filled.alias("s"))
     # element 0 is the filling of the last sectors; the rows of a band lie far apart on the ring
     keys = F.array(*(F.xxhash64(F.lit(b), *(F.get("s", F.lit(1 + b + BANDS * r)) for r in range(ROWS))) for b in range(BANDS)))
-    return minima.select("line_id", F.explode(keys).alias("band")).distinct()
+    return minima.select("line_id", F.explode(keys).alias("band"))
 
 
 def bucket_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
