@@ -106,3 +106,18 @@ def test_lines_without_spaces(spark):
     assert got == {1: base, 2: "", 3: "", 4: cjk, 5: "", 6: ""}
     found = spark.createDataFrame([("abcdefghijé𝄞",), ("abc",)], "line string").select(linededup.shingle_hashes(F.col("line")).alias("h"), F.xxhash64(F.encode("line", "UTF-32")).alias("own")).collect()
     assert len(set(found[0].h)) == 4 and found[1].h == [found[1].own]
+
+
+def test_lines_of_a_large_bucket(spark, monkeypatch):
+    """Families of lines that share every band with a hundred others and are near to none of its centres."""
+    rng = random.Random(2)
+    draw = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    rows = []
+    for family in range(60):
+        own = draw(300)
+        rows += [(3 * family + k, own + draw(6)) for k in range(3)]
+    one_band = lambda lines: lines.select("line").distinct().select(F.xxhash64("line").alias("line_id"), F.lit(7).cast("long").alias("band"))
+    monkeypatch.setattr(linededup, "bands", one_band)
+    monkeypatch.setattr(linededup, "BLOCK", 50)
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(table(spark, rows)).collect()}
+    assert got == {i: t if i % 3 == 0 else "" for i, t in rows}

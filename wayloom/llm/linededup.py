@@ -17,8 +17,12 @@ from .components import components
 
 SHINGLE, SIMILARITY = 9, 0.8
 BANDS, ROWS = 8, 4
-#: Buckets of up to so many lines are compared pair by pair, larger ones with their first line, and then in finer buckets.
+#: Buckets of up to so many lines are compared pair by pair, larger ones with some of their lines first.
 SMALL_BUCKET = 16
+#: The lines with the smallest id after each of these changes are the ones that a large bucket is compared with first.
+CENTRES = (0, 0x5DEECE66D1CE4E5B, 0x2545F4914F6CDD1D, 0x1B873593CC9E2D51)
+#: What remains of a large bucket is compared in blocks of so many lines, by sketches of so many words of 64 bits.
+BLOCK, SKETCH = 256, 4
 #: Words of 64 bits in the broadcast filter; it has this many rows at most.
 FILTER_WORDS = 1 << 20
 
@@ -59,28 +63,56 @@ def bands(lines: DataFrame) -> DataFrame:
     minima = sectors.select("line_id", filled.alias("s"))
     # element 0 is the filling of the last sectors; the rows of a band lie far apart on the ring
     keys = F.array(*(F.xxhash64(F.lit(b), *(F.get("s", F.lit(1 + b + BANDS * r)) for r in range(ROWS))) for b in range(BANDS)))
-    return minima.select("line_id", F.explode(keys).alias("band"))
+    # distinct for its shuffle, which both uses of the bands share
+    return minima.select("line_id", F.explode(keys).alias("band")).distinct()
 
 
 def bucket_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of the lines in each bucket, and the rows of buckets too large for all their pairs."""
-    sizes = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("line_id").alias("one")).where("n > 1")
+    """Pairs (a, b) of the lines in each small bucket and of large buckets' lines with centres, and the rows of large ones."""
+    centres = (F.min(F.col("line_id").bitwiseXOR(F.lit(c))).alias(f"c{k}") for k, c in enumerate(CENTRES))
+    sizes = rows.groupBy("band").agg(F.count("*").alias("n"), *centres).where("n > 1")
     shared = materialise(rows.join(sizes, "band"))
     large = shared.where(F.col("n") > SMALL_BUCKET)
     groups = shared.where(F.col("n") <= SMALL_BUCKET).groupBy("band").agg(F.collect_list("line_id").alias("all"))
     pairs = groups.select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b")).where("a < b")
-    stars = large.where("line_id <> one").select(F.col("one").alias("a"), F.col("line_id").alias("b"))
-    return pairs.union(stars), large.select("band", "line_id")
+    centre = F.explode(F.array(*(F.col(f"c{k}").bitwiseXOR(F.lit(c)) for k, c in enumerate(CENTRES))))
+    stars = large.select(centre.alias("a"), F.col("line_id").alias("b")).where("a <> b")
+    stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.union(stars).distinct(), large.select("band", "line_id", "n")
 
 
-def candidates(lines: DataFrame) -> DataFrame:
-    """Pairs that share a band. In a large bucket all lines meet the first, and those that share a second band too."""
-    pairs, large = bucket_pairs(bands(lines))
-    # the bands of these few lines are computed again rather than kept for all
-    named = lines.select(F.xxhash64("line").alias("line_id"), "line")
-    again = bands(members_only(named, large.select("line_id"))).withColumnRenamed("band", "other")
-    finer = large.join(again, "line_id").where("band <> other").select(F.xxhash64("band", "other").alias("band"), "line_id")
-    return pairs.union(bucket_pairs(finer)[0]).distinct()
+def sketch(hashes: Column) -> list[Column]:
+    """SKETCH words in which each hash of a set turns one bit: two sets differ in as many hashes as bits, or more."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    word = lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(SKETCH - 1))
+    turned = lambda k: F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: F.when(word(h) == k, acc.bitwiseXOR(bit(h))).otherwise(acc))
+    return [turned(k).alias(f"w{k}") for k in range(SKETCH)]
+
+
+def unlinked_pairs(large: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) in one large bucket that no links join yet and whose sketches leave a similarity of SIMILARITY open.
+
+    Sets of x and y hashes in all that reach it differ in (x + y) * (1 - SIMILARITY) / (1 + SIMILARITY) at most, so no
+    such pair is missed. Every pair of blocks is a group of its own, and the join gives only the pairs that pass.
+    """
+    rooted = large.join(roots, F.col("line_id") == F.col("node"), "left").select("band", "line_id", "n", F.coalesce("root", "line_id").alias("root"))
+    rooted = materialise(rooted)
+    several = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
+    left = rooted.join(several, "band")
+    drawn = sets.join(left.select("line_id").distinct(), "line_id", "left_semi").select("line_id", F.size("set").alias("size"), *sketch(F.col("set")))
+    rows = materialise(left.join(drawn, "line_id"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("line_id", "band"), blocks).cast("int")).withColumn("last", blocks - 1)
+    x = rows.withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence("block", "last"))).alias("x")
+    y = rows.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), "block"))).alias("y")
+    c = lambda side, name: F.col(f"{side}.{name}")
+    same = [c("x", k) == c("y", k) for k in ("band", "i", "j")]
+    apart = sum((F.bit_count(c("x", f"w{k}").bitwiseXOR(c("y", f"w{k}"))) for k in range(SKETCH)), F.lit(0))
+    open_ = apart <= (c("x", "size") + c("y", "size")) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6
+    met = same[0] & same[1] & same[2] & (c("x", "root") != c("y", "root")) & open_
+    met = met & ((c("x", "block") != c("y", "block")) | (c("x", "line_id") < c("y", "line_id")))
+    pairs = x.join(y, met).select(c("x", "line_id").alias("a"), c("y", "line_id").alias("b"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def members_only(lines: DataFrame, ids: DataFrame) -> DataFrame:
@@ -92,19 +124,29 @@ def members_only(lines: DataFrame, ids: DataFrame) -> DataFrame:
     return met.where(F.col("bits").bitwiseAND(F.col("bit")) != 0).drop("word", "bit", "bits")
 
 
-def links(lines: DataFrame) -> DataFrame:
-    """Verified links (a, b) between distinct lines: Jaccard similarity of SIMILARITY or more."""
-    pairs = materialise(candidates(lines))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("line_id")).distinct()
-    named = lines.select(F.xxhash64("line").alias("line_id"), "line")
-    texts = members_only(named, ids).dropDuplicates(["line_id"])
-    sets = texts.select("line_id", F.array_distinct(shingle_hashes(F.col("line"))).alias("set"))
-    sets = materialise(sets)
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of pairs with a Jaccard similarity of SIMILARITY or more."""
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common >= SIMILARITY * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
 
 
+def links(lines: DataFrame) -> DataFrame:
+    """Links (a, b) that join the distinct lines which verified pairs join: Jaccard similarity of SIMILARITY or more.
+
+    Of a large bucket all pairs count too: those with its centres first, then all that these have not joined.
+    """
+    pairs, large = bucket_pairs(bands(lines))
+    pairs = materialise(pairs)
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("line_id")).distinct()
+    named = lines.select(F.xxhash64("line").alias("line_id"), "line")
+    texts = members_only(named, ids).select("line_id", "line").distinct()
+    sets = materialise(texts.select("line_id", F.array_distinct(shingle_hashes(F.col("line"))).alias("set")))
+    roots = components(similar(pairs, sets))
+    rest = materialise(unlinked_pairs(large, sets, roots))
+    return roots.toDF("a", "b").union(similar(rest, sets))
+
+
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, at): the places of the lines that go, for every component of equal or similar lines all but the first."""
     lines = lines_of(docs, id_col, text_col)
