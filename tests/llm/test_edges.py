@@ -121,3 +121,21 @@ def test_lines_of_a_large_bucket(spark, monkeypatch):
     monkeypatch.setattr(linededup, "BLOCK", 50)
     got = {r.doc_id: r.text for r in linededup.dedup_lines(table(spark, rows)).collect()}
     assert got == {i: t if i % 3 == 0 else "" for i, t in rows}
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<html><head><title>T</title><p>Hello <b>you</b>", "Hello you"),
+        ("<html><head><meta charset=x>\n<script>no</script>Hello<p>you", "Hello\n\nyou"),
+        ("<head><title>T</title></head><p>a", "a"),
+        ("<head><title>T</title><body><p>a", "a"),
+        ("<p>a<select><option>b<option selected>c</select>d", "a\nb\nc\nd"),
+        ("<p>a <textarea>b &amp; c</textarea> d", "a b & c d"),
+        ("<p>a <svg><title>no</title><path d='x'/><text>b</text></svg> <math><mi>x</mi><mo>=</mo><mn>1</mn></math>", "a b x=1"),
+        ("<div><svg/>a<math/><p>b</div>", "a\n\nb"),
+        ("<div><svg hidden/>a<svg hidden />b", "ab"),
+    ],
+)
+def test_all_visible_text(page, text):
+    assert html.render(html.parse(page)) == text

@@ -19,13 +19,15 @@ from .common import map_texts
 #: Element names by how HTML treats them.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
-UNSEEN = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas svg math datalist select textarea".split())
+UNSEEN = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas datalist".split())
+#: Elements that may stand in a head; any other start tag, or text, ends it.
+IN_HEAD = frozenset("head title base basefont bgsound link meta noframes noscript script style template".split())
 BLOCK = frozenset(
     "address article aside blockquote body center details dd dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "header hgroup hr html legend li main menu nav ol p pre section summary table ul caption".split()
+    "header hgroup hr html legend li optgroup option main menu nav ol p pre section summary table ul caption".split()
 )
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure".split())
-CLOSES_P = BLOCK - frozenset("body html li dt dd caption legend summary".split()) | {"summary"}
+CLOSES_P = BLOCK - frozenset("body html li dt dd caption legend summary option optgroup".split()) | {"summary"}
 #: Which open elements a start tag ends, and the elements beyond which it does not look.
 IMPLIED_END = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir", "table"}),
@@ -38,6 +40,7 @@ IMPLIED_END = {
     "thead": ({"tbody", "thead", "tfoot", "caption", "colgroup"}, {"table"}),
     "tfoot": ({"tbody", "thead", "tfoot", "caption", "colgroup"}, {"table"}),
     "option": ({"option"}, {"select"}),
+    "optgroup": ({"option", "optgroup"}, {"select"}),
     "body": ({"head"}, {"html"}),
 }
 
@@ -81,9 +84,15 @@ def parse(page: str) -> Node:
         if name not in VOID:
             stack.append(node)
 
+    def text(part: str) -> None:
+        part = html.unescape(part)
+        if stack[-1].name == "head" and part.strip(" \t\n\f\r"):
+            stack.pop()
+        stack[-1].children.append(part)
+
     while m := TOKEN.search(page, at):
         if m.start() > at:
-            stack[-1].children.append(html.unescape(page[at : m.start()]))
+            text(page[at : m.start()])
         at = m.end()
         name = m[2] and m[2].lower()
         if not name:
@@ -98,6 +107,11 @@ def parse(page: str) -> Node:
             continue
         if name == "html":
             continue
+        if stack[-1].name == "head" and name not in IN_HEAD:
+            stack.pop()
+        if m[3].rstrip().endswith("/") and (name in ("svg", "math") or any(n.name in ("svg", "math") for n in stack)):
+            stack[-1].children.append(Node(name, attributes(m[3])))
+            continue
         if name in CLOSES_P:
             close({"p"}, {"td", "th", "table", "button", "li", "div", "section", "article"} - {"p"})
         if name in IMPLIED_END:
@@ -114,10 +128,10 @@ def parse(page: str) -> Node:
                 lower = re.sub("[A-Z]", lambda x: x.group().lower(), page)
             end = lower.find(f"</{name}", at)
             end = len(page) if end < 0 else end
-            stack[-1].children.append(page[at:end])
+            stack[-1].children.append(html.unescape(page[at:end]) if name == "textarea" else page[at:end])
             at = end
     if at < len(page):
-        stack[-1].children.append(html.unescape(page[at:]))
+        text(page[at:])
     return root
 
 
