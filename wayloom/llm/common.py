@@ -47,6 +47,24 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """batch in runs of rows whose column holds about CHUNK_BYTES.
+
+    That column is a string, a binary, or a struct that begins with one or with its size in bytes.
+    """
+    sizes = batch.column(column)
+    if pa.types.is_struct(sizes.type):  # the text or its size comes first in it
+        sizes = sizes.field(0)
+    if not pa.types.is_integer(sizes.type):
+        sizes = pc.binary_length(sizes)
+    start, size, lengths = 0, 0, sizes.to_pylist()
+    for end, n in enumerate(lengths, 1):
+        size += n or 0
+        if size >= CHUNK_BYTES or end == len(lengths):
+            yield batch.slice(start, end - start)
+            start, size = end, 0
+
+
 def map_texts(
     rows: DataFrame,
     text_function: Callable[[], Callable[[list], Iterable[tuple]]],
@@ -54,8 +72,6 @@ def map_texts(
 ) -> DataFrame:
     """Applies a function to the last column of rows, in chunks, and keeps the other columns before its results.
 
-    That column is a string, a binary, or a struct that begins with one or with its size in bytes.
-
     text_function() is called once in each task and returns a function from a list of values (str, bytes or None)
     to one tuple of results for each of them.
     """
@@ -71,20 +87,10 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = text_function()
         for batch in batches:
-            start, size, sizes = 0, 0, batch.column(len(kept))
-            if pa.types.is_struct(sizes.type):  # the text or its size comes first in it
-                sizes = sizes.field(0)
-            if not pa.types.is_integer(sizes.type):
-                sizes = pc.binary_length(sizes)
-            lengths = [n or 0 for n in sizes.to_pylist()]
-            for end, n in enumerate(lengths, 1):
-                size += n
-                if size >= CHUNK_BYTES or end == len(lengths):
-                    part = batch.slice(start, end - start)
-                    out = list(zip(*apply(part.column(len(kept)).to_pylist()), strict=True))
-                    columns = [part.column(i).cast(arrow.field(i).type) for i in range(len(kept))]
-                    columns += [pa.array(v, f.type) for v, f in zip(out, results, strict=True)]
-                    yield pa.RecordBatch.from_arrays(columns, schema=arrow)
-                    start, size = end, 0
+            for part in slices(batch, len(kept)):
+                out = list(zip(*apply(part.column(len(kept)).to_pylist()), strict=True))
+                columns = [part.column(i).cast(arrow.field(i).type) for i in range(len(kept))]
+                columns += [pa.array(v, f.type) for v, f in zip(out, results, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return rows.mapInArrow(run, schema)

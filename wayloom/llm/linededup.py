@@ -1,172 +1,297 @@
-"""Fuzzy line deduplication, with DataFrame functions alone.
+"""Fuzzy line deduplication.
 
-A line's shingles are all its runs of SHINGLE characters, or the line itself if it is shorter; case and outer white
-space do not count. Each shingle of each distinct line is hashed once onto a ring; BANDS * ROWS points divide the ring, and the first hash after each point is one minimum, as
-likely to agree between two lines as their Jaccard similarity is high. Lines that agree in all the minima of a band
-are candidates; candidates are compared by their exact Jaccard similarity; linked lines form components, and of each
-component the first line by document and place stays.
+A line's shingles are all its runs of SHINGLE characters; case and outer white space do not count, and a shorter line
+has equals alone. Each shingle is hashed once onto a ring of BANDS * ROWS sectors; the least hash of each sector is one
+minimum, as likely to agree between two lines as their Jaccard similarity is high. Lines that agree in all the minima
+of a band share a bucket. Every line of a bucket is compared with the bucket's centres, four of its lines, then, whatever these links have
+not joined, with all the rest of the bucket, block by block behind a bound on the similarity; a pair counts by its exact
+Jaccard similarity. Linked lines form components, and of each component the first line by document and place stays.
+
+Texts are cut and hashed in Arrow batches with numpy, as are the pairs; see the README for why this is not done by
+DataFrame functions alone. All grouping, joining and shuffling is Spark's.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
-from .common import materialise
+from .common import map_texts, materialise, slices
 from .components import components
 
 SHINGLE, SIMILARITY = 9, 0.8
-BANDS, ROWS = 8, 4
-#: Buckets of up to so many lines are compared pair by pair, larger ones with some of their lines first.
-SMALL_BUCKET = 16
-#: The lines with the smallest id after each of these changes are the ones that a large bucket is compared with first.
-CENTRES = (0, 0x5DEECE66D1CE4E5B, 0x2545F4914F6CDD1D, 0x1B873593CC9E2D51)
-#: What remains of a large bucket is compared in blocks of so many lines, by sketches of so many words of 64 bits.
-BLOCK, SKETCH = 256, 4
+BANDS, ROWS = 7, 4
+#: Lines of a block, and words of 64 bits in the sketch that bounds a pair's similarity.
+BLOCK, SKETCH = 256, 16
 #: Words of 64 bits in the broadcast filter; it has this many rows at most.
 FILTER_WORDS = 1 << 20
-
-
-def normal(line: Column) -> Column:
-    return F.lower(F.trim(line))
-
-
-def shingle_hashes(line: Column) -> Column:
-    """Sorted hashes of a normal line's shingles, with repeats."""
-    # four bytes a character, so that a shingle is cut out without counting from the line's start; as an argument the
-    # encoded line is not built anew for each shingle
-    at = lambda w: F.sequence(F.lit(1), F.greatest(F.octet_length(w) - (4 * SHINGLE - 1), F.lit(1)), F.lit(4))
-    cut = lambda w: F.transform(at(w), lambda i: F.xxhash64(F.substring(w, i, F.lit(4 * SHINGLE))))
-    return F.sort_array(F.get(F.transform(F.array(F.encode(line, "UTF-32")), cut), F.lit(0)))
-
-
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, at, line): the lines of each text that are not blank, in normal form, with their places from 0."""
-    cut = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("at", "raw"))
-    return cut.select("id", "at", normal(F.col("raw")).alias("line")).where("line <> ''")
-
-
-def bands(lines: DataFrame) -> DataFrame:
-    """(band, line_id): the bands of each distinct line."""
-    points = BANDS * ROWS
-    place = lambda h: F.shiftrightunsigned(h, 64 - (points - 1).bit_length()).cast("int")
-    hashed = lines.select("line").distinct().select(F.xxhash64("line").alias("line_id"), shingle_hashes(F.col("line")).alias("h"))
-    # signed order turns the ring by half, which is as good; the first hash of each sector, in order
-    firsts = F.filter("h", lambda x, i: (i == 0) | (place(x) != place(F.get("h", i - 1))))
-    sectors = hashed.select("line_id", F.map_from_entries(F.transform(firsts, lambda x: F.struct(place(x), x))).alias("m"), F.get("h", F.lit(0)).alias("any"))
-    # the map travels in the accumulator: named in the function it would be built anew for each sector
-    start = F.struct(F.col("m").alias("m"), F.array("any").alias("s"))
-    fill = lambda acc, k: F.struct(
-        acc["m"].alias("m"), F.array_append(acc["s"], F.coalesce(F.try_element_at(acc["m"], k), F.element_at(acc["s"], -1))).alias("s")
-    )
-    filled = F.aggregate(F.sequence(F.lit(points - 1), F.lit(0)), start, fill, lambda acc: acc["s"])
-    minima = sectors.select("line_id", filled.alias("s"))
-    # element 0 is the filling of the last sectors; the rows of a band lie far apart on the ring
-    keys = F.array(*(F.xxhash64(F.lit(b), *(F.get("s", F.lit(1 + b + BANDS * r)) for r in range(ROWS))) for b in range(BANDS)))
-    # distinct for its shuffle, which both uses of the bands share
-    return minima.select("line_id", F.explode(keys).alias("band")).distinct()
-
-
-def bucket_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of the lines in each small bucket and of large buckets' lines with centres, and the rows of large ones."""
-    centres = (F.min(F.col("line_id").bitwiseXOR(F.lit(c))).alias(f"c{k}") for k, c in enumerate(CENTRES))
-    sizes = rows.groupBy("band").agg(F.count("*").alias("n"), *centres).where("n > 1")
-    shared = materialise(rows.join(sizes, "band"))
-    large = shared.where(F.col("n") > SMALL_BUCKET)
-    groups = shared.where(F.col("n") <= SMALL_BUCKET).groupBy("band").agg(F.collect_list("line_id").alias("all"))
-    pairs = groups.select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b")).where("a < b")
-    centre = F.explode(F.array(*(F.col(f"c{k}").bitwiseXOR(F.lit(c)) for k, c in enumerate(CENTRES))))
-    stars = large.select(centre.alias("a"), F.col("line_id").alias("b")).where("a <> b")
-    stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.union(stars).distinct(), large.select("band", "line_id", "n")
-
-
-def sketch(hashes: Column) -> list[Column]:
-    """SKETCH words in which each hash of a set turns one bit: two sets differ in as many hashes as bits, or more."""
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
-    word = lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(SKETCH - 1))
-    turned = lambda k: F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: F.when(word(h) == k, acc.bitwiseXOR(bit(h))).otherwise(acc))
-    return [turned(k).alias(f"w{k}") for k in range(SKETCH)]
-
-
-def unlinked_pairs(large: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b) in one large bucket that no links join yet and whose sketches leave a similarity of SIMILARITY open.
-
-    Sets of x and y hashes in all that reach it differ in (x + y) * (1 - SIMILARITY) / (1 + SIMILARITY) at most, so no
-    such pair is missed. Every pair of blocks is a group of its own, and the join gives only the pairs that pass.
+NONE = np.iinfo(np.uint64).max
+FACTOR = 0x9E3779B97F4A7C15
+
+
+def normal(line: str) -> str:
+    return line.strip().lower()
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """h with every bit spread over all the others."""
+    h = h ^ (h >> np.uint64(30))
+    h = h * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, hash): the hashes of all shingles of normal lines, with repeats, in order, and the line that each is of."""
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    x = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4").astype(np.uint64)
+    x *= np.uint64(FACTOR)
+    x ^= x >> np.uint64(32)
+    if len(x) < SHINGLE:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    run, width = x, 1
+    while 2 * width <= SHINGLE:  # runs of 1, 2, 4, 8 characters, then the odd one
+        run, width = run[:-width] * np.uint64(pow(FACTOR, width, 1 << 64)) + run[width:], 2 * width
+    for k in range(width, SHINGLE):
+        run = run[: len(x) - k] * np.uint64(FACTOR) + x[k:]
+    counts = np.maximum(sizes - SHINGLE + 1, 0)
+    owner = np.repeat(np.arange(len(lines)), counts)
+    shift = np.cumsum(sizes) - sizes - (np.cumsum(counts) - counts)
+    return owner, mixed(run[np.arange(len(owner)) + shift[owner]])
+
+
+def bands(lines: list[str]) -> np.ndarray:
+    """The bands of normal lines of SHINGLE characters or more: a row of BANDS signed numbers for each."""
+    sectors = BANDS * ROWS
+    owner, h = shingle_hashes(lines)
+    minima = np.full(len(lines) * sectors, NONE, np.uint64)
+    np.minimum.at(minima, owner * sectors + ((h >> np.uint64(32)) * np.uint64(sectors) >> np.uint64(32)).astype(np.int64), h)
+    minima = minima.reshape(len(lines), sectors)
+    for _ in range(2):  # an empty sector takes the minimum of the next on the ring
+        for k in range(sectors - 1, -1, -1):
+            here = minima[:, k]
+            np.copyto(here, minima[:, (k + 1) % sectors], where=here == NONE)
+    out = np.empty((len(lines), BANDS), np.uint64)
+    for b in range(BANDS):
+        key = np.full(len(lines), b + 1, np.uint64)
+        for r in range(ROWS):  # the rows of a band lie far apart on the ring
+            key = mixed(key * np.uint64(FACTOR) + minima[:, b + BANDS * r])
+        out[:, b] = key
+    return out.view(np.int64)
+
+
+def signed(hashes: list[int]) -> np.ndarray:
+    return np.array(hashes, np.uint64).view(np.int64)
+
+
+def with_lines(schema: pa.Schema):
+    """A function over batches that end in a text; it adds (his, los, signed): both hashes of each line, null for blank
+    ones, and the bands of each line when it first stands in the batch."""
+
+    def nested(sizes: list[int], values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
+
+    def add(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(batch.num_columns - 1).to_pylist()
+        sizes, his, los = [], [], []
+        new, fresh, seen = [], [], set()
+        for text in texts:
+            lines = [] if text is None else text.split("\n")
+            before = len(new)
+            for line in lines:
+                line = normal(line)
+                if not line:
+                    his.append(None)
+                    los.append(None)
+                    continue
+                data = line.encode()
+                hi, lo = xxh64_intdigest(data, 42), xxh3_64_intdigest(data)
+                hi, lo = hi - (hi >> 63 << 64), lo - (lo >> 63 << 64)
+                his.append(hi)
+                los.append(lo)
+                if len(line) >= SHINGLE and hi not in seen:
+                    seen.add(hi)
+                    new.append((hi, line))
+            sizes.append(len(lines))
+            fresh.append(len(new) - before)
+        keys = bands([line for _, line in new])
+        rows = pa.StructArray.from_arrays(
+            [pa.array([hi for hi, _ in new], pa.int64()), nested([BANDS] * len(new), pa.array(keys.ravel()))], fields=list(schema.field("signed").type.value_type)
+        )
+        extra = [nested(sizes, pa.array(his, pa.int64())), nested(sizes, pa.array(los, pa.int64())), nested(fresh, rows)]
+        extra = [e.cast(schema.field(n).type) for e, n in zip(extra, ("his", "los", "signed"), strict=True)]
+        return pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns, schema, strict=False)), *extra], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, batch.num_columns - 1):
+                yield add(part)
+
+    return run
+
+
+def numbered(docs: DataFrame, text_col: str) -> DataFrame:
+    """(row, doc, text, his, los, signed), written: docs' rows, numbered, with their other columns in doc and their lines' hashes."""
+    others = [docs[c] for c in docs.columns if c != text_col]
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*others, F.lit(0).alias("__")).alias("doc"), docs[text_col].alias("text"))
+    added = docs.sparkSession.createDataFrame([], "his array<long>, los array<long>, signed array<struct<hi: long, bands: array<long>>>").schema
+    schema = StructType(rows.schema.fields + added.fields)
+    return materialise(rows.mapInArrow(with_lines(to_arrow_schema(schema)), schema))
+
+
+def buckets(rows: DataFrame) -> DataFrame:
+    """(band, centres, line), written: the lines of every bucket of two or more.
+
+    The centres of a bucket are the first and the last of its lines in orders that differ from bucket to bucket.
     """
-    rooted = large.join(roots, F.col("line_id") == F.col("node"), "left").select("band", "line_id", "n", F.coalesce("root", "line_id").alias("root"))
-    rooted = materialise(rooted)
-    several = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    left = rooted.join(several, "band")
-    drawn = sets.join(left.select("line_id").distinct(), "line_id", "left_semi").select("line_id", F.size("set").alias("size"), *sketch(F.col("set")))
-    rows = materialise(left.join(drawn, "line_id"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("line_id", "band"), blocks).cast("int")).withColumn("last", blocks - 1)
-    x = rows.withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence("block", "last"))).alias("x")
-    y = rows.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), "block"))).alias("y")
-    c = lambda side, name: F.col(f"{side}.{name}")
-    same = [c("x", k) == c("y", k) for k in ("band", "i", "j")]
-    apart = sum((F.bit_count(c("x", f"w{k}").bitwiseXOR(c("y", f"w{k}"))) for k in range(SKETCH)), F.lit(0))
-    open_ = apart <= (c("x", "size") + c("y", "size")) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6
-    met = same[0] & same[1] & same[2] & (c("x", "root") != c("y", "root")) & open_
-    met = met & ((c("x", "block") != c("y", "block")) | (c("x", "line_id") < c("y", "line_id")))
-    pairs = x.join(y, met).select(c("x", "line_id").alias("a"), c("y", "line_id").alias("b"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    all_bands = rows.select(F.explode("signed").alias("s")).select(F.col("s.hi").alias("line"), F.explode("s.bands").alias("band"))
+    masks = [F.col("band"), F.shiftrightunsigned("band", 1)]
+    ends = [f(F.col("line").bitwiseXOR(m)).alias(f"c{k}") for k, (m, f) in enumerate((m, f) for m in masks for f in (F.min, F.max))]
+    sizes = all_bands.groupBy("band").agg(*ends).where("c0 < c1")
+    centres = F.array(*(F.col(f"c{k}").bitwiseXOR(masks[k // 2]) for k in range(2 * len(masks))))
+    return materialise(all_bands.join(sizes, "band").select("band", centres.alias("centres"), "line").distinct())
 
 
 def members_only(lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """Those of lines whose line_id may be among ids: a filter of fixed size goes before the shuffle of their text."""
-    word = F.pmod(F.shiftright("line_id", 6), F.lit(FILTER_WORDS)).cast("int")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("line_id").bitwiseAND(F.lit(63)).cast("int"))
-    table = ids.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    met = lines.withColumn("word", word).withColumn("bit", bit).join(F.broadcast(table), "word")
+    """Those of lines whose hi may be among ids: a filter of fixed size goes before the shuffle of their text."""
+    word = lambda c: F.pmod(F.shiftright(c, 6), F.lit(FILTER_WORDS)).cast("int")
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.col(c).bitwiseAND(F.lit(63)).cast("int"))
+    table = ids.select(word("line").alias("word"), bit("line").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    met = lines.withColumn("word", word("hi")).withColumn("bit", bit("hi")).join(F.broadcast(table), "word")
     return met.where(F.col("bits").bitwiseAND(F.col("bit")) != 0).drop("word", "bit", "bits")
 
 
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs with a Jaccard similarity of SIMILARITY or more."""
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(common >= SIMILARITY * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
-
+def sketches():
+    """A function from raw lines to (normal line, its second hash, number of shingles, sketch).
 
-def links(lines: DataFrame) -> DataFrame:
-    """Links (a, b) that join the distinct lines which verified pairs join: Jaccard similarity of SIMILARITY or more.
+    Each shingle turns one bit of the sketch: two sets differ in as many shingles as bits, or more.
+    """
 
-    Of a large bucket all pairs count too: those with its centres first, then all that these have not joined.
+    def of(raw: list) -> list[tuple]:
+        lines = [normal(r) for r in raw]
+        owner, h = shingle_hashes(lines)
+        order = np.lexsort((h, owner))
+        owner, h = owner[order], h[order]
+        first = np.ones(len(h), bool)
+        first[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+        owner, h = owner[first], h[first]
+        words = np.zeros(len(lines) * SKETCH, np.uint64)
+        place = owner * SKETCH + (h & np.uint64(SKETCH - 1)).astype(np.int64)
+        np.bitwise_xor.at(words, place, np.uint64(1) << (h >> np.uint64(8) & np.uint64(63)))
+        sizes = np.bincount(owner, minlength=len(lines)).tolist()
+        los = signed([xxh3_64_intdigest(x.encode()) for x in lines]).tolist()
+        return list(zip(lines, los, sizes, words.view(np.int64).reshape(len(lines), SKETCH).tolist(), strict=True))
+
+    return of
+
+
+def sketched(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(hi, line, lo, size, sketch), written, for each line among nodes."""
+    cut = rows.select(F.explode(F.arrays_zip(F.split("text", "\n").alias("raw"), F.col("his").alias("hi"))).alias("x")).select("x.hi", "x.raw")
+    named = members_only(cut.where("hi is not null"), nodes).join(nodes, F.col("hi") == F.col("line"), "left_semi")
+    one = named.groupBy("hi").agg(F.min("raw").alias("raw"))
+    return materialise(map_texts(one, sketches, "line string, lo long, size long, sketch array<long>"))
+
+
+def similar_pairs():
+    """A function from pairs of normal lines to (similarity,), by their whole sets of shingles."""
+
+    def of(pairs: list) -> list[tuple]:
+        lines = list(dict.fromkeys(line for p in pairs for line in (p["x"], p["y"])))
+        owner, h = shingle_hashes(lines)
+        ends = np.searchsorted(owner, np.arange(1, len(lines)))
+        sets = dict(zip(lines, map(np.unique, np.split(h, ends)), strict=True))
+        out = []
+        for p in pairs:
+            x, y = sets[p["x"]], sets[p["y"]]
+            both = np.concatenate((x, y))
+            both.sort()
+            common = int(np.count_nonzero(both[1:] == both[:-1]))
+            out.append((common / (len(both) - common),))
+        return out
+
+    return of
+
+
+def similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) with a Jaccard similarity of SIMILARITY or more."""
+    texts = lines.select("hi", "line")
+    both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", F.struct("x", "y").alias("pair"))
+    return map_texts(both, similar_pairs, "similarity double").where(F.col("similarity") >= SIMILARITY - 1e-9).select("a", "b")
+
+
+def unjoined_pairs(shared: DataFrame, lines: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a bucket that no links join yet and whose sketches leave a similarity of SIMILARITY open.
+
+    Of two lines in different components, one is not in that of the bucket's centre: those lines are compared with all
+    the others. Sets of x and y shingles in all that reach the similarity differ in
+    (x + y) * (1 - SIMILARITY) / (1 + SIMILARITY) at most, so no such pair is missed. Every pair of blocks is a group of
+    its own, and the join gives only the pairs that pass.
     """
-    pairs, large = bucket_pairs(bands(lines))
-    pairs = materialise(pairs)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("line_id")).distinct()
-    named = lines.select(F.xxhash64("line").alias("line_id"), "line")
-    texts = members_only(named, ids).select("line_id", "line").distinct()
-    sets = materialise(texts.select("line_id", F.array_distinct(shingle_hashes(F.col("line"))).alias("set")))
-    roots = components(similar(pairs, sets))
-    rest = materialise(unlinked_pairs(large, sets, roots))
-    return roots.toDF("a", "b").union(similar(rest, sets))
-
-
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, at): the places of the lines that go, for every component of equal or similar lines all but the first."""
-    lines = lines_of(docs, id_col, text_col)
-    roots = components(links(lines))
-    named = materialise(lines.select("id", "at", F.xxhash64("line").alias("line_id")))
-    rooted = named.join(roots, F.col("line_id") == F.col("node"), "left").select("id", "at", F.coalesce("root", "line_id").alias("root"))
-    first = rooted.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull().alias("last"), "id", "at")).alias("first")).where("n > 1")
-    gone = rooted.join(first.select("root", F.col("first.id").alias("i"), F.col("first.at").alias("p")), "root")
-    return gone.where(~(F.col("id").eqNullSafe(F.col("i")) & (F.col("at") == F.col("p")))).select("id", "at")
+    rooted = shared.join(roots.toDF("line", "root"), "line", "left").join(roots.toDF("centre", "main"), F.col("centres")[0] == F.col("centre"), "left")
+    rooted = rooted.withColumn("centre", F.col("centres")[0]).select("band", "line", F.coalesce("root", "line").alias("root"), F.coalesce("main", "centre").alias("main"))
+    rooted = materialise(rooted)
+    open_buckets = rooted.groupBy("band").agg(F.count("*").alias("n"), F.count_if(F.col("root") != F.col("main")).alias("apart")).where("apart > 0 and n > 1")
+    left = rooted.join(open_buckets.select("band", "n"), "band").join(lines.select(F.col("hi").alias("line"), "size", "sketch"), "line")
+    left = materialise(left.select("band", "line", "root", "main", "n", "size", *(F.get("sketch", F.lit(k)).alias(f"w{k}") for k in range(SKETCH))))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    left = left.withColumn("block", F.pmod(F.xxhash64("line", "band"), blocks).cast("int")).withColumn("last", blocks - 1)
+    x = left.where("root <> main").withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence(F.lit(0), "last"))).alias("x")
+    y = left.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), "last"))).alias("y")
+    c = lambda side, name: F.col(f"{side}.{name}")
+    met = (c("x", "band") == c("y", "band")) & (c("x", "i") == c("y", "i")) & (c("x", "j") == c("y", "j")) & (c("x", "root") != c("y", "root"))
+    apart = sum((F.bit_count(c("x", f"w{k}").bitwiseXOR(c("y", f"w{k}"))) for k in range(SKETCH)), F.lit(0))
+    met = met & (apart <= (c("x", "size") + c("y", "size")) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6)
+    pairs = x.join(y, met).select(F.least("x.line", "y.line").alias("a"), F.greatest("x.line", "y.line").alias("b"))
+    return materialise(pairs.distinct())
+
+
+def classes(rows: DataFrame) -> DataFrame:
+    """(hi, lo, root), written: the lines that similar ones link, and the least line of their component."""
+    shared = buckets(rows)
+    pairs = shared.select("line", F.explode("centres").alias("centre")).where("line <> centre")
+    pairs = pairs.select(F.least("line", "centre").alias("a"), F.greatest("line", "centre").alias("b")).distinct()
+    lines = sketched(rows, shared.select("line").distinct())
+    roots = components(similar(pairs, lines))
+    rest = unjoined_pairs(shared, lines, roots)
+    if not rest.isEmpty():
+        roots = components(roots.toDF("a", "b").union(similar(rest, lines)))
+    roots = roots.union(roots.select("root", "root").distinct())
+    return materialise(roots.join(lines, F.col("node") == F.col("hi")).select("hi", "lo", "root"))
+
+
+def repeated_places(rows: DataFrame, id_col: str | None) -> DataFrame:
+    """(row, gone): for each row the places of its lines that go: of a component all but the first by id, row and place."""
+    place = F.posexplode(F.arrays_zip("his", "los")).alias("at", "x")
+    order = [F.col("doc")[id_col]] if id_col else []
+    own = [c.alias("id") for c in order] or [F.lit(0).alias("id")]
+    every = rows.select("row", *own, place).select("row", "id", "at", F.col("x.his").alias("hi"), F.col("x.los").alias("lo")).where("hi is not null")
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row", "at")).alias("first")
+    each = every.groupBy("hi", "lo").agg(F.count("*").alias("n"), first).join(classes(rows), ["hi", "lo"], "left").where("root is not null or n > 1")
+    each = materialise(each.select("hi", "lo", F.coalesce("root", "hi").alias("k1"), F.when(F.col("root").isNull(), F.col("lo")).otherwise(0).alias("k2"), "first"))
+    heads = each.groupBy("k1", "k2").agg(F.min("first").alias("head"))
+    stays = each.join(heads, ["k1", "k2"]).select("hi", "lo", F.col("head.row").alias("stay_row"), F.col("head.at").alias("stay_at"))
+    gone = every.select("row", "at", "hi", "lo").join(stays, ["hi", "lo"]).where((F.col("row") != F.col("stay_row")) | (F.col("at") != F.col("stay_at")))
+    return gone.groupBy("row").agg(F.collect_list("at").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs in its own columns, each text without the lines that repeat an earlier one; other columns stay as they are.
 
     Lines are parted by line feeds; blank lines always stay. A text all of whose lines go becomes empty; a null text
-    stays null. Rows that share an id share their places: one copy of repeated rows keeps the line, in each of them.
-    Null ids come last in the order. An empty table gives an empty result.
+    stays null. Rows are told apart by themselves, not by their ids: of repeated rows, or rows that share an id, one
+    keeps the line. Null ids come last in the order. An empty table gives an empty result.
     """
-    gone = duplicate_lines(docs, id_col, text_col).groupBy(F.col("id").alias("__id")).agg(F.collect_set("at").alias("__gone"))
-    joined = docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]), "left")
-    kept = F.array_join(F.filter(F.split(docs[text_col], "\n"), lambda line, i: ~F.array_contains("__gone", i)), "\n")
-    text = F.when(F.col("__gone").isNull(), docs[text_col]).otherwise(kept).alias(text_col)
-    return joined.select(*(text if c == text_col else docs[c] for c in docs.columns))
+    rows = numbered(docs, text_col)
+    joined = rows.select("row", "doc", "text").join(repeated_places(rows, id_col), "row", "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("gone", i)), "\n")
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias(text_col)
+    return joined.select(*(text if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns))
