@@ -43,7 +43,7 @@ def materialise(df: DataFrame) -> DataFrame:
     """df written as Parquet to a new place in the shared scratch folder, and read back: a compact checkpoint."""
     spark = df.sparkSession
     path = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints')}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

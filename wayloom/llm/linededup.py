@@ -13,17 +13,15 @@ DataFrame functions alone. All grouping, joining and shuffling is Spark's.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
-from .common import map_texts, materialise, slices
+from .common import map_texts, materialise
 from .components import components
 
 SHINGLE, SIMILARITY = 9, 0.8
@@ -88,88 +86,89 @@ def bands(lines: list[str]) -> np.ndarray:
     return out.view(np.int64)
 
 
-def signed(hashes: list[int]) -> np.ndarray:
-    return np.array(hashes, np.uint64).view(np.int64)
-
-
-def with_lines(schema: pa.Schema):
-    """A function over batches that end in a text; it adds (his, los, signed): both hashes of each line, null for blank
+def line_hashes() -> Callable[[list], list[tuple]]:
+    """A function from texts to (packed, his, los, signed): the text compressed, both hashes of each line, null for blank
     ones, and the bands of each line when it first stands in the batch."""
+    pack = zstandard.ZstdCompressor(level=3).compress
 
-    def nested(sizes: list[int], values: pa.Array) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
-
-    def add(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(batch.num_columns - 1).to_pylist()
-        sizes, his, los = [], [], []
-        new, fresh, seen = [], [], set()
+    def of(texts: list) -> list[tuple]:
+        out, new, seen = [], [], set()
         for text in texts:
-            lines = [] if text is None else text.split("\n")
-            before = len(new)
-            for line in lines:
+            his, los, fresh = [], [], []
+            for line in [] if text is None else text.split("\n"):
                 line = normal(line)
-                if not line:
-                    his.append(None)
-                    los.append(None)
-                    continue
                 data = line.encode()
-                hi, lo = xxh64_intdigest(data, 42), xxh3_64_intdigest(data)
-                hi, lo = hi - (hi >> 63 << 64), lo - (lo >> 63 << 64)
-                his.append(hi)
-                los.append(lo)
+                hi = xxh64_intdigest(data, 42) if line else None
+                his.append(None if hi is None else hi - (hi >> 63 << 64))
+                lo = xxh3_64_intdigest(data) if line else None
+                los.append(None if lo is None else lo - (lo >> 63 << 64))
                 if len(line) >= SHINGLE and hi not in seen:
                     seen.add(hi)
-                    new.append((hi, line))
-            sizes.append(len(lines))
-            fresh.append(len(new) - before)
-        keys = bands([line for _, line in new])
-        rows = pa.StructArray.from_arrays(
-            [pa.array([hi for hi, _ in new], pa.int64()), nested([BANDS] * len(new), pa.array(keys.ravel()))], fields=list(schema.field("signed").type.value_type)
-        )
-        extra = [nested(sizes, pa.array(his, pa.int64())), nested(sizes, pa.array(los, pa.int64())), nested(fresh, rows)]
-        extra = [e.cast(schema.field(n).type) for e, n in zip(extra, ("his", "los", "signed"), strict=True)]
-        return pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns, schema, strict=False)), *extra], schema=schema)
+                    fresh.append(len(new))
+                    new.append((his[-1], line))
+            out.append((None if text is None else pack(text.encode()), his, los, fresh))
+        keys = bands([line for _, line in new]).tolist()
+        return [(packed, his, los, [{"hi": new[i][0], "bands": keys[i]} for i in fresh]) for packed, his, los, fresh in out]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, batch.num_columns - 1):
-                yield add(part)
-
-    return run
+    return of
 
 
 def numbered(docs: DataFrame, text_col: str) -> DataFrame:
-    """(row, doc, text, his, los, signed), written: docs' rows, numbered, with their other columns in doc and their lines' hashes."""
+    """(row, doc, packed, his, los, signed), written: docs' rows, numbered, with their other columns in doc."""
     others = [docs[c] for c in docs.columns if c != text_col]
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*others, F.lit(0).alias("__")).alias("doc"), docs[text_col].alias("text"))
-    added = docs.sparkSession.createDataFrame([], "his array<long>, los array<long>, signed array<struct<hi: long, bands: array<long>>>").schema
-    schema = StructType(rows.schema.fields + added.fields)
-    return materialise(rows.mapInArrow(with_lines(to_arrow_schema(schema)), schema))
+    return materialise(map_texts(rows, line_hashes, "packed binary, his array<long>, los array<long>, signed array<struct<hi: long, bands: array<long>>>"))
+
+
+def bits_of(ids: DataFrame) -> DataFrame:
+    """(word, bits): a filter of fixed size on the one column of longs of ids, FILTER_WORDS rows at most."""
+    c = F.col(ids.columns[0])
+    word = F.pmod(F.shiftright(c, 6), F.lit(FILTER_WORDS)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))
+    return ids.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
 
 
 def buckets(rows: DataFrame) -> DataFrame:
     """(band, centres, line), written: the lines of every bucket of two or more.
 
-    The centres of a bucket are the first and the last of its lines in orders that differ from bucket to bucket.
+    The centres of a bucket are the first and the last of its lines in two orders that differ from bucket to bucket.
+    Rows whose band cannot be shared are dropped before the shuffle by a filter of fixed size.
     """
     all_bands = rows.select(F.explode("signed").alias("s")).select(F.col("s.hi").alias("line"), F.explode("s.bands").alias("band"))
+    sizes = all_bands.groupBy("band").agg(F.min("line").alias("lo"), F.max("line").alias("hi"))
+    sizes = materialise(sizes.where("lo < hi").select("band"))
+    word = F.pmod(F.shiftright("band", 6), F.lit(FILTER_WORDS)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("band").bitwiseAND(F.lit(63)).cast("int"))
+    met = all_bands.withColumn("word", word).join(F.broadcast(bits_of(sizes)), "word").where(F.col("bits").bitwiseAND(bit) != 0)
+    shared = materialise(met.select("band", "line").join(sizes, "band").distinct())
     masks = [F.col("band"), F.shiftrightunsigned("band", 1)]
     ends = [f(F.col("line").bitwiseXOR(m)).alias(f"c{k}") for k, (m, f) in enumerate((m, f) for m in masks for f in (F.min, F.max))]
-    sizes = all_bands.groupBy("band").agg(*ends).where("c0 < c1")
     centres = F.array(*(F.col(f"c{k}").bitwiseXOR(masks[k // 2]) for k in range(2 * len(masks))))
-    return materialise(all_bands.join(sizes, "band").select("band", centres.alias("centres"), "line").distinct())
+    return materialise(shared.join(materialise(shared.groupBy("band").agg(*ends)).select("band", centres.alias("centres")), "band"))
+
+
+def picker(words: np.ndarray) -> Callable[[], Callable[[list], list[tuple]]]:
+    """A function from (packed, his) to (found,): the lines (hi, raw) that pass the filter of bits_of()."""
 
+    def pick() -> Callable[[list], list[tuple]]:
+        unpack = zstandard.ZstdDecompressor().decompress
 
-def members_only(lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """Those of lines whose hi may be among ids: a filter of fixed size goes before the shuffle of their text."""
-    word = lambda c: F.pmod(F.shiftright(c, 6), F.lit(FILTER_WORDS)).cast("int")
-    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.col(c).bitwiseAND(F.lit(63)).cast("int"))
-    table = ids.select(word("line").alias("word"), bit("line").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    met = lines.withColumn("word", word("hi")).withColumn("bit", bit("hi")).join(F.broadcast(table), "word")
-    return met.where(F.col("bits").bitwiseAND(F.col("bit")) != 0).drop("word", "bit", "bits")
+        def of(row: dict) -> tuple:
+            if row["packed"] is None:
+                return ([],)
+            hi = np.array([h or 0 for h in row["his"]], np.int64)
+            wanted = words.view(np.uint64)[(hi >> 6) % FILTER_WORDS] >> (hi & 63).astype(np.uint64) & np.uint64(1)
+            if not wanted.any():
+                return ([],)
+            raw = unpack(row["packed"]).decode().split("\n")
+            return ([{"hi": row["his"][i], "raw": raw[i]} for i in np.flatnonzero(wanted).tolist() if row["his"][i] is not None],)
 
+        return lambda rows: [of(r) for r in rows]
 
-def sketches():
+    return pick
+
+
+def sketches() -> Callable[[list], list[tuple]]:
     """A function from raw lines to (normal line, its second hash, number of shingles, sketch).
 
     Each shingle turns one bit of the sketch: two sets differ in as many shingles as bits, or more.
@@ -187,21 +186,28 @@ def sketches():
         place = owner * SKETCH + (h & np.uint64(SKETCH - 1)).astype(np.int64)
         np.bitwise_xor.at(words, place, np.uint64(1) << (h >> np.uint64(8) & np.uint64(63)))
         sizes = np.bincount(owner, minlength=len(lines)).tolist()
-        los = signed([xxh3_64_intdigest(x.encode()) for x in lines]).tolist()
+        los = np.array([xxh3_64_intdigest(x.encode()) for x in lines], np.uint64).view(np.int64).tolist()
         return list(zip(lines, los, sizes, words.view(np.int64).reshape(len(lines), SKETCH).tolist(), strict=True))
 
     return of
 
 
 def sketched(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(hi, line, lo, size, sketch), written, for each line among nodes."""
-    cut = rows.select(F.explode(F.arrays_zip(F.split("text", "\n").alias("raw"), F.col("his").alias("hi"))).alias("x")).select("x.hi", "x.raw")
-    named = members_only(cut.where("hi is not null"), nodes).join(nodes, F.col("hi") == F.col("line"), "left_semi")
+    """(hi, line, lo, size, sketch), written, for each line among nodes.
+
+    A filter of fixed size, 8 MB, goes to the tasks, so that few other lines are shuffled.
+    """
+    words = np.zeros(FILTER_WORDS, np.int64)
+    table = bits_of(nodes).toArrow()  # FILTER_WORDS rows at most
+    words[table.column("word").to_numpy()] = table.column("bits").to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(words)
+    found = map_texts(rows.select(F.struct("packed", "his").alias("r")), lambda: picker(shared.value)(), "found array<struct<hi: long, raw: string>>")
+    named = found.select(F.explode("found").alias("x")).select("x.*").join(nodes, F.col("hi") == F.col("line"), "left_semi")
     one = named.groupBy("hi").agg(F.min("raw").alias("raw"))
     return materialise(map_texts(one, sketches, "line string, lo long, size long, sketch array<long>"))
 
 
-def similar_pairs():
+def similar_pairs() -> Callable[[list], list[tuple]]:
     """A function from pairs of normal lines to (similarity,), by their whole sets of shingles."""
 
     def of(pairs: list) -> list[tuple]:
@@ -283,6 +289,22 @@ def repeated_places(rows: DataFrame, id_col: str | None) -> DataFrame:
     return gone.groupBy("row").agg(F.collect_list("at").alias("gone"))
 
 
+def remover() -> Callable[[list], list[tuple]]:
+    """A function from (packed, gone) to (text,), without the lines at the places gone."""
+    unpack = zstandard.ZstdDecompressor().decompress
+
+    def of(row: dict) -> tuple:
+        if row["packed"] is None:
+            return (None,)
+        text = unpack(row["packed"]).decode()
+        if not row["gone"]:
+            return (text,)
+        gone = set(row["gone"])
+        return ("\n".join(line for at, line in enumerate(text.split("\n")) if at not in gone),)
+
+    return lambda rows: [of(r) for r in rows]
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs in its own columns, each text without the lines that repeat an earlier one; other columns stay as they are.
 
@@ -291,7 +313,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keeps the line. Null ids come last in the order. An empty table gives an empty result.
     """
     rows = numbered(docs, text_col)
-    joined = rows.select("row", "doc", "text").join(repeated_places(rows, id_col), "row", "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("gone", i)), "\n")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias(text_col)
-    return joined.select(*(text if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns))
+    joined = rows.select("row", "doc", "packed").join(repeated_places(rows, id_col), "row", "left").select("doc", F.struct("packed", "gone").alias("r"))
+    kept = map_texts(joined, remover, "text string")
+    return kept.select(*(F.col("text").alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns))
