@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialise
+from .common import lower_ascii, materialise, numbered
 
 WINDOW = 13
 #: Windows of a block; a block takes some 150 bytes a window in each executor.
@@ -42,68 +42,67 @@ def windows_of(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     return cut.select("item", "n", F.array_join(F.slice("words", F.col("at") + 1, F.col("n")), " ").alias("gram")).distinct()
 
 
-def hits(docs: DataFrame, grams: DataFrame, lengths: list[int], id_col: str, text_col: str) -> DataFrame:
-    """(id, version, n_words, start, n, gram): a row for each hit, and one with null start for each row of docs.
+def possible_hits(rows: DataFrame, grams: DataFrame, lengths: list[int]) -> DataFrame:
+    """(row, n_words, start, n, gram): for each of rows (row, text) the windows that agree with a gram by their hash, and
+    one row with null start.
 
-    The rows of the scan stay inside one stage: the words are not copied to the rows of their windows.
+    Windows travel as their hash and place alone; the words stay behind, so that the work grows with the text's length.
     """
     blocks = max(1, -(-grams.count() // BLOCK_WINDOWS))
-    words = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"), words_of(F.col(text_col)).alias("words"))
+    words = rows.select("row", words_of(F.col("text")).alias("words"))
     hashes = [window_hashes(F.col("words"), n) for n in lengths]
-    rows = words.select("id", "version", "words", F.posexplode(F.concat(F.array(F.lit(None).cast("long")), *hashes)).alias("k", "h"))
+    every = words.select("row", F.size("words").alias("n_words"), F.concat(F.array(F.lit(None).cast("long")), *hashes).alias("h"))
+    every = every.select("row", "n_words", F.posexplode("h").alias("k", "h"))
     start, before = F.lit(None).cast("int"), F.lit(1)
     for n in lengths:
         start = F.when(F.col("n") == n, F.col("k") - before).otherwise(start)
-        before = before + F.greatest(F.size("words") - n + 1, F.lit(0))
+        before = before + F.greatest(F.col("n_words") - n + 1, F.lit(0))
     found = None
     for b in range(blocks):
         table = grams.where(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == b)
-        met = rows.join(F.broadcast(table), "h", "left").withColumn("start", start)
-        same = F.array_join(F.slice("words", F.col("start") + 1, F.col("n")), " ") == F.col("gram")
-        met = met.where(same | (F.col("k") == 0 if b == 0 else F.lit(False)))
-        met = met.select("id", "version", F.size("words").alias("n_words"), "start", "n", "gram")
+        met = every.join(F.broadcast(table), "h", "left").where(F.col("gram").isNotNull() | (F.col("k") == 0 if b == 0 else F.lit(False)))
+        met = met.select("row", "n_words", start.alias("start"), "n", "gram")
         found = met if found is None else found.union(met)
     return found
 
 
+def contaminated_rows(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
+    """(row, n_words, n_hit, spans, items) for each of rows (row, text)."""
+    windows = windows_of(benchmark, item_col, item_text_col)
+    grams = windows.select("n", "gram").distinct().withColumn("h", F.xxhash64(F.split("gram", " ")))
+    lengths = sorted(r[0] for r in grams.select("n").distinct().collect())  # 13 values at most
+    possible = possible_hits(rows, grams, lengths)
+    hit = F.when(F.col("start").isNotNull(), F.struct("start", "n", "gram"))
+    per = materialise(possible.groupBy("row").agg(F.max("n_words").alias("n_words"), F.collect_list(hit).alias("hits")))
+    # word for word, against the texts of rows with hits
+    texts = rows.join(per.where(F.size("hits") > 0).select("row", "hits"), "row").select("row", "hits", words_of(F.col("text")).alias("words"))
+    same = lambda x: F.array_join(F.slice(F.col("words"), x["start"] + 1, x["n"]), " ") == x["gram"]
+    sure = texts.select("row", F.filter("hits", same).alias("hits"))
+    covered = F.flatten(F.transform("hits", lambda x: F.sequence(x["start"], x["start"] + x["n"] - 1)))
+    sure = materialise(sure.select("row", F.array_sort(F.array_distinct(covered)).alias("at"), F.array_distinct(F.transform("hits", lambda x: x["gram"])).alias("grams")))
+    # hit runs of words: from a place that does not follow a hit one to a place that none follows
+    first = F.filter("at", lambda x, i: (i == 0) | (F.get("at", i - 1) != x - 1))
+    last = F.filter("at", lambda x, i: (i == F.size("at") - 1) | (F.get("at", i + 1) != x + 1))
+    spans = sure.select("row", F.size("at").cast("long").alias("n_hit"), F.zip_with(first, last, lambda a, b: F.struct(a.alias("start"), (b - a + 1).alias("n"))).alias("spans"))
+    named = sure.select("row", F.explode("grams").alias("gram")).join(windows.select("item", "gram"), "gram")
+    named = named.groupBy("row").agg(F.sort_array(F.collect_set(F.col("item").cast("string"))).alias("items"))
+    out = per.select("row", F.col("n_words").cast("long").alias("n_words")).join(spans, "row", "left").join(named, "row", "left")
+    none = F.array().cast("array<struct<start:int,n:int>>")
+    return out.select("row", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("spans", none).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
-    """(id, n_words, n_hit, spans, items) for each document.
+    """(id, n_words, n_hit, spans, items) for each row of docs.
 
     spans: the hit runs of words in order, (start, n), disjoint; n_hit: words in them; items: ids as strings, sorted.
-    A null text has no words and no hits. Rows equal in id and text give one row; an id with several texts gives a row
-    for each. With no benchmark items nothing is hit; other columns are ignored.
+    A null text has no words and no hits. Repeated rows, rows that share an id and rows without one each give a row of
+    their own. With no benchmark items nothing is hit; an empty table gives an empty result; other columns are ignored.
     """
-    windows = windows_of(benchmark, item_col, item_text_col)
-    grams = windows.select("n", "gram").distinct().withColumn("h", F.xxhash64(F.split("gram", " ")))
-    lengths = sorted(r[0] for r in grams.select("n").distinct().collect())  # 13 values at most
-    found = hits(docs, grams, lengths, id_col, text_col)
-    per = found.groupBy("id", "version").agg(
-        F.max("n_words").alias("n_words"),
-        F.sort_array(F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", "n")))).alias("hits"),
-        F.collect_set("gram").alias("grams"),
-    )
-    per = materialise(per)  # two uses follow; the scan of the texts shall run once
-    # runs that touch or overlap become one
-    merge = lambda acc, x: F.when(
-        (F.size(acc) > 0) & (x["start"] <= F.element_at(acc, -1)["start"] + F.element_at(acc, -1)["n"]),
-        F.concat(
-            F.slice(acc, 1, F.size(acc) - 1),
-            F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), (F.greatest(F.element_at(acc, -1)["start"] + F.element_at(acc, -1)["n"], x["start"] + x["n"]) - F.element_at(acc, -1)["start"]).alias("n"))),
-        ),
-    ).otherwise(F.concat(acc, F.array(x)))
-    per = per.withColumn("spans", F.when(F.size("hits") > 0, F.aggregate("hits", F.array().cast("array<struct<start:int,n:int>>"), merge)).otherwise(F.array().cast("array<struct<start:int,n:int>>")))
-    named = per.where(F.size("grams") > 0).select("id", "version", F.explode("grams").alias("gram")).join(windows.select("item", "gram"), "gram")
-    named = named.groupBy("id", "version").agg(F.sort_array(F.collect_set(F.col("item").cast("string"))).alias("items"))
-    out = per.alias("p").join(named.alias("q"), F.expr("p.id <=> q.id and p.version = q.version"), "left")
-    return out.select(
-        F.col("p.id").alias(id_col),
-        F.col("n_words").cast("long").alias("n_words"),
-        F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["n"]).alias("n_hit"),
-        "spans",
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-    )
+    rows = numbered(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))).select("row", "doc.*")
+    found = contaminated_rows(rows.select("row", "text"), benchmark, item_col, item_text_col)
+    return rows.select("row", "id").join(found, "row").select(F.col("id").alias(id_col), "n_words", "n_hit", "spans", "items")
 
 
 def is_contaminated(n_hit: Column, n_words: Column) -> Column:
@@ -112,6 +111,8 @@ def is_contaminated(n_hit: Column, n_words: Column) -> Column:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, in their own columns, whose id has no contaminated text."""
-    bad = contamination(docs, benchmark, id_col, text_col).where(is_contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col(id_col).alias("__bad"))
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad"]), "left_anti")
+    """The rows of docs that are not contaminated, in their own columns; each row is judged by its own text alone."""
+    rows = numbered(docs)
+    found = contaminated_rows(rows.select("row", F.col("doc")[text_col].alias("text")), benchmark, "item_id", "text")
+    bad = found.where(is_contaminated(F.col("n_hit"), F.col("n_words"))).select("row")
+    return rows.join(bad, "row", "left_anti").select(*(F.col("doc")[c].alias(c) for c in docs.columns))
