@@ -71,8 +71,10 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes kept are given as text too, in which a character cut in two shows as the replacement character."""
     found = remove_repeats(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    text = F.make_valid_utf8(F.col("kept").cast("string")).alias("text")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), text)
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

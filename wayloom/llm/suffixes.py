@@ -2,11 +2,12 @@
 
 A string of LENGTH bytes is found by its anchor: of all places in it where PREFIX bytes follow, the one whose
 fingerprint is smallest, leftmost first. Equal strings have equal anchors, so only suffixes that begin at anchors are
-indexed, about one in 140 bytes. A batch's suffix array holds these suffixes in the order of their prefix's
-fingerprint. A new batch is merge-scanned against the arrays of each level for suffixes whose prefixes agree; levels
-of equal size merge into the next, so a suffix is merged as often as the logarithm of the number of batches. Suffixes
-that met are then compared in full: all strings of one anchor at once where the surroundings are equal, else string by
-string.
+indexed, about one in 140 bytes. A batch's suffix array holds these suffixes in the order of their first HEAD bytes, then
+of the fingerprint of their first PREFIX bytes; suffixes that agree in both are one run with their number. The batches
+come one after another: before the next one, levels that hold as many batches merge into one, so that a suffix is merged
+as often as the logarithm of the number of batches; then the new array is merge-scanned against that of each level for
+runs that agree over PREFIX bytes. Suffixes that met are compared in full: all strings of one anchor at once where the
+surroundings are equal, else string by string.
 """
 
 from __future__ import annotations
@@ -17,13 +18,16 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from .common import map_texts, materialise
 
-LENGTH, PREFIX = 400, 128
+LENGTH, PREFIX, HEAD = 400, 128, 24
+ORDER = ["head", "gram"]
+#: Into how many batches the rows are parted at least, and what a batch of more takes.
+LEAST_BATCHES, BATCH_BYTES = 4, 1 << 40
 #: Places in a string of LENGTH bytes where PREFIX bytes follow.
 PLACES = LENGTH - PREFIX + 1
 #: A text goes through the arrays in stretches of about this many bytes.
@@ -70,14 +74,15 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(data: np.ndarray, prints: Fingerprints) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gram, first, last): for each anchor its prefix's fingerprint, and the starts of the strings that it stands for."""
+def anchors(data: np.ndarray, prints: Fingerprints) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(at, gram, first, last): each anchor, its prefix's fingerprint, and the starts of the strings that it stands for."""
     h = prints.of(data)
     order = (h >> np.uint64(32) << np.uint64(32)) | np.arange(len(h), dtype=np.uint64)
     at = sliding_min(order, PLACES) & np.uint64(0xFFFFFFFF)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     last = np.concatenate([first[1:], [len(at)]]) - 1
-    return h[at[first].astype(np.int64)], first, last
+    at = at[first].astype(np.int64)
+    return at, h[at], first, last
 
 
 def stretches(data: bytes) -> Iterator[tuple[int, bytes]]:
@@ -89,59 +94,51 @@ def stretches(data: bytes) -> Iterator[tuple[int, bytes]]:
         yield start, data[start : start + STRETCH + LENGTH - 1]
 
 
-def entries_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, text) to (gram, surroundings, key, first, last)."""
+def suffixes_of() -> Callable[[list], list[tuple]]:
+    """A function from texts (bytes) to (n_bytes, packed, suffixes): each suffix is (head, gram, surroundings, first, last)."""
     prints = Fingerprints()
-    names = ["gram", "surroundings", "key", "first", "last"]
-    for batch in batches:
-        parts: list[tuple] = []
-        waiting = 0
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            data = text.as_py() if text.is_valid else b""
-            if len(data) < LENGTH:
-                continue
-            for start, piece in stretches(data):
-                gram, first, last = anchors(np.frombuffer(piece, np.uint8), prints)
-                around = [xxh64_intdigest(piece[a : b + LENGTH]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-                parts.append((gram.view(np.int64), np.array(around, np.uint64).view(np.int64), np.full(len(gram), key), first + start, last + start))
-                waiting += len(gram)
-            if waiting > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names)
-                parts, waiting = [], 0
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names)
+    pack = zstandard.ZstdCompressor(level=3).compress
+    names = ("head", "gram", "surroundings", "first", "last")
+
+    def of(data: bytes | None) -> tuple:
+        if data is None:
+            return 0, None, []
+        found = []
+        for start, piece in stretches(data) if len(data) >= LENGTH else ():
+            at, gram, first, last = anchors(np.frombuffer(piece, np.uint8), prints)
+            bounds = zip(at.tolist(), gram.view(np.int64).tolist(), first.tolist(), last.tolist(), strict=True)
+            for k, g, a, b in bounds:
+                around = xxh64_intdigest(piece[a : b + LENGTH])
+                found.append(dict(zip(names, (piece[k : k + HEAD], g, around - (around >> 63 << 64), a + start, b + start), strict=True)))
+        return len(data), pack(data), found
+
+    return lambda texts: [of(t) for t in texts]
 
 
 class IndexFamily:
-    """Levels of suffix arrays (gram, n); a level holds 1, 2, 4, ... batches, and no two hold as many."""
+    """Levels of suffix arrays (head, gram, n), written in order; before a batch comes, no two hold as many batches."""
 
     def __init__(self) -> None:
         self.levels: list[tuple[int, DataFrame]] = []
 
-    def add(self, entries: DataFrame) -> DataFrame:
-        """Takes a batch in; returns the grams that it has in common with an earlier batch, or twice."""
-        array = materialise(entries.groupBy("gram").agg(F.count("*").alias("n")).sortWithinPartitions("gram"))
-        found = array.where("n > 1").select("gram")
+    def merge(self) -> None:
+        """Levels of equal size become one."""
+        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+            (size, x), (_, y) = self.levels.pop(), self.levels.pop()
+            both = x.union(y).groupBy(*ORDER).agg(F.sum("n").alias("n"))
+            self.levels.append((2 * size, materialise(both.sort(*ORDER))))
+
+    def add(self, suffixes: DataFrame) -> DataFrame:
+        """Takes a batch in; returns (head, gram) of the runs that it holds twice, or that an earlier batch holds too."""
+        self.merge()
+        array = materialise(suffixes.groupBy(*ORDER).agg(F.count("*").alias("n")).sort(*ORDER))
+        found = array.where("n > 1").select(*ORDER)
         for _, level in self.levels:
-            found = found.union(array.join(level, "gram", "left_semi").select("gram"))
-        size, merged = 1, array
-        while self.levels and self.levels[-1][0] == size:
-            merged = self.levels.pop()[1].union(merged).groupBy("gram").agg(F.sum("n").alias("n")).sortWithinPartitions("gram")
-            size *= 2
-        self.levels.append((size, merged))
+            found = found.union(array.join(level.hint("merge"), ORDER, "left_semi").select(*ORDER))
+        self.levels.append((1, array))
         return found
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(id_col, text_col)
-
-
-def packer() -> Callable[[list], list[tuple]]:
-    """A function from bytes to (packed,): texts are compressed before they are shuffled."""
-    pack = zstandard.ZstdCompressor(level=3).compress
-    return lambda texts: [(None if t is None else pack(t),) for t in texts]
-
-
 def unpack(data: bytes | None) -> bytes:
     return b"" if data is None else zstandard.ZstdDecompressor().decompress(data)
 
@@ -185,28 +182,35 @@ def singly() -> Callable[[list], list[tuple]]:
     return lambda stretches: [([h - (1 << 63) for h in hashes(s)],) for s in stretches]
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 2) -> DataFrame:
-    """(key, spans): for each text with repeats its stretches (first, last) of starts of strings that occur elsewhere too.
+def indexed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, n_bytes, packed, suffixes), written: docs' rows, numbered, with their texts compressed."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    kinds = "head: binary, gram: long, surroundings: long, first: long, last: long"
+    return materialise(map_texts(rows, suffixes_of, f"n_bytes long, packed binary, suffixes array<struct<{kinds}>>"))
+
+
+def repeated_spans(rows: DataFrame, batches: int) -> DataFrame:
+    """(row, spans): for each text with repeats its stretches (first, last) of starts of strings that occur elsewhere too.
 
-    key is row_key() of the row; spans may touch or overlap.
+    Spans may touch or overlap.
     """
-    texts = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).cast("binary").alias("text"))
-    schema = "gram long, surroundings long, key long, first long, last long"
-    entries = materialise(texts.mapInArrow(entries_of, schema))
+    entries = rows.select("row", F.explode("suffixes").alias("s")).select("row", "s.*")
     family, found = IndexFamily(), None
     for b in range(batches):
-        met = family.add(entries.where(F.pmod("key", F.lit(batches)) == b))
+        met = family.add(entries.where(F.pmod(F.xxhash64("row"), F.lit(batches)) == b))
         found = met if found is None else found.union(met)
-    shared = materialise(entries.join(found.distinct(), "gram"))
+    # written before the joins, so that no aggregation shares their shuffles and hot runs can be split
+    found = materialise(found.distinct())
+    shared = materialise(entries.join(found, ORDER).select("gram", "surroundings", "row", "first", "last"))
     # equal surroundings: all strings of the anchor repeat
-    kinds = materialise(shared.groupBy("gram", "surroundings").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "last")).alias("one")))
-    several = kinds.groupBy("gram").count().where("count > 1")
+    kinds = materialise(shared.groupBy("gram", "surroundings").agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "last")).alias("one")))
+    several = materialise(kinds.groupBy("gram").count().where("count > 1"))
     todo = kinds.join(several, "gram").select("gram", "surroundings", "count", "one.*")
-    lists = todo.groupBy("key").agg(F.collect_list(F.struct("gram", "surroundings", "count", "first", "last")).alias("todo"))
-    packed = map_texts(texts, packer, "packed binary").join(lists, "key").select("todo", F.struct("packed", "todo").alias("row"))
+    lists = todo.groupBy("row").agg(F.collect_list(F.struct("gram", "surroundings", "count", "first", "last")).alias("todo"))
+    packed = rows.select("row", "packed").join(lists, "row").select("todo", F.struct("packed", "todo").alias("row"))
     cut = map_texts(packed, stretches_of, "stretches array<binary>")
     cut = cut.select(F.explode(F.arrays_zip("todo", "stretches")).alias("e")).select("e.todo.gram", "e.todo.surroundings", "e.todo.count", F.col("e.stretches").alias("stretch"))
-    cut = materialise(cut.dropDuplicates(["gram", "surroundings"]))
+    cut = materialise(cut)
     # few stretches of an anchor are compared at once, in one task; many are spread out string by string
     few = cut.where(F.col("count") <= FEW).groupBy("gram").agg(F.collect_list(F.struct("stretch", "surroundings")).alias("all"))
     size = F.aggregate("all", F.lit(0), lambda acc, x: acc + F.octet_length(x["stretch"]))
@@ -218,17 +222,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     few = few.where(F.size("at") > 0)
     many = map_texts(cut.where(F.col("count") > MIDDLE).select("gram", "surroundings", "stretch"), singly, "strings array<long>")
     many = materialise(many.select("gram", "surroundings", F.posexplode("strings").alias("at", "string")))
-    again = many.groupBy("gram", "string").count().where("count > 1").select("gram", "string")
+    again = materialise(many.groupBy("gram", "string").count().where("count > 1").select("gram", "string"))
     many = many.join(again, ["gram", "string"]).groupBy("gram", "surroundings").agg(F.sort_array(F.collect_set("at")).alias("at"))
     parts = few.union(many)
     verdict = kinds.where("n > 1").select("gram", "surroundings", F.lit(None).cast("array<int>").alias("at"))
     whole = kinds.where("n > 1").select("gram", "surroundings")
-    verdict = verdict.union(parts.join(whole, ["gram", "surroundings"], "left_anti"))
+    verdict = materialise(verdict.union(parts.join(whole, ["gram", "surroundings"], "left_anti")))
     owners = shared.join(verdict, ["gram", "surroundings"])
     spans = F.when(F.col("at").isNull(), F.array(F.struct("first", "last"))).otherwise(
         F.transform("at", lambda a: F.struct((F.col("first") + a).alias("first"), (F.col("first") + a).alias("last")))
     )
-    return owners.select("key", spans.alias("spans")).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return owners.select("row", spans.alias("spans")).groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def cutter() -> Callable[[list], list[tuple]]:
@@ -246,15 +250,18 @@ def cutter() -> Callable[[list], list[tuple]]:
     return lambda rows: [cut(r) for r in rows]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 2) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int | None = None) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept) for each row of docs: the bytes left when each byte that a repeated
     string of LENGTH bytes covers is gone.
 
-    A null text counts as empty; texts shorter than LENGTH lose nothing. Repeated rows are copies of each other, and
-    lose all that LENGTH bytes can cover; so do rows with null ids. An empty table gives an empty result; other columns
-    are ignored.
+    The rows come in LEAST_BATCHES batches, or in as many more as BATCH_BYTES each make; the result is the same for any
+    number. A null text counts as empty; texts shorter than LENGTH lose nothing. Repeated rows are copies of each other,
+    and lose all that LENGTH bytes can cover; so do rows with null ids. An empty table gives an empty result; other
+    columns are ignored.
     """
-    spans = repeated_spans(docs, id_col, text_col, batches)
-    rows = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).cast("binary").alias("text"))
-    rows = map_texts(rows, packer, "packed binary").join(spans, "key", "left").select("id", F.struct("packed", "spans").alias("row"))
-    return map_texts(rows, cutter, "n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("id", id_col)
+    rows = indexed(docs, id_col, text_col)
+    if batches is None:
+        batches = max(LEAST_BATCHES, -(-(rows.agg(F.sum("n_bytes")).first()[0] or 0) // BATCH_BYTES))
+    spans = repeated_spans(rows, batches)
+    left = rows.select("row", "id", "packed").join(spans, "row", "left").select("id", F.struct("packed", "spans").alias("row"))
+    return map_texts(left, cutter, "n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("id", id_col)
