@@ -3,52 +3,82 @@
 A text's terms are its words, weighted by how often they stand in it. For each of SAMPLES samples a term draws from its
 own hash r and c, both gamma(2, 1), and b, uniform; with weight w it quantises t = floor(ln w / r + b) and competes
 with ln a = ln c - r (t - b + 1). The term with the smallest a wins, and (term, t) is the sample. Two texts have equal
-samples with a probability that is the generalised Jaccard similarity of their weights.
+samples with a probability that is the generalised Jaccard similarity of their weights; the share of equal samples has a
+standard error of sqrt(J (1 - J) / SAMPLES), 0.0625 at most.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import materialise, numbered
 from .decontam import words_of
 
-SAMPLES = 16
-#: Rows that the ordering by id aims to put into one group, and the largest number of groups.
-GROUP_ROWS, MOST_GROUPS = 2000, 4096
-
-
-def sample(term: Column, log_weight: Column, k: int) -> Column:
-    """A long that orders by a (31 bits) and ends in the hash of (term, t) (32 bits)."""
-    x, y = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
-    unit = lambda h, bit: (F.shiftrightunsigned(h, bit).bitwiseAND(F.lit(0x1FFFFF)) + 0.5) / float(1 << 21)
-    r = -F.ln(unit(x, 0) * unit(x, 21))
-    log_c = F.ln(-F.ln(unit(y, 0) * unit(y, 21)))
-    b = unit(y, 42)
+#: Samples of a fingerprint, and how many of them one aggregation draws.
+SAMPLES, AT_ONCE = 64, 16
+#: Coefficients of u, u^2, ... in -log2(1 - u / 2), fitted on [0, 1] to some 1e-6.
+_U = np.linspace(0, 1, 1001)[1:]
+HALVES = np.linalg.lstsq(_U[:, None] ** np.arange(1, 7), -np.log2(1 - _U / 2), rcond=None)[0].tolist()
+
+
+def exponential(h: Column, bit: int) -> Column:
+    """A draw from the exponential distribution by 32 bits of h: a number of halvings, and how far it goes into the last."""
+    part = F.shiftrightunsigned(h, bit).bitwiseAND(F.lit(0xFFFF)).bitwiseOR(F.lit(0x10000))
+    halvings = F.bit_count(part.bitwiseAND(-part) - 1)
+    u = F.shiftrightunsigned(h, bit + 16).bitwiseAND(F.lit(0xFFFF)) * (1.0 / (1 << 16))
+    further = F.lit(HALVES[-1])
+    for c in reversed(HALVES[:-1]):
+        further = further * u + F.lit(c)
+    return (halvings + further * u) * math.log(2)
+
+
+def sample(term: Column, log_weight: Column, k: Column) -> Column:
+    """A long that orders by a (31 bits) and ends in the hash of (term, t) (32 bits); null for a null weight."""
+    x, y = F.xxhash64(term, 2 * k), F.xxhash64(term, 2 * k + 1)
+    gamma = lambda h: exponential(h, 0) + exponential(h, 32) + 1e-9
+    r, log_c = gamma(x), F.ln(gamma(y))
+    b = F.shiftrightunsigned(F.xxhash64(x, y), 12) * (1.0 / (1 << 52))
     t = F.floor(log_weight / r + b)
     log_a = log_c - r * (t - b + 1)
     rank = F.least(F.greatest((log_a + 100) * float(1 << 24), F.lit(0.0)), F.lit(float((1 << 31) - 1))).cast("long")
     return F.shiftleft(rank, 32).bitwiseOR(F.shiftrightunsigned(F.xxhash64(term, t), 32))
 
 
-def signatures(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-    """The distinct keys of texts with samples, an array of SAMPLES longs. A text without words is one term itself."""
-    words = words_of(F.col(text_col))
-    rows = texts.select(*keys, F.col(text_col).alias("__text"), words.alias("__words"))
-    own = F.array(F.xxhash64("__text"))
-    hashed = rows.select(*keys, F.when(F.size("__words") > 0, F.sort_array(F.transform("__words", lambda w: F.xxhash64(w)))).otherwise(own).alias("__h"))
-    at = F.filter(F.sequence(F.lit(0), F.size("__h") - 1), lambda i: (i == 0) | (F.get("__h", i) != F.get("__h", i - 1)))
-    runs = hashed.select(*keys, "__h", at.alias("__at"))
-    following = F.concat(F.slice("__at", 2, F.size("__at")), F.array(F.size("__h")))
-    pairs = F.zip_with("__at", following, lambda i, j: F.struct(F.get("__h", i).alias("term"), (j - i).alias("weight")))
-    terms = runs.select(*keys, F.explode(pairs).alias("__t")).select(*keys, F.col("__t.term").alias("term"), F.ln("__t.weight").alias("log_weight"))
-    best = terms.groupBy(*keys).agg(*(F.min(sample(F.col("term"), F.col("log_weight"), k)).alias(f"__s{k}") for k in range(SAMPLES)))
-    return best.select(*keys, F.array(*(F.col(f"__s{k}").bitwiseAND(F.lit(0xFFFFFFFF)) for k in range(SAMPLES))).alias("samples"))
+def terms_of(text: Column) -> Column:
+    """A text's words; a text without words is one term itself."""
+    words = words_of(text)
+    return F.when(F.size(words) > 0, words).otherwise(F.array(text))
+
+
+def signatures(rows: DataFrame, sides: tuple[str, ...]) -> DataFrame:
+    """(row, sides) for rows (row, sides): the samples of the text of each side, as arrays of SAMPLES ints.
+
+    The sides of a row share the draws of the terms that they share. Rows dealt by row stay where they are: the
+    aggregations need no shuffle of their own.
+    """
+    parts = rows.select("row", F.explode(F.array(*(F.struct(F.lit(k).alias("side"), terms_of(F.col(s)).alias("words")) for k, s in enumerate(sides)))).alias("s"))
+    words = parts.select("row", "s.side", F.explode("s.words").alias("word"))
+    terms = words.select("row", "side", F.xxhash64("word").alias("term")).groupBy("row", "term")
+    weighed = terms.agg(*(F.count_if(F.col("side") == k).alias(f"w{k}") for k in range(len(sides))))
+    logs = (F.ln(F.nullif(F.col(f"w{k}"), F.lit(0))).alias(f"l{k}") for k in range(len(sides)))
+    drawn = weighed.select("row", "term", *logs, F.explode(F.sequence(F.lit(0), F.lit(SAMPLES // AT_ONCE - 1))).alias("block"))
+    first = F.col("block") * AT_ONCE
+    best = drawn.groupBy("row", "block").agg(
+        *(F.min(sample(F.col("term"), F.col(f"l{k}"), first + j)).alias(f"s{k}_{j}") for j in range(AT_ONCE) for k in range(len(sides)))
+    )
+    low = lambda c: F.shiftright(F.shiftleft(F.col(c), 32), 32).cast("int")
+    packed = best.select("row", F.struct("block", *(F.array(*(low(f"s{k}_{j}") for j in range(AT_ONCE))).alias(s) for k, s in enumerate(sides))).alias("b"))
+    whole = packed.groupBy("row").agg(F.sort_array(F.collect_list("b")).alias("b"))
+    return whole.select("row", *(F.flatten(F.col("b")[s]).alias(s) for s in sides))
 
 
 def as_text(samples: Column) -> Column:
-    return F.array_join(F.transform(samples, lambda s: F.lpad(F.lower(F.hex(s)), 8, "0")), "")
+    digits = lambda s: F.lpad(F.lower(F.hex(s.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")
+    return F.array_join(F.transform(samples, digits), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -56,69 +86,59 @@ def likeness(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) / F.lit(float(SAMPLES))
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, next_id, next_text): each document with the next in descending order of id, the first after the last.
+def following(texts: DataFrame) -> DataFrame:
+    """(row, id, n, next_row), written: each of texts (row, id, text) with its length and the row of the next one.
 
-    Documents are dealt into groups of neighbours by quantiles of the id; the largest of each group is also sent to
-    the group before, so that each group is ordered on its own and texts are shuffled once. Equal ids order by text,
-    null ids come last.
+    The order is by id, descending, null ids last, equal ids by the hash of their text; the first row follows the last.
+    Only ids are sorted. A part of the sorted rows knows all its neighbours but the first of the next part, and these
+    firsts, one a part, are broadcast.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = rows.count()
-    groups = max(1, min(MOST_GROUPS, n // GROUP_ROWS))
-    cuts = rows.agg(F.percentile_approx("id", [i / groups for i in range(1, groups)] or [0.5], 100 * groups)).first()[0] or []
-    cuts = sorted(set(cuts)) if groups > 1 else []
-    group = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<long>"), lambda c: c < F.col("id"))) if cuts else F.lit(0)
-    group = F.when(F.col("id").isNull(), 0).otherwise(group)
-    tops = rows.select("id", group.alias("g")).groupBy("g").agg(F.max("id").alias("id"))  # MOST_GROUPS rows at most
-    order = Window.orderBy("g")
-    lowest = F.min("g").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    tops = tops.select(F.col("id").alias("top"), F.coalesce(F.lead("g").over(order), lowest).alias("sent_to"))
-    dealt = rows.withColumn("g", group).join(F.broadcast(tops), F.col("id") == F.col("top"), "left")
-    places = F.array_compact(F.array(F.struct(F.col("g"), F.lit(False).alias("guest")), F.when(F.col("sent_to").isNotNull(), F.struct(F.col("sent_to").alias("g"), F.lit(True).alias("guest")))))
-    dealt = dealt.select("id", "text", F.explode(places).alias("p")).select("id", "text", "p.g", "p.guest")
-    following = Window.partitionBy("g").orderBy("guest", F.col("id").desc_nulls_last(), "text")
-    led = dealt.select("id", "text", "guest", F.lead("id").over(following).alias("next_id"), F.lead("text").over(following).alias("next_text"))
-    return led.where(~F.col("guest")).drop("guest")
-
-
-def edited(text: Column, following: Column) -> Column:
-    """text with its last third replaced by as much of the beginning of following."""
-    n = F.char_length(text)
-    third = F.floor(n / 3).cast("int")
-    return F.concat(F.substring(text, F.lit(1), n - third), F.substring(following, F.lit(1), third))
+    order = [F.col("id").desc_nulls_last(), "version", "row"]
+    keys = texts.select("row", "id", F.char_length("text").alias("n"), F.xxhash64("text").alias("version"))
+    parts = materialise(keys.orderBy(*order).withColumn("part", F.spark_partition_id()))
+    inside = Window.partitionBy("part").orderBy(*order)
+    led = parts.select("row", "id", "n", "part", F.lead("row").over(inside).alias("after"), F.row_number().over(inside).alias("place"))
+    whole = Window.partitionBy().orderBy("part")  # as many rows as parts
+    first = led.where("place = 1").select("part", F.col("row").alias("first"))
+    next_first = F.coalesce(F.lead("first").over(whole), F.first("first").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    firsts = F.broadcast(first.select("part", next_first.alias("other")))
+    return materialise(led.join(firsts, "part").select("row", "id", "n", F.coalesce("after", "other").alias("next_row")))
+
+
+def plain_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, text), written: docs' rows, numbered; a null text is empty."""
+    rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    return numbered(rows).select("row", "doc.id", "doc.text")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint) for each distinct pair of id and text of docs; a null text counts as empty."""
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__whole"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__version"))
-    return signatures(rows, [id_col, "__version"], "__whole").select(id_col, as_text(F.col("samples")).alias("fingerprint"))
+    """(id, fingerprint) for each row of docs; a null text counts as empty."""
+    texts = plain_texts(docs, id_col, text_col)
+    signed = signatures(texts.select("row", "text").repartition("row"), ("text",))
+    return texts.select("row", "id").join(signed, "row").select(F.col("id").alias(id_col), as_text(F.col("text")).alias("fingerprint"))
 
 
 def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each document.
+    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each row of docs.
 
-    A null text counts as empty. Rows equal in id and text give one row; an id with several texts gives one for each,
-    next to each other in the order; a null id comes last. One document alone follows itself. An empty table gives an
-    empty result; other columns are ignored.
+    A null text counts as empty. Repeated rows and rows that share an id each give a row, next to each other in the
+    order; null ids come last. One row alone follows itself. An empty table gives an empty result; other columns are
+    ignored.
     """
-    pairs = with_next(docs, id_col, text_col).withColumn("edit", edited(F.col("text"), F.col("next_text")))
-    keys = ["id", "version", "next_id", "next_version", "n_chars", "edited_sha256", "side"]
-    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t")), F.struct(F.lit(1).alias("side"), F.col("edit").alias("t")))
-    rows = pairs.select(
-        "id", F.xxhash64("text").alias("version"), "next_id", F.xxhash64("next_text").alias("next_version"),
-        F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edit").cast("binary"), 256).alias("edited_sha256"), F.explode(sides).alias("s"),
-    ).select(*keys[:-1], "s.side", "s.t")
-    signed = signatures(rows, keys, "t")
-    both = signed.groupBy("id", "version").agg(
-        *(F.max(k).alias(k) for k in keys[2:-1]),
-        F.max(F.when(F.col("side") == 0, F.col("samples"))).alias("own"),
-        F.max(F.when(F.col("side") == 1, F.col("samples"))).alias("changed"),
-    )
-    both = checkpoint(both)
-    after = both.select(F.col("id").alias("i"), F.col("version").alias("v"), F.col("own").alias("next_own"))
-    out = both.join(after, F.expr("next_id <=> i and next_version = v"), "left")
+    texts = plain_texts(docs, id_col, text_col)
+    order = following(texts)
+    own = texts.select("row", "text")
+    third = F.floor(F.col("n") / 3).cast("int")
+    heads = own.join(order.select(F.col("next_row").alias("row"), F.col("row").alias("before"), third.alias("third")), "row")
+    heads = heads.select(F.col("before").alias("row"), F.substring("text", F.lit(1), F.col("third")).alias("head"), "third")
+    both = own.join(heads, "row").withColumn("edit", F.concat(F.substring("text", F.lit(1), F.char_length("text") - F.col("third")), "head"))
+    digests = both.select("row", "text", "edit")
+    hashed = both.select("row", F.sha2(F.col("edit").cast("binary"), 256).alias("edited_sha256"))
+    signed = materialise(signatures(digests, ("text", "edit")).join(hashed, "row"))
+    after = signed.select(F.col("row").alias("next_row"), F.col("text").alias("next_own"))
+    out = order.join(signed, "row").join(after, "next_row")
     return out.select(
-        F.col("id").alias(id_col), "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("changed")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"),
+        F.col("id").alias(id_col), F.col("n").cast("long").alias("n_chars"), "edited_sha256",
+        as_text(F.col("text")).alias("fingerprint"), as_text(F.col("edit")).alias("edited_fingerprint"),
+        likeness(F.col("text"), F.col("edit")).alias("near_edited"), likeness(F.col("text"), F.col("next_own")).alias("near_next"),
     )
