@@ -81,13 +81,19 @@ def repeats(docs, length=400):
     return out
 
 
-def edits(docs):
+def edited_texts(docs):
     order = sorted(docs, reverse=True)
     out = {}
     for i, following in zip(order, order[1:] + order[:1]):
         t, n = docs[i] or "", docs[following] or ""
-        third = len(t) // 3
-        out[i] = (len(t), sha((t[: len(t) - third] + n[:third]).encode()), following)
+        out[i] = t[: len(t) - len(t) // 3] + n[: len(t) // 3]
+    return out
+
+
+def edits(docs):
+    order, texts, out = sorted(docs, reverse=True), edited_texts(docs), {}
+    for i, following in zip(order, order[1:] + order[:1]):
+        out[i] = (len(docs[i] or ""), sha(texts[i].encode()), following)
     return out
 
 
@@ -98,3 +104,15 @@ def licences(text):
         found += [(k, label) for k in range(len(w)) if w[k : k + len(p)] == p]
     at = [k for k, _ in found]
     return len(w), len(found), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in found}))
+
+
+def shingles(text, n=5):
+    w = (text or "").lower().split()
+    return {" ".join(w[k : k + n]) for k in range(max(1, len(w) - n + 1))}
+
+
+def near_pairs(docs, least=0.8):
+    """Pairs of ids whose shingles of five words are similar by least or more; texts without words are in none."""
+    sets = {i: shingles(t) for i, t in docs.items() if (t or "").split()}
+    ids = sorted(sets)
+    return [(a, b) for k, b in enumerate(ids) for a in ids[:k] if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])]

@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and extra columns with clashing names."""
 
 import random
+import time
 
 import brute
 import public_tokenizers
@@ -74,10 +75,43 @@ def test_lines(spark):
 
 
 def test_fingerprints_of_equal_texts(spark):
-    rows = cws.edited_likeness(table(spark, ROWS)).collect()
-    same = {r.fingerprint for r in rows if r.n_chars == 27 and r.doc_id in (4, None)}
+    found = cws.edited_likeness(table(spark, ROWS)).collect()
+    assert len(found) == len(ROWS) and all(r.near_next is not None for r in found)
+    same = {r.fingerprint for r in found if r.n_chars == 27 and r.doc_id in (4, None)}
     assert len(same) == 1
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in rows)
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in found)
+    # of the two rows of document 4 one follows the other, and its edited text is its own
+    assert sorted(r.near_next for r in found if r.doc_id == 4)[1] == 1
+    alone = cws.edited_likeness(table(spark, [(7, "one two three")])).collect()
+    assert [(r.doc_id, r.n_chars, r.near_next) for r in alone] == [(7, 13, 1.0)]
+    plain = sorted(map(tuple, cws.fingerprints(table(spark, ROWS)).collect()), key=repr)
+    assert plain == sorted(((r.doc_id, r.fingerprint) for r in found), key=repr)
+
+
+def test_each_row_is_judged_by_itself(spark):
+    items = spark.createDataFrame([(1, " ".join(f"wort{i}" for i in range(30)))], "item_id long, text string")
+    bad, good = " ".join(f"wort{i}" for i in range(20)), "nothing of the kind stands here at all"
+    docs = table(spark, [(1, bad), (1, good), (None, bad), (None, good), (2, good), (2, good), (3, None)])
+    kept = decontam.decontaminate(docs, items)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(1, good), (None, good), (2, good), (2, good), (3, None)], key=repr)
+    assert decontam.contamination(docs, items).count() == 7
+
+
+def test_long_texts_are_scanned_in_proportion(spark):
+    words = [f"w{i % 5003}" for i in range(320_000)]
+    items = spark.createDataFrame([(1, " ".join(words[100:130]))], "item_id long, text string")
+    parts = [(k, " ".join(words[k * 5000 : (k + 1) * 5000])) for k in range(64)]
+
+    def seconds(rows):
+        began = time.time()
+        hit = decontam.contamination(table(spark, rows), items).agg({"n_hit": "sum"}).first()[0]
+        return time.time() - began, hit
+
+    seconds(parts)
+    short, _ = seconds(parts)
+    long, hit = seconds([(1, " ".join(words))])
+    assert hit == 30 * 64 and long < 8 * short + 10  # one task does what eight share
 
 
 def test_letters(spark):
@@ -116,9 +150,8 @@ def test_lines_of_a_large_bucket(spark, monkeypatch):
     for family in range(60):
         own = draw(300)
         rows += [(3 * family + k, own + draw(6)) for k in range(3)]
-    signed = F.transform("signed", lambda x: F.struct(x["hi"].alias("hi"), F.array(F.lit(7).cast("long")).alias("bands")))
-    buckets = linededup.buckets
-    monkeypatch.setattr(linededup, "buckets", lambda rows: buckets(rows.withColumn("signed", signed)))
+    bands_of = linededup.bands_of
+    monkeypatch.setattr(linededup, "bands_of", lambda rows: bands_of(rows).withColumn("band", F.lit(7).cast("long")).distinct())
     monkeypatch.setattr(linededup, "BLOCK", 50)
     got = {r.doc_id: r.text for r in linededup.dedup_lines(table(spark, rows)).collect()}
     assert got == {i: t if i % 3 == 0 else "" for i, t in rows}

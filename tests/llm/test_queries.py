@@ -2,6 +2,7 @@
 
 import base64
 import struct
+from collections import Counter
 
 import brute
 import public_tokenizers
@@ -9,6 +10,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
+from wayloom.llm import cws
 from wayloom.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -87,13 +89,27 @@ def test_repeats(spark, docs):
     assert any(x[1] and x[1] < x[0] for x in want.values())
 
 
+def jaccard(a, b):
+    """Generalised Jaccard similarity of two texts' words; a text without words is one term itself."""
+    x, y = (Counter(brute.words(t) or [t]) for t in (a, b))
+    return sum((x & y).values()) / sum((x | y).values())
+
+
 def test_fingerprints(spark, docs):
-    found = rows(spark, "op10_fingerprints", "n_chars", "edited_sha256", "fingerprint", "near_edited", "near_next")
-    want = brute.edits(docs)
+    found = rows(spark, "op10_fingerprints", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    want, edited = brute.edits(docs), brute.edited_texts(docs)
     assert {i: x[:2] for i, x in found.items()} == {i: x[:2] for i, x in want.items()}
     for i in docs:
         for j in docs:
             if docs[i] == docs[j]:
                 assert found[i][2] == found[j][2]
-    mean = lambda k: sum(x[k] for x in found.values()) / len(found)
-    assert 0.35 < mean(3) < 0.65 and mean(4) < mean(3)
+    alike = lambda a, b: sum(a[k : k + 8] == b[k : k + 8] for k in range(0, len(a), 8)) / (len(a) // 8)
+    errors = []
+    for i, x in found.items():
+        assert len(x[2]) == len(x[3]) == 8 * cws.SAMPLES
+        assert (alike(x[2], x[3]), alike(x[2], found[want[i][2]][2])) == x[4:]
+        for near, true in ((x[4], jaccard(docs[i] or "", edited[i])), (x[5], jaccard(docs[i] or "", docs[want[i][2]] or ""))):
+            errors.append(near - true)
+            assert abs(near - true) <= 5 * (true * (1 - true) / cws.SAMPLES) ** 0.5 + 1e-9
+    # no bias: the mean error of some hundreds of estimates of independent draws is small
+    assert abs(sum(errors) / len(errors)) < 0.02

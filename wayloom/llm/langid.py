@@ -12,7 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_texts
@@ -177,13 +177,9 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
     """
     text, lang = F.col(text_col), F.col(lang_col)
     rows = labelled.where(lang.isNotNull() & (F.char_length(text) <= chars) & text.rlike(r"\p{L}")).select(text.alias("text"), lang.alias("lang"))
-    languages = [r[0] for r in rows.select("lang").distinct().collect()]
-    texts, labels = [], []
-    for name in sorted(languages):
-        for r in rows.where(F.col("lang") == name).orderBy(F.xxhash64("text"), "text").limit(docs_per_language).collect():
-            texts.append(r["text"])
-            labels.append(name)
-    return train(texts, labels) if texts else None
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
+    some = rows.withColumn("place", place).where(F.col("place") <= docs_per_language).orderBy("lang", "place").collect()
+    return train([r["text"] for r in some], [r["lang"] for r in some]) if some else None
 
 
 def held_out(id_col: str) -> Column:
@@ -191,13 +187,14 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, lang_pred, score) for each row of docs, in one pass without a shuffle.
+def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """(id, held_out, lang_pred, score) for each row of docs, in one pass without a shuffle; with whole, the row in a struct doc too.
 
     Whole texts are read, window by window. A null text or one without a letter is 'und' with score 0, and so is any
-    text if there is no network. Repeated rows
-    and null ids each give a row of their own; an empty table gives an empty result; other columns are ignored.
+    text if there is no network. Repeated rows and null ids each give a row of their own; an empty table gives an empty
+    result; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    rows = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
+    kept = [F.struct(*(docs[c] for c in docs.columns)).alias("doc")] if whole else []
+    rows = docs.select(*kept, docs[id_col], held_out(id_col).alias("held_out"), docs[text_col].alias("text"))
     return map_texts(rows, lambda: classifier(shared.value), "lang_pred string, score double")

@@ -128,13 +128,16 @@ def bits_of(ids: DataFrame) -> DataFrame:
     return ids.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
 
 
-def buckets(rows: DataFrame) -> DataFrame:
-    """(band, centres, line), written: the lines of every bucket of two or more.
+def bands_of(rows: DataFrame) -> DataFrame:
+    return rows.select(F.explode("signed").alias("s")).select(F.col("s.hi").alias("line"), F.explode("s.bands").alias("band"))
+
+
+def buckets(all_bands: DataFrame) -> DataFrame:
+    """(band, centres, line), written: those lines of all_bands (band, line) that share a band with another.
 
     The centres of a bucket are the first and the last of its lines in two orders that differ from bucket to bucket.
     Rows whose band cannot be shared are dropped before the shuffle by a filter of fixed size.
     """
-    all_bands = rows.select(F.explode("signed").alias("s")).select(F.col("s.hi").alias("line"), F.explode("s.bands").alias("band"))
     sizes = all_bands.groupBy("band").agg(F.min("line").alias("lo"), F.max("line").alias("hi"))
     sizes = materialise(sizes.where("lo < hi").select("band"))
     word = F.pmod(F.shiftright("band", 6), F.lit(FILTER_WORDS)).cast("int")
@@ -262,7 +265,7 @@ def unjoined_pairs(shared: DataFrame, lines: DataFrame, roots: DataFrame) -> Dat
 
 def classes(rows: DataFrame) -> DataFrame:
     """(hi, lo, root), written: the lines that similar ones link, and the least line of their component."""
-    shared = buckets(rows)
+    shared = buckets(bands_of(rows))
     pairs = shared.select("line", F.explode("centres").alias("centre")).where("line <> centre")
     pairs = pairs.select(F.least("line", "centre").alias("a"), F.greatest("line", "centre").alias("b")).distinct()
     lines = sketched(rows, shared.select("line").distinct())

@@ -13,26 +13,45 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
-from .common import checkpoint, map_texts
+from .common import checkpoint, map_texts, materialise, numbered
 from .components import components
+from .linededup import FACTOR, SIMILARITY, SKETCH, buckets, mixed, unjoined_pairs
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
+#: Near copies: bits that fingerprints of single words may differ in, and words of a shingle.
+NEAR_RADIUS, NEAR_SHINGLE = 5, 5
+EMPTY = xxh64_intdigest(b"") - (1 << 64)
 #: Buckets of up to so many fingerprints are compared pair by pair; larger ones through common neighbours.
 SMALL_BUCKET = 16
 
 
-def masks() -> list[int]:
+def masks(radius: int = RADIUS) -> list[int]:
     """The bits that each table keeps, as unsigned numbers."""
-    vectors = [i % (2 ** (RADIUS + 1) - 1) + 1 for i in range(BITS)]
-    return [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2) for v in range(1, 2 ** (RADIUS + 1))]
+    vectors = [i % (2 ** (radius + 1) - 1) + 1 for i in range(BITS)]
+    return [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2) for v in range(1, 2 ** (radius + 1))]
 
 
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def print_of(hashes: list[list[int]]) -> np.ndarray:
+    """The fingerprint of each list of hashes, signed: bit by bit what more than half of them have."""
+    sizes = np.array([len(h) for h in hashes])
+    out = np.zeros(len(hashes), np.int64)
+    if sizes.any():
+        flat = np.array([h for x in hashes for h in x], "<u8")
+        bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        full = np.flatnonzero(sizes)
+        starts = (np.cumsum(sizes) - sizes)[full]
+        counts = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+        packed = np.packbits(2 * counts > sizes[full, None], axis=1, bitorder="little")
+        out[full] = np.ascontiguousarray(packed).view("<i8")[:, 0]
+    return out
+
+
 def fingerprints() -> Callable[[list], list[tuple]]:
     """A function from texts (bytes) to (fingerprint,), a signed 64-bit integer."""
 
@@ -43,18 +62,7 @@ def fingerprints() -> Callable[[list], list[tuple]]:
         return [xxh64_intdigest(s, SEED) for s in map(b"%b %b %b".__mod__, zip(words, words[1:], words[2:]))]
 
     def of(texts: list) -> list[tuple]:
-        hashes = [shingle_hashes(t) for t in texts]
-        sizes = np.array([len(h) for h in hashes])
-        out = np.zeros(len(texts), np.int64)
-        if sizes.any():
-            flat = np.array([h for x in hashes for h in x], "<u8")
-            bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            full = np.flatnonzero(sizes)
-            starts = (np.cumsum(sizes) - sizes)[full]
-            counts = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-            packed = np.packbits(2 * counts > sizes[full, None], axis=1, bitorder="little")
-            out[full] = np.ascontiguousarray(packed).view("<i8")[:, 0]
-        return [(int(x),) for x in out]
+        return [(x,) for x in print_of([shingle_hashes(t) for t in texts]).tolist()]
 
     return of
 
@@ -110,3 +118,89 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     later = near_duplicates(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__later"))
     return docs.join(later, docs[id_col] == later["__later"], "left_anti").dropDuplicates([id_col, text_col])
+
+
+def word_prints() -> Callable[[list], list[tuple]]:
+    """A function from texts (bytes) to (hi, lo, fp): two hashes of the text's words in order, and their fingerprint."""
+
+    def of(texts: list) -> list[tuple]:
+        words = [t.lower().split() if t else [] for t in texts]
+        known: dict = {}
+        hashes = [[known[w] if w in known else known.setdefault(w, xxh64_intdigest(w, SEED)) for w in ws] for ws in words]
+        whole = [b" ".join(ws) for ws in words]
+        own = np.array([(xxh64_intdigest(t), xxh3_64_intdigest(t)) for t in whole], np.uint64).reshape(len(texts), 2).view(np.int64).tolist()
+        return [(hi, lo, fp) for (hi, lo), fp in zip(own, print_of(hashes).tolist(), strict=True)]
+
+    return of
+
+
+def shingle_sets() -> Callable[[list], list[tuple]]:
+    """A function from texts to (size, sketch, set): the hashes of the shingles of NEAR_SHINGLE words, sorted; the whole
+    text is one shingle if it has fewer."""
+
+    def one(text: bytes) -> tuple:
+        words = text.lower().split()
+        h = np.array([xxh64_intdigest(w, SEED) for w in words], np.uint64)
+        n = max(1, len(h) - NEAR_SHINGLE + 1)
+        run = np.full(n, len(h) if len(h) < NEAR_SHINGLE else NEAR_SHINGLE, np.uint64)
+        for k in range(min(NEAR_SHINGLE, len(h))):
+            run = mixed(run * np.uint64(FACTOR) + h[k : k + n])
+        run = np.unique(run)
+        words_ = np.zeros(SKETCH, np.uint64)
+        np.bitwise_xor.at(words_, (run & np.uint64(SKETCH - 1)).astype(np.int64), np.uint64(1) << (run >> np.uint64(8) & np.uint64(63)))
+        return len(run), words_.view(np.int64).tolist(), run.view(np.int64).tolist()
+
+    return lambda texts: [one(t or b"") for t in texts]
+
+
+def similar_sets() -> Callable[[list], list[tuple]]:
+    """A function from pairs of sets to (similarity,)."""
+
+    def of(pair: dict) -> tuple:
+        both = np.concatenate((np.array(pair["x"], np.int64), np.array(pair["y"], np.int64)))
+        both.sort()
+        common = int(np.count_nonzero(both[1:] == both[:-1]))
+        return (common / (len(both) - common),)
+
+    return lambda pairs: [of(p) for p in pairs]
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that are the first of their group, in docs' own columns.
+
+    A group is what texts with equal words, and links between texts, join: fingerprints of single words that differ in
+    NEAR_RADIUS bits or fewer, and shingles of NEAR_SHINGLE words whose Jaccard similarity is SIMILARITY or more. The
+    fingerprint only finds pairs; what links them is their shingles. A bucket of any size is compared with its centres,
+    then whatever these do not join with the rest, block by block. The first row is that of the smallest id, null ids
+    last, however many rows share it. Texts without words, null ones included, are no copies of each other and stay.
+    """
+    rows = numbered(docs)
+    text = F.col("doc")[text_col].cast("binary")
+    prints = materialise(map_texts(rows.select("row", F.col("doc")[id_col].alias("id"), text.alias("text")), word_prints, "hi long, lo long, fp long"))
+    blank = F.col("hi") == EMPTY
+    worded = prints.where(~blank)
+    nodes = materialise(worded.groupBy("hi").agg(F.min("fp").alias("fp"), F.min("lo").alias("lo"), F.min("row").alias("row")))
+    keys = F.explode(F.array(*(F.xxhash64(F.lit(v), F.col("fp").bitwiseAND(F.lit(signed(m)))) for v, m in enumerate(masks(NEAR_RADIUS)))))
+    shared = buckets(nodes.select(F.col("hi").alias("line"), keys.alias("band")))
+    some = shared.select(F.col("line").alias("hi")).distinct().join(nodes, "hi").select("row", "hi")
+    texts = rows.select("row", text.alias("text")).join(some, "row").select("hi", "text")
+    sets = materialise(map_texts(texts, shingle_sets, "size long, sketch array<long>, set array<long>"))
+    first = F.element_at("centres", 1).alias("centre")
+    pairs = shared.select("line", first).where("line <> centre").select(F.least("line", "centre").alias("a"), F.greatest("line", "centre").alias("b")).distinct()
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Those of pairs (a, b) near enough in fingerprints and in shingles."""
+        prints = nodes.select("hi", "fp")
+        near = pairs.join(prints.toDF("a", "p"), "a").join(prints.toDF("b", "q"), "b").where(F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= NEAR_RADIUS)
+        own = sets.select("hi", "set")
+        both = near.select("a", "b").join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select("a", "b", F.struct(F.size("x").alias("size"), "x", "y").alias("pair"))
+        return map_texts(both, similar_sets, "similarity double").where(F.col("similarity") >= SIMILARITY - 1e-9).select("a", "b")
+
+    roots = components(linked(pairs))
+    rest = unjoined_pairs(shared, sets, roots)
+    if not rest.isEmpty():
+        roots = components(roots.toDF("a", "b").union(linked(rest)))
+    joined = worded.join(roots, F.col("hi") == F.col("node"), "left").select(F.coalesce("root", "hi").alias("root"), "id", "row")
+    heads = joined.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("head")).select("head.row")
+    stay = heads.union(prints.where(blank).select("row"))
+    return rows.join(stay, "row", "left_semi").select(*(F.col("doc")[c].alias(c) for c in docs.columns))
