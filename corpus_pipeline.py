@@ -14,18 +14,18 @@ from wayloom.llm.bpe import bpe_decode, bpe_encode
 from wayloom.llm.common import materialise, read
 from wayloom.llm.decontam import decontaminate
 from wayloom.llm.linededup import dedup_lines
-from wayloom.llm.simhash import keep_first
+from wayloom.llm.simhash import near_copies
 
 #: Documents whose language is less certain than this go, with those that have no letter.
 LEAST_SCORE = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the rows of docs whose language can be told. An id goes only if all its rows are rejected."""
+    """Keeps the rows of docs whose language can be told; each row is judged by its own text."""
     net = langid.learn(docs.where(~langid.held_out("doc_id")))
-    told = langid.identify(docs, net).where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
-    told = told.select(F.col("doc_id").alias("__told")).distinct()
-    return docs.join(told, docs["doc_id"].eqNullSafe(told["__told"]), "left_semi")
+    told = langid.identify(docs, net, whole=True)
+    sure = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
+    return told.where(sure).select(*(F.col("doc")[c].alias(c) for c in docs.columns))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_first(docs)
+    return near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
