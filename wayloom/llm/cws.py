@@ -45,7 +45,8 @@ def sample(term: Column, log_weight: Column, k: Column) -> Column:
     t = F.floor(log_weight / r + b)
     log_a = log_c - r * (t - b + 1)
     rank = F.least(F.greatest((log_a + 100) * float(1 << 24), F.lit(0.0)), F.lit(float((1 << 31) - 1))).cast("long")
-    return F.shiftleft(rank, 32).bitwiseOR(F.shiftrightunsigned(F.xxhash64(term, t), 32))
+    whole = F.shiftleft(rank, 32).bitwiseOR(F.shiftrightunsigned(F.xxhash64(term, t), 32))
+    return F.when(log_weight.isNotNull(), whole)  # least() and greatest() pass over nulls
 
 
 def terms_of(text: Column) -> Column:
