@@ -39,6 +39,11 @@ def normalise_features(features: DataFrame, layer: str, int_fields: tuple[str, .
     return out.withColumn("slug", F.when(F.col("name").isNotNull(), slugify(F.col("name"))))
 
 
+def append_patches(features: DataFrame, patches: DataFrame) -> DataFrame:
+    """Hand-written places after those of the map; columns that one side lacks are null."""
+    return features.unionByName(patches, allowMissingColumns=True)
+
+
 def drop_unnamed(features: DataFrame) -> DataFrame:
     return features.where("name IS NOT NULL AND name <> ''")
 

@@ -39,14 +39,14 @@ def pending_titles(wanted: DataFrame, cached: DataFrame) -> DataFrame:
     return wanted.join(cached.select("wiki", "slug"), ["wiki", "slug"], "left_anti")
 
 
-def resolve_aliases(aliases: DataFrame, rounds: int = 64) -> DataFrame:
+def resolve_aliases(aliases: DataFrame) -> DataFrame:
     """(title, page): where chains of (title, target) end; a chain that runs in a circle gives no page.
 
     Pointers jump twice as far each round, so rounds grow with the logarithm of the longest chain.
     """
     now = checkpoint(aliases.select("title", F.col("target").alias("page"), F.lit(False).alias("ended")))
     open_before = -1
-    for _ in range(rounds):
+    while True:
         ahead = now.select(F.col("title").alias("t"), F.col("page").alias("p"), F.col("ended").alias("e"))
         step = now.join(ahead, (F.col("page") == F.col("t")) & ~F.col("ended"), "left")
         ended = F.col("ended") | F.col("t").isNull() | F.coalesce("e", F.lit(False))

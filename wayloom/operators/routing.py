@@ -168,28 +168,29 @@ _STATE = T.StructType([
 ])
 
 
-def search(starts: DataFrame, cells: DataFrame, size: int = BLOCK, supersteps: int = 100_000) -> DataFrame:
-    """(mode, origin, cx, cy, weighted, miles), in cells, for every cell that starts (mode, origin, cx, cy) lead to."""
+def search(starts: DataFrame, cells: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(mode, origin, cx, cy, weighted, miles), in cells, for every cell that starts (mode, origin, cx, cy) lead to.
+
+    It ends when no block sends an offer: a block sends one only for a cell that has become cheaper.
+    """
     blocks = checkpoint(blocks_of(cells, size))
     keys = ["mode", "origin", "bx", "by"]
     block = lambda c: F.floor(F.col(c) / size).cast("int")
     offers = starts.select("mode", F.col("origin").cast("long").alias("origin"), "cx", "cy", F.lit(0.0).alias("weighted"), F.lit(0.0).alias("miles"))
     state = None
-    for _ in range(supersteps):
+    while True:
         news = offers.groupBy("mode", "origin", block("cx").alias("bx"), block("cy").alias("by")).agg(F.collect_list(F.struct("cx", "cy", "weighted", "miles")).alias("news"))
         active = news.join(blocks, ["bx", "by"])
         known = state.select(*keys, "weighted", "miles") if state is not None else None
         active = active.join(known, keys, "left") if known is not None else active.withColumns({c: F.lit(None).cast("array<double>") for c in ("weighted", "miles")})
         done = checkpoint(active.mapInPandas(settle(size), _STATE))
         state = checkpoint(done if state is None else state.join(done.select(*keys), keys, "left_anti").union(done))
-        # offers that improve on what their cell has, at the cost of that cell
+        # each offer at the cost of its cell; the cell's block, which is read next in any case, drops what does not improve it
         out = done.select("mode", "origin", F.explode("offers").alias("o")).select("mode", "origin", "o.*")
         priced = out.join(cells.select("cx", "cy", "cls"), ["cx", "cy"]).withColumn("c", move_cost(F.col("mode"), F.col("cls"))).where("c IS NOT NULL")
         priced = priced.select("mode", "origin", "cx", "cy", (F.col("weighted") + F.col("step") * F.col("c")).alias("weighted"), (F.col("miles") + F.col("step")).alias("miles"))
         priced = priced.groupBy("mode", "origin", "cx", "cy").agg(F.min(F.struct("weighted", "miles")).alias("b")).select("mode", "origin", "cx", "cy", "b.*")
-        now = unpacked(state, blocks).select("mode", "origin", "cx", "cy", F.col("weighted").alias("w0"), F.col("miles").alias("m0"))
-        better = priced.join(now, ["mode", "origin", "cx", "cy"], "left").where("w0 IS NULL OR weighted < w0 OR (weighted = w0 AND miles < m0)")
-        offers = checkpoint(better.drop("w0", "m0"))
+        offers = checkpoint(priced)
         if offers.isEmpty():
             break
     return unpacked(state, blocks)
@@ -200,35 +201,79 @@ def unpacked(state: DataFrame, blocks: DataFrame) -> DataFrame:
     return met.select("mode", "origin", F.col("c.xs").alias("cx"), F.col("c.ys").alias("cy"), "c.weighted", "c.miles").where("weighted < double('infinity')")
 
 
-def shortest_days(journeys: DataFrame, cells: DataFrame, grid: Grid, miles_per_degree: float, size: int = BLOCK) -> DataFrame:
-    """journeys (k, mode, x1, y1, x2, y2) with miles, weighted_miles, days and error.
+def flies() -> Column:
+    return F.col("mode").isin(*(n for n, m in MODES.items() if m.get("flies")))
 
-    Flights are straight. Else both ends snap to passable cells, and one search an origin serves all its journeys;
-    error is unreachable-origin, unreachable-destination or no-route.
-    """
+
+def ends_of(journeys: DataFrame, cells: DataFrame, grid: Grid) -> DataFrame:
+    """(k, mode, ax, ay, bx, by, origin), written: the passable cells nearest to the ends of journeys on the ground; null if there is none."""
     from ..functions.geo import cell_of
 
-    flies = F.col("mode").isin(*(n for n, m in MODES.items() if m.get("flies")))
-    speed = F.lit(None).cast("double")
-    for name, m in MODES.items():
-        speed = F.when(F.col("mode") == name, m["miles_per_day"]).otherwise(speed)
-    ground = journeys.where(~flies)
+    ground = journeys.where(~flies())
     cell = lambda x, y: (cell_of(F.col(x), grid.min_lon, grid.cell, grid.width).alias("cx"), cell_of(F.col(y), grid.min_lat, grid.cell, grid.height).alias("cy"))
     a = snap_cell(ground.select("k", "mode", *cell("x1", "y1")), cells).select("k", "mode", F.col("sx").alias("ax"), F.col("sy").alias("ay"))
     b = snap_cell(ground.select("k", "mode", *cell("x2", "y2")), cells).select("k", "mode", F.col("sx").alias("bx"), F.col("sy").alias("by"))
-    ends = checkpoint(a.join(b, ["k", "mode"]).withColumn("origin", F.col("ay").cast("long") * (1 << 31) + F.col("ax")))
+    return checkpoint(a.join(b, ["k", "mode"]).withColumn("origin", F.col("ay").cast("long") * (1 << 31) + F.col("ax")))
+
+
+def search_from(ends: DataFrame, cells: DataFrame, size: int = BLOCK) -> DataFrame:
+    """search() from every start of ends that has a goal."""
     starts = ends.where("ax IS NOT NULL AND bx IS NOT NULL").select("mode", "origin", F.col("ax").alias("cx"), F.col("ay").alias("cy")).distinct()
-    found = search(starts, cells, size).select("mode", "origin", F.col("cx").alias("bx"), F.col("cy").alias("by"), "weighted", "miles")
-    routed = ends.join(found, ["mode", "origin", "bx", "by"], "left")
+    return search(starts, cells, size)
+
+
+def measured(journeys: DataFrame, ends: DataFrame, found: DataFrame, grid: Grid, miles_per_degree: float) -> DataFrame:
+    """journeys (k, mode, x1, y1, x2, y2) with miles, weighted_miles, days and error, from their ends and the cells found."""
+    speed = F.lit(None).cast("double")
+    for name, m in MODES.items():
+        speed = F.when(F.col("mode") == name, m["miles_per_day"]).otherwise(speed)
+    goals = found.select("mode", "origin", F.col("cx").alias("bx"), F.col("cy").alias("by"), "weighted", "miles")
+    routed = ends.join(goals, ["mode", "origin", "bx", "by"], "left")
     miles_per_cell = grid.cell * miles_per_degree
     error = F.when(F.col("ax").isNull(), "unreachable-origin").when(F.col("bx").isNull(), "unreachable-destination").when(F.col("weighted").isNull(), "no-route")
     routed = routed.select("k", "mode", (F.col("miles") * miles_per_cell).alias("miles"), (F.col("weighted") * miles_per_cell).alias("weighted_miles"), error.alias("error"))
     routed = routed.withColumn("days", F.col("weighted_miles") / speed)
     straight = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) * miles_per_degree
-    flown = journeys.where(flies).select("k", "mode", straight.alias("miles"), straight.alias("weighted_miles"), F.lit(None).cast("string").alias("error"), (straight / speed).alias("days"))
+    flown = journeys.where(flies()).select("k", "mode", straight.alias("miles"), straight.alias("weighted_miles"), F.lit(None).cast("string").alias("error"), (straight / speed).alias("days"))
     return routed.unionByName(flown)
 
 
+def shortest_days(journeys: DataFrame, cells: DataFrame, grid: Grid, miles_per_degree: float, size: int = BLOCK) -> DataFrame:
+    """journeys (k, mode, x1, y1, x2, y2) with miles, weighted_miles, days and error.
+
+    Flights are straight. Else both ends snap to passable cells, and one search an origin serves all its journeys;
+    error is unreachable-origin, unreachable-destination or no-route.
+    """
+    ends = ends_of(journeys, cells, grid)
+    return measured(journeys, ends, search_from(ends, cells, size), grid, miles_per_degree)
+
+
+def od_pairs(journeys: DataFrame, places: DataFrame) -> DataFrame:
+    """journeys (k, origin, destination) with x1, y1, x2, y2 of the places of these names, and error if a name is unknown.
+
+    Of places that share a name the last in order counts; an unknown origin is told before an unknown destination.
+    """
+    at = places.groupBy("name").agg(F.max_by(F.struct("lon", "lat"), "place_idx").alias("at"))
+    a, b = (at.select(F.col("name").alias(name), F.col("at").alias(alias)) for name, alias in (("origin", "a"), ("destination", "b")))
+    met = journeys.join(a, "origin", "left").join(b, "destination", "left")
+    error = F.when(F.col("a").isNull(), "unknown-origin").when(F.col("b").isNull(), "unknown-destination")
+    return met.select("k", "origin", "destination", F.col("a.lon").alias("x1"), F.col("a.lat").alias("y1"), F.col("b.lon").alias("x2"), F.col("b.lat").alias("y2"), error.alias("error"))
+
+
+def check_connectivity(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """expected (k, expected) with verdict, by found (k, reachable); a journey that was not found is unreachable."""
+    is_ = F.coalesce("reachable", F.lit(False))
+    verdict = F.when(is_ == F.col("expected"), "as expected").when(is_, "reachable but should not be").otherwise("unreachable")
+    return expected.join(found, "k", "left").select("k", "expected", is_.alias("reachable"), verdict.alias("verdict"))
+
+
+def route_fixtures(routes: DataFrame) -> DataFrame:
+    """Reference results of routes (origin, destination, mode, miles, days, error, path): what later versions are held to."""
+    blocked = F.col("error").isNotNull()
+    points = F.when(~blocked, F.size("path"))
+    return routes.select("origin", "destination", "mode", "miles", "days", points.alias("pathPoints"), flies().alias("straightLine"), blocked.alias("blocked"))
+
+
 def compare_modes(pairs: DataFrame) -> DataFrame:
     """Every pair with every mode."""
     return pairs.withColumn("mode", F.explode(F.array(*map(F.lit, MODES))))

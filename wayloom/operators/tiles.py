@@ -51,17 +51,16 @@ def kernel(passes: int) -> list[float]:
 
 
 def blur_axis(cells: DataFrame, line: str, along: str, length: int, passes: int) -> DataFrame:
-    """One axis of the blur: each cell sends its share to the cells within reach; cells beyond the edge mirror it."""
-    weights = F.array(*map(F.lit, kernel(passes)))
-    # a cell i reads places i - passes .. i + passes; a place p beyond the edge is cell -1 - p, or 2 * length - 1 - p
-    reads = F.posexplode(F.sequence(F.col(along) - passes, F.col(along) + passes)).alias("k", "p")
-    period = 2 * length
-    folded = F.pmod(F.col("p"), F.lit(period))
-    source = F.when(folded < length, folded).otherwise(period - 1 - folded)
-    wanted = cells.select(line, along, reads).select(line, along, source.alias("s"), F.element_at(weights, F.col("k") + 1).alias("w"))
-    values = cells.select(F.col(line).alias("l"), F.col(along).alias("s"), "elev")
-    met = wanted.join(values, (wanted[line] == values["l"]) & (wanted["s"] == values["s"]))
-    return met.groupBy(line, along).agg(F.sum(F.col("w") * F.col("elev")).alias("elev"))
+    """One axis of the blur, one ordered pass over each line; the cells beyond the edges mirror those inside."""
+    fold = lambda p: p % (2 * length) if p % (2 * length) < length else 2 * length - 1 - p % (2 * length)
+    beyond = [(p, fold(p)) for p in (*range(-passes, 0), *range(length, length + passes))]
+    mirror = F.broadcast(cells.sparkSession.createDataFrame(beyond, "place int, source int"))
+    ghosts = cells.join(mirror, cells[along] == mirror["source"]).select(line, F.col("place").alias(along), "elev")
+    order = Window.partitionBy(line).orderBy(along)
+    near = lambda o: F.lead("elev", o).over(order) if o > 0 else F.lag("elev", -o).over(order) if o else F.col("elev")
+    total = sum((near(o) * w for o, w in zip(range(-passes, passes + 1), kernel(passes), strict=True)), F.lit(0.0))
+    every = cells.select(line, along, "elev").union(ghosts)
+    return every.select(line, along, total.alias("elev")).where(F.col(along).between(0, length - 1))
 
 
 def blur_field(cells: DataFrame, grid: Grid, passes: int = 9) -> DataFrame:
@@ -195,29 +194,84 @@ def bilinear_axes(tiles: DataFrame, grid: Grid) -> tuple[DataFrame, DataFrame]:
     return spread(xs, ["z", "tx", "px"], "lon", grid.min_lon, grid.width, "cx", "wx"), spread(ys, ["z", "ty", "py"], "lat", grid.min_lat, grid.height, "cy", "wy")
 
 
-def bilinear_pixels(tiles: DataFrame, colours: DataFrame, grid: Grid) -> DataFrame:
-    """(z, tx, ty, px, py, r, g, b): the four cells round each pixel, weighted, truncated."""
-    xs, ys = bilinear_axes(tiles, grid)
-    met = tiles.join(xs, ["z", "tx"]).join(colours, "cx").join(ys, ["z", "ty", "cy"])
-    w = F.col("wx") * F.col("wy")
-    sums = met.groupBy("z", "tx", "ty", "px", "py").agg(*(F.sum(w * F.col(c)).alias(c) for c in "rgb"))
-    return sums.select("z", "tx", "ty", "px", "py", *((F.col(c) + 1e-9).cast("int").alias(c) for c in "rgb"))
+def pixel_cells(z: int, tx: int, ty: int, grid: Grid) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pixel columns and rows of a tile lie on the grid, in cells from its south-west corner."""
+    n, mid = 2.0**z, (np.arange(TILE) + 0.5) / TILE
+    west, east = tx / n * 360.0 - 180.0, (tx + 1) / n * 360.0 - 180.0
+    lat = np.degrees(np.arctan(np.sinh(math.pi * (1 - 2 * (ty + mid) / n))))
+    return (west + (east - west) * mid - grid.min_lon) / grid.cell, (lat - grid.min_lat) / grid.cell
+
+
+def draw_nearest(image: np.ndarray, x: np.ndarray, y: np.ndarray, x0: int, y0: int, grid: Grid) -> np.ndarray:
+    """Each pixel the value of the cell that it lies in; image holds the cells from (x0, y0) on."""
+    i, j = (np.clip(v.astype(np.int64), 0, n - 1) for v, n in ((x, grid.width), (y, grid.height)))
+    return image[(j - y0)[:, None], (i - x0)[None, :]]
+
+
+def draw_bilinear(image: np.ndarray, x: np.ndarray, y: np.ndarray, x0: int, y0: int, grid: Grid) -> np.ndarray:
+    """Each pixel the weighted mean of the four cells whose centres are round it, clamped to the grid."""
+    out = 0.0
+    (i, u), (j, v) = ((np.floor(p - 0.5).astype(np.int64), (p - 0.5) - np.floor(p - 0.5)) for p in (x, y))
+    for dy, wy in ((0, 1 - v), (1, v)):
+        for dx, wx in ((0, 1 - u), (1, u)):
+            row, col = np.clip(j + dy, 0, grid.height - 1) - y0, np.clip(i + dx, 0, grid.width - 1) - x0
+            out = out + image[row[:, None], col[None, :]] * (wy[:, None] * wx[None, :])[:, :, None]
+    return out
+
+
+def drawn(tiles: DataFrame, cells: DataFrame, grid: Grid, values: list[str], draw, finish, schema: str, block: int = 64) -> DataFrame:
+    """finish(z, tx, ty, pixels) for each of tiles, pixels being the values of cells (cx, cy, values) drawn by draw.
+
+    Cells travel in blocks to the tiles that they touch, and a tile is drawn at once: a group holds the cells under one
+    tile, and its pixels never become rows of a shuffle.
+    """
+    place = lambda c: F.floor(F.col(c) / block).cast("int")
+    packed = cells.groupBy(place("cx").alias("bx"), place("cy").alias("by")).agg(*(F.collect_list(c).alias(c) for c in ("cx", "cy", *values)))
+    n = F.pow(F.lit(2.0), F.col("z"))
+    column = lambda t: (t / n * 360.0 - 180.0 - grid.min_lon) / grid.cell
+    row = lambda t: (F.degrees(F.atan(F.sinh(math.pi * (1 - 2 * t / n)))) - grid.min_lat) / grid.cell
+    held = lambda v, count: F.floor(F.least(F.greatest(v, F.lit(0.0)), F.lit(count - 1.0)) / block).cast("int")
+    span = lambda low, high, count: F.explode(F.sequence(held(low - 2, count), held(high + 2, count)))
+    spread = tiles.select("z", "tx", "ty", span(column(F.col("tx")), column(F.col("tx") + 1), grid.width).alias("bx"))
+    spread = spread.select("*", span(row(F.col("ty") + 1), row(F.col("ty")), grid.height).alias("by"))
 
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        z, tx, ty = (int(pdf[c].iloc[0]) for c in ("z", "tx", "ty"))
+        x, y = np.concatenate(pdf.cx.to_list()), np.concatenate(pdf.cy.to_list())
+        image = np.zeros((int(y.max() - y.min()) + 1, int(x.max() - x.min()) + 1, len(values)))
+        for k, c in enumerate(values):
+            image[y - y.min(), x - x.min(), k] = np.concatenate(pdf[c].to_list())
+        return finish(z, tx, ty, draw(image, *pixel_cells(z, tx, ty, grid), int(x.min()), int(y.min()), grid))
 
-def pack_tiles(pixels: DataFrame) -> DataFrame:
-    """(z, tx, ty, rgb): one binary of TILE * TILE * 3 bytes a tile, rows from north, missing pixels black."""
+    return spread.join(packed, ["bx", "by"]).groupBy("z", "tx", "ty").applyInPandas(one, schema)
+
+
+def as_pixels(z: int, tx: int, ty: int, rgb: np.ndarray) -> pd.DataFrame:
+    py, px = np.divmod(np.arange(TILE * TILE, dtype=np.int32), np.int32(TILE))
+    flat = rgb.reshape(-1, 3).astype(np.int32)
+    return pd.DataFrame({"z": z, "tx": tx, "ty": ty, "px": px, "py": py, **{c: flat[:, k] for k, c in enumerate("rgb")}})
+
+
+def as_tile(z: int, tx: int, ty: int, rgb: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"z": [z], "tx": [tx], "ty": [ty], "rgb": [rgb.astype(np.uint8).tobytes()]})
+
+
+PIXEL, PACKED = "z int, tx int, ty int, px int, py int, r int, g int, b int", "z int, tx int, ty int, rgb binary"
+
+
+def bilinear_pixels(tiles: DataFrame, colours: DataFrame, grid: Grid) -> DataFrame:
+    """(z, tx, ty, px, py, r, g, b): the four cells round each pixel, weighted, truncated."""
+    finish = lambda z, tx, ty, v: as_pixels(z, tx, ty, np.floor(v + 1e-9))
+    return drawn(tiles, colours, grid, ["r", "g", "b"], draw_bilinear, finish, PIXEL)
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        image = np.zeros((TILE, TILE, 3), np.uint8)
-        image[pdf.py, pdf.px] = pdf[["r", "g", "b"]]
-        first = pdf.iloc[0]
-        return pd.DataFrame({"z": [int(first.z)], "tx": [int(first.tx)], "ty": [int(first.ty)], "rgb": [image.tobytes()]})
 
-    return pixels.groupBy("z", "tx", "ty").applyInPandas(pack, "z int, tx int, ty int, rgb binary")
+def pack_satellite(tiles: DataFrame, colours: DataFrame, grid: Grid) -> DataFrame:
+    """(z, tx, ty, rgb): one binary of TILE * TILE * 3 bytes a tile, rows from north, colours between the cells' centres."""
+    finish = lambda z, tx, ty, v: as_tile(z, tx, ty, np.floor(v + 1e-9))
+    return drawn(tiles, colours, grid, ["r", "g", "b"], draw_bilinear, finish, PACKED)
 
 
-def elevation_pixels(tiles: DataFrame, field: DataFrame, grid: Grid) -> DataFrame:
-    """(z, tx, ty, px, py, r, g, b) of elevations by the nearest cell."""
-    xs, ys = pixel_to_cell_nearest(tiles, grid)
-    met = tiles.join(xs, ["z", "tx"]).join(field, "cx").join(ys, ["z", "ty", "cy"])
-    return met.withColumn("c", terrain_rgb(F.col("elev"))).select("z", "tx", "ty", "px", "py", "c.r", "c.g", "c.b")
+def pack_tiles(tiles: DataFrame, field: DataFrame, grid: Grid) -> DataFrame:
+    """(z, tx, ty, rgb): one binary of TILE * TILE * 3 bytes a tile, rows from north: elevations by the nearest cell."""
+    coded = field.withColumn("c", terrain_rgb(F.col("elev"))).select("cx", "cy", "c.r", "c.g", "c.b")
+    return drawn(tiles, coded, grid, ["r", "g", "b"], draw_nearest, as_tile, PACKED)

@@ -127,12 +127,12 @@ def nearest_vertex(spark, sf):
 
 @query(
     "coast_snap",
-    f"""WITH {PLACE_POINTS}, {PAIRS}, n AS ({NEAREST % 'continents'}) SELECT k, arg_min(fid, (d, feature_idx)) AS fid, round(min(d) * {MPD}, 3) AS miles FROM n
-  WHERE k NOT IN (SELECT k FROM pairs WHERE layer IN ('continents', 'islands')) AND d * {MPD} <= 120 GROUP BY k""",
+    f"""WITH pts AS (SELECT k, x, y FROM {{points}}), {PAIRS}, n AS ({NEAREST % 'continents'}) SELECT k, arg_min(fid, (d, feature_idx)) AS fid, round(min(d) * {MPD}, 3) AS miles FROM n
+  WHERE d * {MPD} <= 120 AND k NOT IN (SELECT k FROM pairs WHERE layer IN ('continents', 'islands')) GROUP BY k""",
 )
 def coast_snap(spark, sf):
-    points = place_points(spark, sf)
-    pairs = joins.pip_pairs(points, polygon_edges(spark, sf)).where("layer IN ('continents', 'islands')")
+    points = fixture(spark, sf, "points")
+    pairs = joins.pip_pairs(points, polygon_edges(spark, sf).where("layer IN ('continents', 'islands')"))
     near = g.coast_snap(points.join(pairs, "k", "left_anti"), fixture(spark, sf, "continents"), MPD)
     return near.select("k", "fid", F.bround("miles", 3).alias("miles"))
 

@@ -10,6 +10,7 @@ from ..operators import lore as lo
 from ..operators import present as pr
 from ..streaming import revisions as rv
 from .fixtures import fixture, oracle
+from .w3 import recursive
 from .w1 import GAZETTEER, gazetteer
 
 QUERIES, SQL = {}, {}
@@ -22,7 +23,7 @@ def query(name, sql=None):
     def keep(f):
         QUERIES[name] = f
         if sql:
-            SQL[name] = oracle(sql)
+            SQL[name] = recursive(sql) if sql.startswith("WITH RECURSIVE") else oracle(sql)
         return f
 
     return keep
@@ -59,9 +60,12 @@ def split_sections(spark, sf):
     return a.select("doc_id", "a.lead", F.explode("a.sections").alias("s")).select("doc_id", "lead", "s.level", "s.title", "s.text")
 
 
-@query("first_paragraphs", "SELECT conv_id, array_to_string(list(text ORDER BY turn)[1:2], '\n\n') AS text FROM (SELECT * FROM {conversations} WHERE trim(text) <> '' AND NOT contains(text, '\n\n')) AS c GROUP BY conv_id")
+@query(
+    "first_paragraphs",
+    """SELECT conv_id, array_to_string(list_filter(string_split(array_to_string(list(text ORDER BY turn), '\n\n'), '\n\n'), lambda b: trim(b) <> '')[1:2], '\n\n') AS text FROM {conversations} WHERE text IS NOT NULL GROUP BY conv_id""",
+)
 def first_paragraphs(spark, sf):
-    c = fixture(spark, sf, "conversations").where("trim(text) <> ''").where(~F.contains("text", F.lit("\n\n")))
+    c = fixture(spark, sf, "conversations").where("text IS NOT NULL")
     whole = c.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]), "\n\n").alias("t"))
     return whole.select("conv_id", wt.first_paragraphs(F.col("t"), 2).alias("text"))
 
@@ -100,14 +104,14 @@ def latest_revision(spark, sf):
     return lo.latest_revision(fixture(spark, sf, "revisions"))
 
 
-@query("stream_latest_revisions", "SELECT title, rev_no, text FROM (SELECT title, max(rev_no) AS rev_no, arg_max(text, rev_no) AS text FROM {revisions} GROUP BY title) AS r WHERE text <> '' AND title IN (SELECT concat('Customer#', c_custkey) FROM {customer} WHERE c_custkey % 2 = 0)")
+@query("stream_latest_revisions", "SELECT title, rev_no, text FROM (SELECT title, max(rev_no) AS rev_no, arg_max(text, rev_no) AS text FROM {revisions} GROUP BY title) AS r WHERE text <> '' AND title IN (SELECT concat('Customer#', c_custkey) FROM {customer})")
 def stream_latest_revisions(spark, sf):
     from .fixtures import FIXTURES
 
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     feed = spark.sql(FIXTURES["revisions"].replace("VARCHAR(20)", "STRING"), events=events)
-    wanted = fixture(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.concat(F.lit("Customer#"), F.col("c_custkey").cast("string")).alias("title"))
+    wanted = fixture(spark, sf, "customer").select(F.concat(F.lit("Customer#"), F.col("c_custkey").cast("string")).alias("title"))
     folder = spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints")
     return rv.run_to_end(rv.latest_of_stream(feed, wanted), folder)
 
@@ -124,10 +128,15 @@ def title_lookup(spark, sf):
     return lo.title_lookup(pages, places).select("p_partkey", F.col("slug").cast("long").alias("place_idx"))
 
 
-@query("pending_titles", "SELECT c_custkey % 3 AS wiki, c_custkey AS slug FROM {customer} WHERE c_custkey NOT IN (SELECT o_custkey FROM {orders})")
+@query(
+    "pending_titles",
+    """SELECT w.wiki, c_custkey AS slug FROM {customer}, (VALUES (0), (1), (2)) AS w(wiki)
+  WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END = w.wiki)""",
+)
 def pending_titles(spark, sf):
-    wanted = fixture(spark, sf, "customer").select((F.col("c_custkey") % 3).alias("wiki"), F.col("c_custkey").alias("slug"))
-    cached = fixture(spark, sf, "orders").select((F.col("o_custkey") % 3).alias("wiki"), F.col("o_custkey").alias("slug"))
+    wanted = fixture(spark, sf, "customer").select(F.explode(F.array(*map(F.lit, range(3)))).alias("wiki"), F.col("c_custkey").alias("slug"))
+    status = F.col("o_orderstatus")
+    cached = fixture(spark, sf, "orders").select(F.when(status == "F", 0).when(status == "O", 1).otherwise(2).alias("wiki"), F.col("o_custkey").alias("slug"))
     return lo.pending_titles(wanted, cached)
 
 
@@ -267,12 +276,27 @@ def place_caveats(spark, sf):
     return pr.place_caveats(gazetteer(spark, sf)).select("place_idx", F.array_join("caveats", "|").alias("caveats"))
 
 
-@query("place_sections", f"WITH {MERGED} SELECT slug, CASE WHEN summary IS NULL AND description IS NULL AND history IS NULL AND nullif(screenHistory, '') IS NULL THEN 'Nothing is written' ELSE concat_ws('|', CASE WHEN summary IS NOT NULL THEN 'Summary' END, CASE WHEN description IS NOT NULL THEN 'Description' END, CASE WHEN history IS NOT NULL THEN 'History' END, CASE WHEN nullif(screenHistory, '') IS NOT NULL AND screenHistory IS DISTINCT FROM history THEN 'On screen' END) END AS titles FROM m")
+BLOCKS = lambda c, n: f"""array_to_string(list_transform(list_filter(string_split({c}, '\n\n'), lambda b: trim(b) <> '')[1:{n}], lambda b: concat('<p>', replace(replace(replace(replace(replace(trim(b), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '\'\'', '&#39;'), '</p>')), '')"""
+PANEL = lambda title, c, n, more="true": f"CASE WHEN nullif({c}, '') IS NOT NULL AND {more} THEN concat('{title}=', {BLOCKS(c, n)}) END"
+
+
+@query(
+    "place_sections",
+    f"""WITH {MERGED} SELECT slug, coalesce(nullif(concat_ws('|', {PANEL('Summary', 'summary', 3)}, {PANEL('Description', 'description', 6)}, {PANEL('History', 'history', 14)},
+  {PANEL('On screen', 'screenHistory', 8, 'screenHistory IS DISTINCT FROM history')}), ''), 'Nothing is written=') AS panels FROM m""",
+)
 def place_sections(spark, sf):
-    return pr.place_sections(merged(spark, sf)).select("slug", F.array_join(F.transform("panels", lambda p: p["title"]), "|").alias("titles"))
+    return pr.place_sections(merged(spark, sf)).select("slug", F.array_join(F.transform("panels", lambda p: F.concat(p["title"], F.lit("="), p["html"])), "|").alias("panels"))
+
+
+#: Labels one after another, the most important first: one step of the recursion takes one label.
+THINNED = """WITH RECURSIVE b AS (SELECT place_idx AS id, row_number() OVER (ORDER BY -size, place_idx) AS n, (lon + 10) * 40 AS a1, (lat + 50) * 40 AS b1, (lon + 10) * 40 + 8 * length(name) AS a2, (lat + 50) * 40 + 14 AS b2 FROM {many_places}),
+  tk AS (SELECT 0::BIGINT AS n, []::DOUBLE[][] AS taken, NULL::BIGINT AS id UNION ALL SELECT b.n, CASE WHEN hit THEN taken ELSE list_append(taken, [a1, b1, a2, b2]) END, CASE WHEN NOT hit THEN b.id END
+   FROM (SELECT tk.*, b.*, len(list_filter(taken, lambda t: t[1] < a2 AND a1 < t[3] AND t[2] < b2 AND b1 < t[4])) > 0 AS hit FROM (SELECT n AS n0, taken FROM tk) AS tk JOIN b ON b.n = n0 + 1) AS b)
+  SELECT id FROM tk WHERE id IS NOT NULL"""
 
 
-@query("thin_labels")
+@query("thin_labels", THINNED)
 def thin_labels(spark, sf):
     p = fixture(spark, sf, "many_places")
     x, y = (F.col("lon") + 10) * 40, (F.col("lat") + 50) * 40

@@ -153,13 +153,35 @@ def pixel_to_cell_nearest(spark, sf):
     return names(xs, "tx", "px", "cx", "x").union(names(ys, "ty", "py", "cy", "y"))
 
 
-@query("bilinear_pixels")
+#: Pixels on the grid: where their columns and rows lie, in cells.
+AXES = f"""{TILES}, px AS (SELECT z, tx, px, (tx / pow(2, z) * 360 - 180) + (360 / pow(2, z)) * (px + 0.5) / 256 + 4.0 AS v FROM (SELECT DISTINCT z, tx FROM tiles) AS q, (SELECT unnest(range(256)) AS px) AS p),
+  py AS (SELECT z, ty, py, degrees(atan(sinh(pi() * (1 - 2 * ((ty + (py + 0.5) / 256) / pow(2, z)))))) + 48.0 AS v FROM (SELECT DISTINCT z, ty FROM tiles) AS q, (SELECT unnest(range(256)) AS py) AS p)"""
+SIDE = lambda n: f"least(greatest(CAST(floor(v - 0.5) AS INT) + o, 0), {n - 1})"
+SHARE = "CASE o WHEN 0 THEN 1 - ((v - 0.5) - floor(v - 0.5)) ELSE (v - 0.5) - floor(v - 0.5) END"
+
+
+@query(
+    "bilinear_pixels",
+    f"""WITH {E0}, {SHADE}, {COLOUR}, {AXES}, bx AS (SELECT z, tx, px, {SIDE(100)} AS cx, {SHARE} AS wx FROM px, (VALUES (0), (1)) AS oo(o)), by_ AS (SELECT z, ty, py, {SIDE(96)} AS cy, {SHARE} AS wy FROM py, (VALUES (0), (1)) AS oo(o)),
+  pix AS (SELECT tiles.z, tiles.tx, tiles.ty, px, py, {', '.join(f'CAST(trunc(sum({c} * (wy * wx)) + 1e-9) AS BIGINT) AS {c}' for c in 'rgb')} FROM tiles JOIN bx ON bx.z = tiles.z AND bx.tx = tiles.tx JOIN by_ ON by_.z = tiles.z AND by_.ty = tiles.ty
+   JOIN rgb ON rgb.cx = bx.cx AND rgb.cy = by_.cy GROUP BY ALL)
+  SELECT z, tx, CAST(ty AS INT) AS ty, py, CAST(sum(r) AS BIGINT) AS r, CAST(sum(g) AS BIGINT) AS g, CAST(sum(b) AS BIGINT) AS b, CAST(sum((r + 256 * g + 65536 * b) * (px + 1)) AS BIGINT) AS check_ FROM pix GROUP BY ALL""",
+)
 def bilinear_pixels(spark, sf):
-    small = the_tiles(spark, sf).where("z = 2")
-    return t.bilinear_pixels(small, colours(spark, sf), GRID)
+    """All pixels, told row by row: sums of the colours, and one sum that also weighs where each stands."""
+    found = t.bilinear_pixels(the_tiles(spark, sf), colours(spark, sf), GRID)
+    whole = (F.col("r") + 256 * F.col("g") + 65536 * F.col("b")).cast("long") * (F.col("px") + 1)
+    return found.groupBy("z", "tx", "ty", F.col("py").cast("long").alias("py")).agg(*(F.sum(c).alias(c) for c in "rgb"), F.sum(whole).alias("check_"))
 
 
-@query("pack_tiles")
+@query(
+    "pack_tiles",
+    f"""WITH {BLUR}, {AXES}, cd AS (SELECT cx, cy, CAST(trunc((e * 0.3048::DOUBLE + 10000.0::DOUBLE) * 10.0::DOUBLE) AS INT) AS c FROM e2),
+  nx AS (SELECT z, tx, px, least(greatest(CAST(trunc(v) AS INT), 0), 99) AS cx FROM px), ny AS (SELECT z, ty, py, least(greatest(CAST(trunc(v) AS INT), 0), 95) AS cy FROM py)
+  SELECT tiles.z, tiles.tx, CAST(tiles.ty AS INT) AS ty, count(*) * 3 AS bytes, sha256(unhex(string_agg(printf('%06x', c), '' ORDER BY py, px))) AS rgb_sha256 FROM tiles JOIN nx ON nx.z = tiles.z AND nx.tx = tiles.tx JOIN ny ON ny.z = tiles.z AND ny.ty = tiles.ty
+  JOIN cd ON cd.cx = nx.cx AND cd.cy = ny.cy GROUP BY ALL""",
+)
 def pack_tiles(spark, sf):
     field = t.elevation(terrain(spark, sf), GRID)
-    return t.pack_tiles(t.elevation_pixels(the_tiles(spark, sf), field, GRID))
+    packed = t.pack_tiles(the_tiles(spark, sf), field, GRID)
+    return packed.select("z", "tx", "ty", F.octet_length("rgb").cast("long").alias("bytes"), F.sha2("rgb", 256).alias("rgb_sha256"))

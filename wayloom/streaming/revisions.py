@@ -21,7 +21,10 @@ def run_to_end(latest: DataFrame, folder: str) -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{place}/batch={number}")
 
+    columns = "title string, rev_no long, text string"
+    # an empty batch before all others, so that a stream without rows gives an empty table
+    latest.sparkSession.createDataFrame([], columns).write.parquet(f"{place}/batch=-1")
     stream = latest.writeStream.outputMode("update").option("checkpointLocation", f"{place}-state").trigger(availableNow=True).foreachBatch(write).start()
     stream.awaitTermination()
-    changes = latest.sparkSession.read.schema("title string, rev_no long, text string, batch int").parquet(place)
+    changes = latest.sparkSession.read.schema(f"{columns}, batch int").parquet(place)
     return changes.groupBy("title").agg(F.max(F.struct("rev_no", "text")).alias("r")).select("title", "r.rev_no", "r.text").where("text <> ''")
