@@ -44,8 +44,13 @@ IMPLIED_END = {
     "body": ({"head"}, {"html"}),
 }
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
+#: A comment, a tag whose quotes are closed, or another declaration. Nothing in it is tried twice.
+TOKEN = re.compile(r"""<!--(?:.*?-->|.*+)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*+>""", re.S)
+#: The beginning of a tag; if its quotes are not closed it ends at the next '>'.
+BROKEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+#: Blanks before a line and columns of a cell are held to these.
+MOST_INDENT, MOST_COLUMNS = 64, 1000
 SPACES = re.compile(r"[ \t\n\f\r]+")
 NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 
@@ -66,39 +71,53 @@ def attributes(text: str) -> dict:
 
 
 def parse(page: str) -> Node:
+    """The page's tree, in time that grows with its length: where open elements stand in the stack is kept by name."""
     root = Node("html", {})
     stack, at, lower = [root], 0, None
+    where: dict[str, list[int]] = {}
+
+    def cut(i: int) -> None:
+        while len(stack) > i:
+            where[stack.pop().name].pop()
 
     def close(names: set, scope: set) -> None:
         """Ends the innermost open element of names, and all within it, unless one of scope stands between."""
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in names:
-                del stack[i:]
-                return
-            if stack[i].name in scope:
-                return
+        last = lambda of: max((where[n][-1] for n in of if where.get(n)), default=0)
+        found = last(names)
+        if found and found >= last(scope):
+            cut(found)
 
     def start(name: str, attrs: dict) -> None:
         node = Node(name, attrs)
         stack[-1].children.append(node)
         if name not in VOID:
+            where.setdefault(name, []).append(len(stack))
             stack.append(node)
 
     def text(part: str) -> None:
         part = html.unescape(part)
         if stack[-1].name == "head" and part.strip(" \t\n\f\r"):
-            stack.pop()
+            cut(len(stack) - 1)
         stack[-1].children.append(part)
 
-    while m := TOKEN.search(page, at):
+    begin = at
+    while (begin := page.find("<", begin)) >= 0:
+        m = TOKEN.match(page, begin)
+        if not m:
+            if page.find(">", begin) < 0:
+                break  # no tag ends after this
+            m = BROKEN.match(page, begin)
+            if not m:
+                begin += 1
+                continue
         if m.start() > at:
             text(page[at : m.start()])
-        at = m.end()
+        begin = at = m.end()
         name = m[2] and m[2].lower()
         if not name:
             continue
         if m[1]:
-            if name == "p" and not any(n.name == "p" for n in stack):
+            if name == "p" and not where.get("p"):
                 stack[-1].children.append(Node("p", {}))
             elif name == "br":
                 stack[-1].children.append(Node("br", {}))
@@ -108,8 +127,8 @@ def parse(page: str) -> Node:
         if name == "html":
             continue
         if stack[-1].name == "head" and name not in IN_HEAD:
-            stack.pop()
-        if m[3].rstrip().endswith("/") and (name in ("svg", "math") or any(n.name in ("svg", "math") for n in stack)):
+            cut(len(stack) - 1)
+        if m[3].rstrip().endswith("/") and (name in ("svg", "math") or where.get("svg") or where.get("math")):
             stack[-1].children.append(Node(name, attributes(m[3])))
             continue
         if name in CLOSES_P:
@@ -129,7 +148,7 @@ def parse(page: str) -> Node:
             end = lower.find(f"</{name}", at)
             end = len(page) if end < 0 else end
             stack[-1].children.append(html.unescape(page[at:end]) if name == "textarea" else page[at:end])
-            at = end
+            begin = at = end
     if at < len(page):
         text(page[at:])
     return root
@@ -140,13 +159,28 @@ def visible(node: Node) -> bool:
     return node.name not in UNSEEN and (not a or not ("hidden" in a or NOT_SHOWN.search(a.get("style", ""))))
 
 
+def shown(node: Node) -> list:
+    """A node's children; of closed details the summary alone."""
+    if node.name == "details" and "open" not in node.attrs:
+        return [c for c in node.children if isinstance(c, Node) and c.name == "summary"][:1]
+    return node.children
+
+
 class Canvas:
     """Lines of text; breaks and spaces are kept back until more text follows."""
 
     def __init__(self) -> None:
         self.parts: list[str] = []
         self.breaks, self.space, self.fresh = 0, False, True
-        self.indent, self.mark = "", ""
+        self.indents, self.depth, self.mark = [], 0, ""
+
+    def deeper(self, width: int) -> None:
+        self.indents.append(width)
+        self.depth += width
+
+    def higher(self) -> None:
+        self.depth -= self.indents.pop()
+        self.mark = ""
 
     def block(self, breaks: int) -> None:
         self.breaks, self.space = max(self.breaks, breaks), False
@@ -155,7 +189,7 @@ class Canvas:
         if self.breaks or self.fresh:
             if not self.fresh:
                 self.parts.append("\n" * self.breaks)
-            self.parts.append(self.indent[: len(self.indent) - len(self.mark)] + self.mark if self.mark else self.indent)
+            self.parts.append(" " * min(self.depth - len(self.mark), MOST_INDENT) + self.mark)
             self.mark = ""
         elif self.space:
             self.parts.append(" ")
@@ -176,17 +210,32 @@ class Canvas:
         return "".join(self.parts).replace("\xa0", " ")
 
 
-def table_lines(rows: list[list[str]]) -> list[str]:
-    """Cells of several lines fill as many lines of their row."""
-    cells = [[c.split("\n") for c in row] for row in rows]
-    widths = [max((len(line) for row in cells if k < len(row) for line in row[k]), default=0) for k in range(max(map(len, cells), default=0))]
+def table_lines(rows: list[list[tuple[str, int]]]) -> list[str]:
+    """Cells (text, columns) of several lines fill as many lines of their row; one over several columns widens none of them."""
+    columns = max((sum(n for _, n in row) for row in rows), default=0)
+    widths, split = [0] * columns, []
+    for row in rows:
+        k, cells = 0, []
+        for text, n in row:
+            lines = text.split("\n")
+            if n == 1:
+                widths[k] = max(widths[k], *map(len, lines))
+            cells.append((k, n, lines))
+            k += n
+        split.append(cells)
     out = []
-    for row in cells:
-        for k in range(max(map(len, row), default=0)):
-            out.append(" | ".join((c[k] if k < len(c) else "").ljust(w) for c, w in zip(row, widths, strict=False)).rstrip())
+    for cells in split:
+        for i in range(max((len(lines) for _, _, lines in cells), default=0)):
+            parts = [(lines[i] if i < len(lines) else "").ljust(sum(widths[k : k + n]) + 3 * (n - 1)) for k, n, lines in cells]
+            out.append(" | ".join(parts).rstrip())
     return out
 
 
+def span_of(node: Node) -> int:
+    n = node.attrs.get("colspan", "1").strip()
+    return min(max(int(n), 1), MOST_COLUMNS) if n.isascii() and n.isdigit() and len(n) < 9 else 1
+
+
 def render(root: Node) -> str:
     """Walks the tree with a stack of its own, as pages may nest deeper than functions can."""
     canvases, tables, lists, pre = [Canvas()], [], [], 0
@@ -197,10 +246,9 @@ def render(root: Node) -> str:
         if what == "close":
             name = node.name
             if name in ("td", "th") and tables and tables[-1][1] is not None:
-                text = canvases.pop().text()
-                tables[-1][1].append(text)
+                tables[-1][1].append((canvases.pop().text(), span_of(node)))
             elif name == "tr" and tables and tables[-1][1] is not None:
-                if any(c.strip() for c in tables[-1][1]):
+                if any(c.strip() for c, _ in tables[-1][1]):
                     tables[-1][0].append(tables[-1][1])
                 tables[-1][1] = None
             elif name == "table":
@@ -213,8 +261,7 @@ def render(root: Node) -> str:
                 lists.pop()
                 canvas.block(1 if lists else 2)
             elif name in ("li", "dd", "blockquote"):
-                canvas.indent = canvas.indent[:-4] if name != "li" else canvas.indent[: -node.attrs["__width"]]
-                canvas.mark = ""
+                canvas.higher()
                 canvas.block(2 if name == "blockquote" else 1)
             elif name == "pre":
                 pre -= 1
@@ -268,17 +315,16 @@ def render(root: Node) -> str:
             if lists and lists[-1][0]:
                 mark = f"{lists[-1][1]}. "
                 lists[-1][1] += 1
-            node.attrs["__width"] = len(mark)
-            canvas.indent += " " * len(mark)
+            canvas.deeper(len(mark))
             canvas.mark = mark
         elif name in ("dd", "blockquote"):
             canvas.block(2 if name == "blockquote" else 1)
-            canvas.indent += "    "
+            canvas.deeper(4)
         elif name in BLOCK:
             canvas.block(2 if name in SPACED else 1)
             pre += name == "pre"
         work.append(("close", node))
-        work.extend(("open", c) for c in reversed(node.children))
+        work.extend(("open", c) for c in reversed(shown(node)))
     return canvases[0].text()
 
 
