@@ -169,7 +169,22 @@ def test_lines_of_a_large_bucket(spark, monkeypatch):
         ("<p>a <svg><title>no</title><path d='x'/><text>b</text></svg> <math><mi>x</mi><mo>=</mo><mn>1</mn></math>", "a b x=1"),
         ("<div><svg/>a<math/><p>b</div>", "a\n\nb"),
         ("<div><svg hidden/>a<svg hidden />b", "ab"),
+        ("<details><summary>S</summary>closed</details><details open><summary>T</summary>shown</details>", "S\nT\nshown"),
+        ("<table><tr><td colspan=2>wide cell<td>c<tr><td>1<td>22<td>3</table>", "wide cell | c\n1 | 22 | 3"),
+        ("a < b <c d='x>y'>e <f 'g>h", "a < b e h"),
+        ("<p>a<a href=\"x>b</a> c <b>d</b>", "ab c d"),
     ],
 )
 def test_all_visible_text(page, text):
     assert html.render(html.parse(page)) == text
+
+
+@pytest.mark.parametrize("piece", ["<a \"", "<a '\">", "<div></p>", "<table><b></div>", "<blockquote>x", "<ul><li>x", "<table><tr><td>", "<", "<!--", "</", "<svg><path/>", "&", "<b x='"])
+def test_broken_pages_take_time_in_proportion(piece):
+    took = []
+    for size in (125_000, 1_000_000):
+        page = piece * (size // len(piece))
+        began = time.time()
+        assert len(html.render(html.parse(page))) <= 100 * size
+        took.append(time.time() - began)
+    assert took[1] < 24 * took[0] + 2
