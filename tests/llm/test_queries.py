@@ -111,5 +111,5 @@ def test_fingerprints(spark, docs):
         for near, true in ((x[4], jaccard(docs[i] or "", edited[i])), (x[5], jaccard(docs[i] or "", docs[want[i][2]] or ""))):
             errors.append(near - true)
             assert abs(near - true) <= 5 * (true * (1 - true) / cws.SAMPLES) ** 0.5 + 1e-9
-    # no bias: the mean error of some hundreds of estimates of independent draws is small
-    assert abs(sum(errors) / len(errors)) < 0.02
+    # no bias beyond one standard error: the texts share most words, and with them their draws
+    assert abs(sum(errors) / len(errors)) < 0.5 / cws.SAMPLES**0.5

@@ -4,82 +4,54 @@ A text's terms are its words, weighted by how often they stand in it. For each o
 own hash r and c, both gamma(2, 1), and b, uniform; with weight w it quantises t = floor(ln w / r + b) and competes
 with ln a = ln c - r (t - b + 1). The term with the smallest a wins, and (term, t) is the sample. Two texts have equal
 samples with a probability that is the generalised Jaccard similarity of their weights; the share of equal samples has a
-standard error of sqrt(J (1 - J) / SAMPLES), 0.0625 at most.
+standard error of sqrt(J (1 - J) / SAMPLES), 0.125 at most.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, numbered
 from .decontam import words_of
 
-#: Samples of a fingerprint, and how many of them one aggregation draws.
-SAMPLES, AT_ONCE = 64, 16
-#: Coefficients of u, u^2, ... in -log2(1 - u / 2), fitted on [0, 1] to some 1e-6.
-_U = np.linspace(0, 1, 1001)[1:]
-HALVES = np.linalg.lstsq(_U[:, None] ** np.arange(1, 7), -np.log2(1 - _U / 2), rcond=None)[0].tolist()
-
-
-def exponential(h: Column, bit: int) -> Column:
-    """A draw from the exponential distribution by 32 bits of h: a number of halvings, and how far it goes into the last."""
-    part = F.shiftrightunsigned(h, bit).bitwiseAND(F.lit(0xFFFF)).bitwiseOR(F.lit(0x10000))
-    halvings = F.bit_count(part.bitwiseAND(-part) - 1)
-    u = F.shiftrightunsigned(h, bit + 16).bitwiseAND(F.lit(0xFFFF)) * (1.0 / (1 << 16))
-    further = F.lit(HALVES[-1])
-    for c in reversed(HALVES[:-1]):
-        further = further * u + F.lit(c)
-    return (halvings + further * u) * math.log(2)
-
-
-def sample(term: Column, log_weight: Column, k: Column) -> Column:
-    """A long that orders by a (31 bits) and ends in the hash of (term, t) (32 bits); null for a null weight."""
-    x, y = F.xxhash64(term, 2 * k), F.xxhash64(term, 2 * k + 1)
-    gamma = lambda h: exponential(h, 0) + exponential(h, 32) + 1e-9
-    r, log_c = gamma(x), F.ln(gamma(y))
-    b = F.shiftrightunsigned(F.xxhash64(x, y), 12) * (1.0 / (1 << 52))
+#: Samples of a fingerprint.
+SAMPLES = 16
+
+
+def sample(term: Column, log_weight: Column, k: int) -> Column:
+    """A long that orders by a (31 bits) and ends in the hash of (term, t) (32 bits)."""
+    x, y = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
+    unit = lambda h, bit: (F.shiftrightunsigned(h, bit).bitwiseAND(F.lit(0x1FFFFF)) + 0.5) / float(1 << 21)
+    r = -F.ln(unit(x, 0) * unit(x, 21))
+    log_c = F.ln(-F.ln(unit(y, 0) * unit(y, 21)))
+    b = unit(y, 42)
     t = F.floor(log_weight / r + b)
     log_a = log_c - r * (t - b + 1)
     rank = F.least(F.greatest((log_a + 100) * float(1 << 24), F.lit(0.0)), F.lit(float((1 << 31) - 1))).cast("long")
-    whole = F.shiftleft(rank, 32).bitwiseOR(F.shiftrightunsigned(F.xxhash64(term, t), 32))
-    return F.when(log_weight.isNotNull(), whole)  # least() and greatest() pass over nulls
-
-
-def terms_of(text: Column) -> Column:
-    """A text's words; a text without words is one term itself."""
-    words = words_of(text)
-    return F.when(F.size(words) > 0, words).otherwise(F.array(text))
+    return F.shiftleft(rank, 32).bitwiseOR(F.shiftrightunsigned(F.xxhash64(term, t), 32))
 
 
-def signatures(rows: DataFrame, sides: tuple[str, ...]) -> DataFrame:
-    """(row, sides) for rows (row, sides): the samples of the text of each side, as arrays of SAMPLES ints.
+def signatures(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+    """The keys of texts, no two rows of which share them, with samples, an array of SAMPLES longs.
 
-    The sides of a row share the draws of the terms that they share. Rows dealt by row stay where they are: the
-    aggregations need no shuffle of their own.
+    A text without words is one term itself.
     """
-    parts = rows.select("row", F.explode(F.array(*(F.struct(F.lit(k).alias("side"), terms_of(F.col(s)).alias("words")) for k, s in enumerate(sides)))).alias("s"))
-    words = parts.select("row", "s.side", F.explode("s.words").alias("word"))
-    terms = words.select("row", "side", F.xxhash64("word").alias("term")).groupBy("row", "term")
-    weighed = terms.agg(*(F.count_if(F.col("side") == k).alias(f"w{k}") for k in range(len(sides))))
-    logs = (F.ln(F.nullif(F.col(f"w{k}"), F.lit(0))).alias(f"l{k}") for k in range(len(sides)))
-    drawn = weighed.select("row", "term", *logs, F.explode(F.sequence(F.lit(0), F.lit(SAMPLES // AT_ONCE - 1))).alias("block"))
-    first = F.col("block") * AT_ONCE
-    best = drawn.groupBy("row", "block").agg(
-        *(F.min(sample(F.col("term"), F.col(f"l{k}"), first + j)).alias(f"s{k}_{j}") for j in range(AT_ONCE) for k in range(len(sides)))
-    )
-    low = lambda c: F.shiftright(F.shiftleft(F.col(c), 32), 32).cast("int")
-    packed = best.select("row", F.struct("block", *(F.array(*(low(f"s{k}_{j}") for j in range(AT_ONCE))).alias(s) for k, s in enumerate(sides))).alias("b"))
-    whole = packed.groupBy("row").agg(F.sort_array(F.collect_list("b")).alias("b"))
-    return whole.select("row", *(F.flatten(F.col("b")[s]).alias(s) for s in sides))
+    words = words_of(F.col(text_col))
+    rows = texts.select(*keys, F.col(text_col).alias("__text"), words.alias("__words"))
+    own = F.array(F.xxhash64("__text"))
+    hashed = rows.select(*keys, F.when(F.size("__words") > 0, F.sort_array(F.transform("__words", lambda w: F.xxhash64(w)))).otherwise(own).alias("__h"))
+    at = F.filter(F.sequence(F.lit(0), F.size("__h") - 1), lambda i: (i == 0) | (F.get("__h", i) != F.get("__h", i - 1)))
+    runs = hashed.select(*keys, "__h", at.alias("__at"))
+    following = F.concat(F.slice("__at", 2, F.size("__at")), F.array(F.size("__h")))
+    pairs = F.zip_with("__at", following, lambda i, j: F.struct(F.get("__h", i).alias("term"), (j - i).alias("weight")))
+    terms = runs.select(*keys, F.explode(pairs).alias("__t")).select(*keys, F.col("__t.term").alias("term"), F.ln("__t.weight").alias("log_weight"))
+    best = terms.groupBy(*keys).agg(*(F.min(sample(F.col("term"), F.col("log_weight"), k)).alias(f"__s{k}") for k in range(SAMPLES)))
+    return best.select(*keys, F.array(*(F.col(f"__s{k}").bitwiseAND(F.lit(0xFFFFFFFF)) for k in range(SAMPLES))).alias("samples"))
 
 
 def as_text(samples: Column) -> Column:
-    digits = lambda s: F.lpad(F.lower(F.hex(s.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")
-    return F.array_join(F.transform(samples, digits), "")
+    return F.array_join(F.transform(samples, lambda s: F.lpad(F.lower(F.hex(s)), 8, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -115,8 +87,8 @@ def plain_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint) for each row of docs; a null text counts as empty."""
     texts = plain_texts(docs, id_col, text_col)
-    signed = signatures(texts.select("row", "text").repartition("row"), ("text",))
-    return texts.select("row", "id").join(signed, "row").select(F.col("id").alias(id_col), as_text(F.col("text")).alias("fingerprint"))
+    signed = signatures(texts.select("row", "text"), ["row"], "text")
+    return texts.select("row", "id").join(signed, "row").select(F.col("id").alias(id_col), as_text(F.col("samples")).alias("fingerprint"))
 
 
 def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,9 +105,12 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = own.join(order.select(F.col("next_row").alias("row"), F.col("row").alias("before"), third.alias("third")), "row")
     heads = heads.select(F.col("before").alias("row"), F.substring("text", F.lit(1), F.col("third")).alias("head"), "third")
     both = own.join(heads, "row").withColumn("edit", F.concat(F.substring("text", F.lit(1), F.char_length("text") - F.col("third")), "head"))
-    digests = both.select("row", "text", "edit")
-    hashed = both.select("row", F.sha2(F.col("edit").cast("binary"), 256).alias("edited_sha256"))
-    signed = materialise(signatures(digests, ("text", "edit")).join(hashed, "row"))
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t")), F.struct(F.lit(1).alias("side"), F.col("edit").alias("t")))
+    # the text's digest goes along as a key: rows dealt by row stay where they are
+    rows = both.select("row", F.sha2(F.col("edit").cast("binary"), 256).alias("edited_sha256"), F.explode(sides).alias("s")).select("row", "edited_sha256", "s.side", "s.t")
+    each = signatures(rows, ["row", "edited_sha256", "side"], "t")
+    sample_of = lambda side: F.max(F.when(F.col("side") == side, F.col("samples")))
+    signed = materialise(each.groupBy("row", "edited_sha256").agg(sample_of(0).alias("text"), sample_of(1).alias("edit")))
     after = signed.select(F.col("row").alias("next_row"), F.col("text").alias("next_own"))
     out = order.join(signed, "row").join(after, "next_row")
     return out.select(
