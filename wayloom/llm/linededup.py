@@ -17,7 +17,7 @@ from collections.abc import Callable
 
 import numpy as np
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
@@ -132,10 +132,11 @@ def bands_of(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode("signed").alias("s")).select(F.col("s.hi").alias("line"), F.explode("s.bands").alias("band"))
 
 
-def buckets(all_bands: DataFrame) -> DataFrame:
+def buckets(all_bands: DataFrame, one_order: bool = False) -> DataFrame:
     """(band, centres, line), written: those lines of all_bands (band, line) that share a band with another.
 
-    The centres of a bucket are the first and the last of its lines in two orders that differ from bucket to bucket.
+    The centres of a bucket are the first and the last of its lines in two orders that differ from bucket to bucket; with
+    one_order, the first in an order that all buckets share, so that lines that meet in many have few centres.
     Rows whose band cannot be shared are dropped before the shuffle by a filter of fixed size.
     """
     sizes = all_bands.groupBy("band").agg(F.min("line").alias("lo"), F.max("line").alias("hi"))
@@ -144,9 +145,9 @@ def buckets(all_bands: DataFrame) -> DataFrame:
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("band").bitwiseAND(F.lit(63)).cast("int"))
     met = all_bands.withColumn("word", word).join(F.broadcast(bits_of(sizes)), "word").where(F.col("bits").bitwiseAND(bit) != 0)
     shared = materialise(met.select("band", "line").join(sizes, "band").distinct())
-    masks = [F.col("band"), F.shiftrightunsigned("band", 1)]
-    ends = [f(F.col("line").bitwiseXOR(m)).alias(f"c{k}") for k, (m, f) in enumerate((m, f) for m in masks for f in (F.min, F.max))]
-    centres = F.array(*(F.col(f"c{k}").bitwiseXOR(masks[k // 2]) for k in range(2 * len(masks))))
+    orders = [(F.lit(0).cast("long"), F.min)] if one_order else [(m, f) for m in (F.col("band"), F.shiftrightunsigned("band", 1)) for f in (F.min, F.max)]
+    ends = [f(F.col("line").bitwiseXOR(m)).alias(f"c{k}") for k, (m, f) in enumerate(orders)]
+    centres = F.array(*(F.col(f"c{k}").bitwiseXOR(m) for k, (m, _) in enumerate(orders)))
     return materialise(shared.join(materialise(shared.groupBy("band").agg(*ends)).select("band", centres.alias("centres")), "band"))
 
 
@@ -237,6 +238,12 @@ def similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return map_texts(both, similar_pairs, "similarity double").where(F.col("similarity") >= SIMILARITY - 1e-9).select("a", "b")
 
 
+def may_be_similar(x: list[Column], y: list[Column], x_size: Column, y_size: Column) -> Column:
+    """Whether the sketches x and y of two sets leave a similarity of SIMILARITY open."""
+    apart = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in zip(x, y, strict=True)), F.lit(0))
+    return apart <= (x_size + y_size) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6
+
+
 def unjoined_pairs(shared: DataFrame, lines: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs (a, b) of a bucket that no links join yet and whose sketches leave a similarity of SIMILARITY open.
 
@@ -257,8 +264,7 @@ def unjoined_pairs(shared: DataFrame, lines: DataFrame, roots: DataFrame) -> Dat
     y = left.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), "last"))).alias("y")
     c = lambda side, name: F.col(f"{side}.{name}")
     met = (c("x", "band") == c("y", "band")) & (c("x", "i") == c("y", "i")) & (c("x", "j") == c("y", "j")) & (c("x", "root") != c("y", "root"))
-    apart = sum((F.bit_count(c("x", f"w{k}").bitwiseXOR(c("y", f"w{k}"))) for k in range(SKETCH)), F.lit(0))
-    met = met & (apart <= (c("x", "size") + c("y", "size")) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6)
+    met = met & may_be_similar(*([c(side, f"w{k}") for k in range(SKETCH)] for side in "xy"), c("x", "size"), c("y", "size"))
     pairs = x.join(y, met).select(F.least("x.line", "y.line").alias("a"), F.greatest("x.line", "y.line").alias("b"))
     return materialise(pairs.distinct())
 

@@ -17,7 +17,7 @@ from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
 from .common import checkpoint, map_texts, materialise, numbered
 from .components import components
-from .linededup import FACTOR, SIMILARITY, SKETCH, buckets, mixed, unjoined_pairs
+from .linededup import FACTOR, SIMILARITY, SKETCH, buckets, may_be_similar, mixed, unjoined_pairs
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
 #: Near copies: bits that fingerprints of single words may differ in, and words of a shingle.
@@ -134,35 +134,42 @@ def word_prints() -> Callable[[list], list[tuple]]:
     return of
 
 
-def shingle_sets() -> Callable[[list], list[tuple]]:
-    """A function from texts to (size, sketch, set): the hashes of the shingles of NEAR_SHINGLE words, sorted; the whole
-    text is one shingle if it has fewer."""
+def shingle_set(text: bytes | None) -> np.ndarray:
+    """The hashes of a text's shingles of NEAR_SHINGLE words, sorted; a text of fewer is one shingle."""
+    h = np.array([xxh64_intdigest(w, SEED) for w in (text or b"").lower().split()], np.uint64)
+    n = max(1, len(h) - NEAR_SHINGLE + 1)
+    run = np.full(n, min(len(h), NEAR_SHINGLE), np.uint64)
+    for k in range(min(NEAR_SHINGLE, len(h))):
+        run = mixed(run * np.uint64(FACTOR) + h[k : k + n])
+    return np.unique(run)
 
-    def one(text: bytes) -> tuple:
-        words = text.lower().split()
-        h = np.array([xxh64_intdigest(w, SEED) for w in words], np.uint64)
-        n = max(1, len(h) - NEAR_SHINGLE + 1)
-        run = np.full(n, len(h) if len(h) < NEAR_SHINGLE else NEAR_SHINGLE, np.uint64)
-        for k in range(min(NEAR_SHINGLE, len(h))):
-            run = mixed(run * np.uint64(FACTOR) + h[k : k + n])
-        run = np.unique(run)
-        words_ = np.zeros(SKETCH, np.uint64)
-        np.bitwise_xor.at(words_, (run & np.uint64(SKETCH - 1)).astype(np.int64), np.uint64(1) << (run >> np.uint64(8) & np.uint64(63)))
-        return len(run), words_.view(np.int64).tolist(), run.view(np.int64).tolist()
 
-    return lambda texts: [one(t or b"") for t in texts]
+def shingle_sketches() -> Callable[[list], list[tuple]]:
+    """A function from texts to (size, sketch) of their shingles: each turns one bit."""
 
+    def one(text: bytes | None) -> tuple:
+        run, words = shingle_set(text), np.zeros(SKETCH, np.uint64)
+        np.bitwise_xor.at(words, (run & np.uint64(SKETCH - 1)).astype(np.int64), np.uint64(1) << (run >> np.uint64(8) & np.uint64(63)))
+        return len(run), words.view(np.int64).tolist()
 
-def similar_sets() -> Callable[[list], list[tuple]]:
-    """A function from pairs of sets to (similarity,)."""
+    return lambda texts: [one(t) for t in texts]
 
-    def of(pair: dict) -> tuple:
-        both = np.concatenate((np.array(pair["x"], np.int64), np.array(pair["y"], np.int64)))
-        both.sort()
-        common = int(np.count_nonzero(both[1:] == both[:-1]))
-        return (common / (len(both) - common),)
 
-    return lambda pairs: [of(p) for p in pairs]
+def similar_texts() -> Callable[[list], list[tuple]]:
+    """A function from pairs of texts to (similarity,) of their shingles."""
+
+    def of(pairs: list) -> list[tuple]:
+        known: dict = {}
+        out = []
+        for p in pairs:
+            x, y = (known[t] if t in known else known.setdefault(t, shingle_set(t)) for t in (p["x"], p["y"]))
+            both = np.concatenate((x, y))
+            both.sort()
+            common = int(np.count_nonzero(both[1:] == both[:-1]))
+            out.append((common / (len(both) - common),))
+        return out
+
+    return of
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,23 +188,27 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     worded = prints.where(~blank)
     nodes = materialise(worded.groupBy("hi").agg(F.min("fp").alias("fp"), F.min("lo").alias("lo"), F.min("row").alias("row")))
     keys = F.explode(F.array(*(F.xxhash64(F.lit(v), F.col("fp").bitwiseAND(F.lit(signed(m)))) for v, m in enumerate(masks(NEAR_RADIUS)))))
-    shared = buckets(nodes.select(F.col("hi").alias("line"), keys.alias("band")))
+    shared = buckets(nodes.select(F.col("hi").alias("line"), keys.alias("band")), one_order=True)
     some = shared.select(F.col("line").alias("hi")).distinct().join(nodes, "hi").select("row", "hi")
-    texts = rows.select("row", text.alias("text")).join(some, "row").select("hi", "text")
-    sets = materialise(map_texts(texts, shingle_sets, "size long, sketch array<long>, set array<long>"))
+    texts = rows.select("row", text.alias("text")).join(some, "row").select("hi", "text", F.col("text").alias("own"))
+    texts = materialise(map_texts(texts, shingle_sketches, "size long, sketch array<long>"))
     first = F.element_at("centres", 1).alias("centre")
     pairs = shared.select("line", first).where("line <> centre").select(F.least("line", "centre").alias("a"), F.greatest("line", "centre").alias("b")).distinct()
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """Those of pairs (a, b) near enough in fingerprints and in shingles."""
-        prints = nodes.select("hi", "fp")
-        near = pairs.join(prints.toDF("a", "p"), "a").join(prints.toDF("b", "q"), "b").where(F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= NEAR_RADIUS)
-        own = sets.select("hi", "set")
-        both = near.select("a", "b").join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select("a", "b", F.struct(F.size("x").alias("size"), "x", "y").alias("pair"))
-        return map_texts(both, similar_sets, "similarity double").where(F.col("similarity") >= SIMILARITY - 1e-9).select("a", "b")
+        """Those of pairs (a, b) near enough in fingerprints and in shingles; texts are fetched last, for few pairs."""
+        prints = nodes.select("hi", "fp").join(texts.select("hi", "size", "sketch"), "hi")
+        both = pairs.join(prints.toDF("a", "p", "m", "s"), "a").join(prints.toDF("b", "q", "n", "t"), "b")
+        words = lambda c: [F.get(c, F.lit(k)) for k in range(SKETCH)]
+        near = (F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= NEAR_RADIUS) & may_be_similar(words("s"), words("t"), F.col("m"), F.col("n"))
+        near = materialise(both.where(near).select("a", "b"))
+        own = texts.select("hi", "text")
+        met = near.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b")
+        met = met.select("a", "b", F.struct((F.octet_length("x") + F.octet_length("y")).alias("size"), "x", "y").alias("pair"))
+        return map_texts(met, similar_texts, "similarity double").where(F.col("similarity") >= SIMILARITY - 1e-9).select("a", "b")
 
     roots = components(linked(pairs))
-    rest = unjoined_pairs(shared, sets, roots)
+    rest = unjoined_pairs(shared, texts, roots)
     if not rest.isEmpty():
         roots = components(roots.toDF("a", "b").union(linked(rest)))
     joined = worded.join(roots, F.col("hi") == F.col("node"), "left").select(F.coalesce("root", "hi").alias("root"), "id", "row")
