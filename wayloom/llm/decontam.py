@@ -50,9 +50,10 @@ def possible_hits(rows: DataFrame, grams: DataFrame, lengths: list[int]) -> Data
     """
     blocks = max(1, -(-grams.count() // BLOCK_WINDOWS))
     words = rows.select("row", words_of(F.col("text")).alias("words"))
-    hashes = [window_hashes(F.col("words"), n) for n in lengths]
-    every = words.select("row", F.size("words").alias("n_words"), F.concat(F.array(F.lit(None).cast("long")), *hashes).alias("h"))
-    every = every.select("row", "n_words", F.posexplode("h").alias("k", "h"))
+    # the words come in as an argument: named in the function they might be cut out anew for each window
+    windows = lambda w: F.struct(F.size(w).alias("n_words"), F.concat(F.array(F.lit(None).cast("long")), *(window_hashes(w, n) for n in lengths)).alias("h"))
+    every = words.select("row", F.explode(F.transform(F.array("words"), windows)).alias("w"))
+    every = every.select("row", "w.n_words", F.posexplode("w.h").alias("k", "h"))
     start, before = F.lit(None).cast("int"), F.lit(1)
     for n in lengths:
         start = F.when(F.col("n") == n, F.col("k") - before).otherwise(start)
@@ -76,8 +77,9 @@ def contaminated_rows(rows: DataFrame, benchmark: DataFrame, item_col: str, item
     per = materialise(possible.groupBy("row").agg(F.max("n_words").alias("n_words"), F.collect_list(hit).alias("hits")))
     # word for word, against the texts of rows with hits
     texts = rows.join(per.where(F.size("hits") > 0).select("row", "hits"), "row").select("row", "hits", words_of(F.col("text")).alias("words"))
-    same = lambda x: F.array_join(F.slice(F.col("words"), x["start"] + 1, x["n"]), " ") == x["gram"]
-    sure = texts.select("row", F.filter("hits", same).alias("hits"))
+    # the words come in as an argument: named in the function they would be cut out anew for each hit
+    same = lambda w: F.filter("hits", lambda x: F.array_join(F.slice(w, x["start"] + 1, x["n"]), " ") == x["gram"])
+    sure = texts.select("row", F.get(F.transform(F.array("words"), same), F.lit(0)).alias("hits"))
     covered = F.flatten(F.transform("hits", lambda x: F.sequence(x["start"], x["start"] + x["n"] - 1)))
     sure = materialise(sure.select("row", F.array_sort(F.array_distinct(covered)).alias("at"), F.array_distinct(F.transform("hits", lambda x: x["gram"])).alias("grams")))
     # hit runs of words: from a place that does not follow a hit one to a place that none follows
