@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """The shared folder that spark.checkpoint.dir names; one is set here only if the session names none, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        named = "/tmp/checkpoints"
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir; a folder is set here only if the session names none."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
-    return df.checkpoint(eager=True)
+    """df written to a new table in the shared folder, and read back: its rows are computed once."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import cell_of
+from ..functions.scratch import checkpoint
 from .components import components
 
 #: The codes of the terrain classes.
@@ -127,7 +128,7 @@ def run_links(runs: DataFrame, reach: int) -> DataFrame:
 
 def labelled_runs(cells: DataFrame, keep: Column, reach: int) -> DataFrame:
     """runs_of() with label, the same for connected runs."""
-    runs = runs_of(cells, keep)
+    runs = checkpoint(runs_of(cells, keep))  # far fewer than cells, and read in every use
     roots = components(run_links(runs, reach))
     return runs.join(roots, F.col("run") == F.col("node"), "left").select("run", "cy", "xa", "xb", F.coalesce("root", "run").alias("label"))
 
@@ -146,7 +147,7 @@ def build_terrain(edges: DataFrame, grid: Grid) -> DataFrame:
     seen = edges.groupBy("layer", "cls").agg(F.min("feature_idx").alias("seen"))
     spans = fill_polygons(edges.where("layer <> 'roads'"), grid)
     strokes = stroke_lines(edges.where("layer = 'roads'"), grid)
-    return reclass_landlocked(paint_stack(spans, strokes, seen, grid), grid)
+    return reclass_landlocked(checkpoint(paint_stack(spans, strokes, seen, grid)), grid)
 
 
 def terrain_histogram(cells: DataFrame) -> DataFrame:
