@@ -12,6 +12,8 @@ def test_links():
     assert resolve_links("[[File:p.png|a [[l]] b]]z") == "z"
     assert resolve_links("a [[b") == "a [[b"
     assert resolve_links("[http://h lab el] [//h]") == "lab el "
+    assert resolve_links("[[A|x [[B]] y]] ]] [[C|]]") == "x B y ]] C"
+    assert resolve_links("[[a [[b]] c]] [[T|[[file:f]]]]") == "a [[b]] c T"
 
 
 def test_lines_and_sections():

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import reduce
+from itertools import filterfalse
 
 import pandas as pd
 from pyspark.sql import Column
@@ -22,7 +25,9 @@ BRACKETS = re.compile(r"\[\[|\]\]")
 MEDIA = re.compile(r"\s*(?:file|image|category|media)\s*:", re.I)
 EXTERNAL = ((re.compile(r"\[(?:https?|//)\S+\s+([^\]]+)\]"), r"\1"), (re.compile(r"\[(?:https?|//)\S+\]"), ""))
 TABLE_LINE = re.compile(r"\s*(?:\{\||\|\}|\||!)")
-LIST_MARKS = re.compile(r"[*#:;]+\s*")
+LIST_MARK = re.compile(r"^[*#:;]+\s*")
+BLANKS = re.compile(r"[ \t]+")
+BLANK_LINES = re.compile(r"\n{3,}")
 HEADING = re.compile(r"\s*(={2,6})\s*(.*?)\s*\1\s*$")
 
 
@@ -41,35 +46,54 @@ def strip_braces(text: str) -> str:
     return "".join(kept) + ("" if depth else text[at:])
 
 
-def resolve_links(text: str) -> str:
-    """Links give their label, or else their target; links to media give nothing; an unclosed link stays as it is."""
-    kept, depth, at, opened = [], 0, 0, 0
+def outermost(text: str) -> list[tuple[int, int]]:
+    """Where the links that stand in no other link begin and end, brackets included; unclosed ones are none."""
+    spans, opened = [], []
     for m in BRACKETS.finditer(text):
         if m[0] == "[[":
-            if depth == 0:
-                opened = m.start()
-            depth += 1
-        elif depth:
-            depth -= 1
-            if depth == 0:
-                inside = text[opened + 2 : m.start()]
-                target, bar, label = inside.rpartition("|")
-                shown = "" if MEDIA.match(inside) else (resolve_links(label) or target) if bar else inside
-                kept += [text[at:opened], shown]
-                at = m.end()
-    out = "".join(kept) + text[at:]
-    for pattern, by in EXTERNAL:
-        out = pattern.sub(by, out)
+            opened.append(m.start())
+        elif opened and len(opened) == 1:
+            spans.append((opened.pop(), m.end()))
+        elif opened:
+            opened.pop()
+    return spans
+
+
+def replaced(text: str, by: Callable[[str], str]) -> str:
+    """text with by(inside) for each outermost link, then without the brackets of external links."""
+    ends = [0]
+    parts = []
+    for begin, end in outermost(text):
+        parts += [text[ends[-1] : begin], "" if MEDIA.match(text, begin + 2) else by(text[begin + 2 : end - 2])]
+        ends.append(end)
+    out = "".join(parts) + text[ends[-1] :]
+    for pattern, with_ in EXTERNAL:
+        out = pattern.sub(with_, out)
     return out
 
 
+def resolve_links(text: str) -> str:
+    """Links give what stands after their last bar, or before it if that is nothing; links to media give nothing.
+
+    What stands after the last bar has no bars, so a link in it gives all that it holds.
+    """
+
+    def label(inside: str) -> str:
+        bar = inside.rfind("|")
+        return inside if bar < 0 else replaced(inside[bar + 1 :], str) or inside[:bar]
+
+    return replaced(text, label)
+
+
+def without(text: str, *patterns: re.Pattern) -> str:
+    return reduce(lambda t, p: p.sub("", t), patterns, text)
+
+
 def clean(text: str) -> str:
-    text = COMMENT.sub("", text)
-    for pattern in REFERENCES:
-        text = pattern.sub("", text)
-    text = QUOTES.sub("", TAGS.sub("", resolve_links(strip_braces(text))))
-    lines = (re.sub(r"[ \t]+", " ", LIST_MARKS.sub("", x, count=1) if LIST_MARKS.match(x) else x).strip() for x in text.split("\n") if not TABLE_LINE.match(x))
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
+    """Plain text: templates and links are read after comments and references are gone, and before tags and quotes go."""
+    body = without(resolve_links(strip_braces(without(text, COMMENT, *REFERENCES))), TAGS, QUOTES)
+    lines = (LIST_MARK.sub("", line) for line in filterfalse(TABLE_LINE.match, body.split("\n")))
+    return BLANK_LINES.sub("\n\n", "\n".join(BLANKS.sub(" ", line).strip() for line in lines)).strip()
 
 
 def sections_of(text: str) -> dict:
