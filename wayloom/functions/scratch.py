@@ -8,12 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names; one is set here only if the session names none, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        named = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    """The shared folder that spark.checkpoint.dir names; a local one only where the session names none, as in tests."""
+    return spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

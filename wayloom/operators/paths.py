@@ -127,6 +127,7 @@ def straighten_path(paths: DataFrame, cells: DataFrame, size: int = BLOCK) -> Da
     own = own.select("k", "mode", F.floor(F.col("c.x") / size).cast("int").alias("bx"), F.floor(F.col("c.y") / size).cast("int").alias("by")).distinct()
     spread = lambda c: F.explode(F.sequence(F.col(c) - reach, F.col(c) + reach))
     around = own.withColumn("bx", spread("bx")).withColumn("by", spread("by")).distinct().join(blocks, ["bx", "by"])
+    around = around.select(*(F.col(c).alias(c) for c in around.columns))  # columns of its own beside those of paths
 
     def one(path_rows: pd.DataFrame, block_rows: pd.DataFrame) -> pd.DataFrame:
         if not len(path_rows):
