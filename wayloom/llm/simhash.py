@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh64_intdigest
@@ -145,24 +146,26 @@ def shingle_set(text: bytes | None) -> np.ndarray:
 
 
 def shingle_sketches() -> Callable[[list], list[tuple]]:
-    """A function from texts to (size, sketch) of their shingles: each turns one bit."""
+    """A function from texts to (size, sketch, packed): of their shingles each turns one bit; packed is the text, compressed."""
+    pack = zstandard.ZstdCompressor(level=3).compress
 
     def one(text: bytes | None) -> tuple:
         run, words = shingle_set(text), np.zeros(SKETCH, np.uint64)
         np.bitwise_xor.at(words, (run & np.uint64(SKETCH - 1)).astype(np.int64), np.uint64(1) << (run >> np.uint64(8) & np.uint64(63)))
-        return len(run), words.view(np.int64).tolist()
+        return len(run), words.view(np.int64).tolist(), pack(text or b"")
 
     return lambda texts: [one(t) for t in texts]
 
 
 def similar_texts() -> Callable[[list], list[tuple]]:
-    """A function from pairs of texts to (similarity,) of their shingles."""
+    """A function from pairs of packed texts to (similarity,) of their shingles."""
+    unpack = zstandard.ZstdDecompressor().decompress
 
     def of(pairs: list) -> list[tuple]:
         known: dict = {}
         out = []
         for p in pairs:
-            x, y = (known[t] if t in known else known.setdefault(t, shingle_set(t)) for t in (p["x"], p["y"]))
+            x, y = (known[t] if t in known else known.setdefault(t, shingle_set(unpack(t))) for t in (p["x"], p["y"]))
             both = np.concatenate((x, y))
             both.sort()
             common = int(np.count_nonzero(both[1:] == both[:-1]))
@@ -190,8 +193,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keys = F.explode(F.array(*(F.xxhash64(F.lit(v), F.col("fp").bitwiseAND(F.lit(signed(m)))) for v, m in enumerate(masks(NEAR_RADIUS)))))
     shared = buckets(nodes.select(F.col("hi").alias("line"), keys.alias("band")), one_order=True)
     some = shared.select(F.col("line").alias("hi")).distinct().join(nodes, "hi").select("row", "hi")
-    texts = rows.select("row", text.alias("text")).join(some, "row").select("hi", "text", F.col("text").alias("own"))
-    texts = materialise(map_texts(texts, shingle_sketches, "size long, sketch array<long>"))
+    texts = rows.select("row", text.alias("text")).join(some, "row").select("hi", "text")
+    texts = materialise(map_texts(texts, shingle_sketches, "size long, sketch array<long>, packed binary"))
     first = F.element_at("centres", 1).alias("centre")
     pairs = shared.select("line", first).where("line <> centre").select(F.least("line", "centre").alias("a"), F.greatest("line", "centre").alias("b")).distinct()
 
@@ -202,7 +205,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         words = lambda c: [F.get(c, F.lit(k)) for k in range(SKETCH)]
         near = (F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= NEAR_RADIUS) & may_be_similar(words("s"), words("t"), F.col("m"), F.col("n"))
         near = materialise(both.where(near).select("a", "b"))
-        own = texts.select("hi", "text")
+        own = texts.select("hi", "packed")
         met = near.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b")
         met = met.select("a", "b", F.struct((F.octet_length("x") + F.octet_length("y")).alias("size"), "x", "y").alias("pair"))
         return map_texts(met, similar_texts, "similarity double").where(F.col("similarity") >= SIMILARITY - 1e-9).select("a", "b")
