@@ -17,6 +17,7 @@ from .html import extract_text
 from .license import license_scan
 from .linededup import dedup_lines
 from .simhash import near_duplicates
+from .spelling import spelling_variants
 from .suffixes import remove_repeats
 from .tokencount import token_counts
 
@@ -81,6 +82,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(read(spark, sf_dir, "documents"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_langid": op2_langid,
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lines": op8_lines,
     "op9_repeats": op9_repeats,
     "op10_fingerprints": op10_fingerprints,
+    "op12_spelling": op12_spelling,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_decontamination": r"""
