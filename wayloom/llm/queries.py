@@ -20,6 +20,7 @@ from .simhash import near_duplicates
 from .spelling import spelling_variants
 from .suffixes import remove_repeats
 from .tokencount import token_counts
+from .trie import prefix_trie
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +87,10 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(read(spark, sf_dir, "documents"))
 
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_langid": op2_langid,
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_repeats": op9_repeats,
     "op10_fingerprints": op10_fingerprints,
     "op12_spelling": op12_spelling,
+    "op13_trie": op13_trie,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_decontamination": r"""
@@ -125,5 +131,35 @@ WITH d AS (
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN k USING (doc_id) LEFT JOIN t USING (doc_id)
+""",
+    "op13_trie": r"""
+WITH t AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS at
+    FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+    SELECT conv_id, conv_id - conv_id % 100 AS head,
+           xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(8 * strlen(s)), lambda i: ((ascii(s[(i // 8 + 1)::INT]) >> (i % 8)::INT) & 1)::BIGINT)),
+               lambda a, b: xor(a >> 1, CASE WHEN (xor(a, b) & 1) = 1 THEN 3988292384 ELSE 0 END)), 4294967295) % 6 AS h
+    FROM (SELECT DISTINCT conv_id, conv_id::VARCHAR AS s FROM t)
+), k AS (SELECT c.conv_id, c.h, count(t.at) AS n FROM c LEFT JOIN t ON t.conv_id = c.head AND t.at <= c.h GROUP BY ALL),
+r AS (
+    SELECT c.conv_id, t.at AS depth, t.role, t.text FROM c JOIN t ON t.conv_id = c.head AND t.at <= c.h
+    UNION ALL SELECT k.conv_id, k.n + t.at - k.h, t.role, t.text FROM k JOIN t ON t.conv_id = k.conv_id AND t.at > k.h
+), p AS (
+    SELECT conv_id, depth, list({'role': role, 'text': text}) OVER (PARTITION BY conv_id ORDER BY depth) AS path, length(text) AS size,
+           depth = max(depth) OVER (PARTITION BY conv_id) AS last
+    FROM r
+    UNION ALL SELECT conv_id, 0, [], 0, NOT EXISTS (SELECT 1 FROM r WHERE r.conv_id = c.conv_id) FROM c
+), n AS (
+    SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(size) AS saved,
+           sha256(coalesce(string_agg(CASE WHEN last THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256
+    FROM p GROUP BY path, depth
+), e AS (SELECT a.path, a.depth, a.conv_id, a.n_convs, a.saved, a.ends_sha256, b.conv_id AS parent_conv_id, (SELECT count(*) FROM n AS x WHERE x.depth = a.depth + 1 AND x.path[:a.depth] = a.path) AS n_children
+    FROM n AS a LEFT JOIN n AS b ON a.depth > 0 AND b.path = a.path[:a.depth - 1]
+), s AS (SELECT path, saved, n_children, unnest(range(depth + 1)) AS d FROM e)
+SELECT e.conv_id, e.depth, e.parent_conv_id, e.n_convs, e.n_children, count(*) FILTER (s.n_children = 0) AS n_leaves, sum(s.saved)::BIGINT AS saved_tokens, e.ends_sha256
+FROM e JOIN s ON s.d = e.depth AND s.path[:s.d] = e.path
+GROUP BY e.path, e.conv_id, e.depth, e.parent_conv_id, e.n_convs, e.n_children, e.ends_sha256
 """,
 }
