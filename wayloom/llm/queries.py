@@ -16,6 +16,7 @@ from .decontam import contamination, is_contaminated
 from .html import extract_text
 from .license import license_scan
 from .linededup import dedup_lines
+from .minhash import minhash_groups
 from .simhash import near_duplicates
 from .spelling import spelling_variants
 from .suffixes import remove_repeats
@@ -83,6 +84,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(read(spark, sf_dir, "documents"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_groups(read(spark, sf_dir, "documents"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(read(spark, sf_dir, "documents"))
 
@@ -102,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lines": op8_lines,
     "op9_repeats": op9_repeats,
     "op10_fingerprints": op10_fingerprints,
+    "op11_minhash": op11_minhash,
     "op12_spelling": op12_spelling,
     "op13_trie": op13_trie,
 }
