@@ -131,6 +131,13 @@ def test_layout(spark):
     assert html.extract_text(spark.createDataFrame([(1, None), (2, "<p"), (3, "<div>" * 5000 + "x")], "page_id long, html string").withColumnRenamed("x", "y")).count() == 3
 
 
+@pytest.mark.parametrize("start, first", [("--5", 1), ("²", 1), ("9" * 5000, 1), ("-3", -3), ("+7", 7), (" 12 ", 12), ("", 1), ("-", 1), ("٣", 1)])
+def test_starts_of_lists(spark, start, first):
+    page = f'<ol start="{start}"><li>a<li>b</ol>'
+    text = html.extract_text(spark.createDataFrame([(1, page)], "page_id long, html string")).first().text
+    assert text.split() == [f"{first}.", "a", f"{first + 1}.", "b"]
+
+
 def test_lines_without_spaces(spark):
     rng = random.Random(1)
     base = "".join(rng.choice("0123456789abcdef") for _ in range(200))

@@ -231,6 +231,13 @@ def table_lines(rows: list[list[tuple[str, int]]]) -> list[str]:
     return out
 
 
+def number_of(start: str) -> int:
+    """The number a list starts with: an integer of up to nine ASCII digits, with a sign or not, else one."""
+    start = start.strip()
+    digits = start[1:] if start[:1] in ("-", "+") else start
+    return int(start) if digits.isascii() and digits.isdigit() and len(digits) < 10 else 1
+
+
 def span_of(node: Node) -> int:
     n = node.attrs.get("colspan", "1").strip()
     return min(max(int(n), 1), MOST_COLUMNS) if n.isascii() and n.isdigit() and len(n) < 9 else 1
@@ -307,8 +314,7 @@ def render(root: Node) -> str:
             canvases.append(Canvas())
         elif name in ("ul", "ol", "menu", "dir"):
             canvas.block(1 if lists else 2)
-            first = node.attrs.get("start", "1")
-            lists.append([name == "ol", int(first) if first.lstrip("-").isdigit() else 1])
+            lists.append([name == "ol", number_of(node.attrs.get("start", ""))])
         elif name == "li":
             canvas.block(1)
             mark = "- "

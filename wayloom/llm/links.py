@@ -30,19 +30,24 @@ SET_WORDS = 16
 Near = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
-def shingle_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
-    """For each text the sorted hashes of its distinct shingles of width words, lower-cased from A to Z; fewer words make one shingle, none none."""
+def word_hashes(texts: list[bytes | None]) -> list[np.ndarray]:
+    """For each text the hashes of its words in order, lower-cased from A to Z."""
     known: dict[bytes, int] = {}
-    out = []
-    for text in texts:
-        words = text.lower().split() if text else []
-        h = np.array([known[w] if w in known else known.setdefault(w, xxh3_64_intdigest(w)) for w in words], np.uint64)
-        n = max(1, len(h) - width + 1) if words else 0
-        run = np.full(n, min(len(h), width), np.uint64)
-        for k in range(min(width, len(h))):
-            run = mixed(run * np.uint64(FACTOR) + h[k : k + n])
-        out.append(np.unique(run))
-    return out
+    hash_of = lambda w: known[w] if w in known else known.setdefault(w, xxh3_64_intdigest(w))
+    return [np.array([hash_of(w) for w in text.lower().split()] if text else [], np.uint64) for text in texts]
+
+
+def shingle_set(h: np.ndarray, width: int) -> np.ndarray:
+    """The sorted hashes of the distinct shingles of width words; fewer words make one shingle, none none."""
+    n = max(1, len(h) - width + 1) if len(h) else 0
+    run = np.full(n, min(len(h), width), np.uint64)
+    for k in range(min(width, len(h))):
+        run = mixed(run * np.uint64(FACTOR) + h[k : k + n])
+    return np.unique(run)
+
+
+def shingle_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
+    return [shingle_set(h, width) for h in word_hashes(texts)]
 
 
 def parities(owner: np.ndarray, place: np.ndarray, rows: int, words: int) -> np.ndarray:
@@ -68,16 +73,14 @@ def sets_may_reach(least: float, x_size: np.ndarray, y_size: np.ndarray, x: np.n
 
 
 def buckets(keys: DataFrame) -> DataFrame:
-    """(band, node, centre), written: those rows of keys (band, node) whose band others share, with the least node of it.
+    """(band, node, centre), written: those rows of keys (band, node), all distinct, whose band others share, with the least node of it.
 
-    Rows whose band is not shared are dropped before their shuffle by a filter of fixed size.
+    Bands are counted first; rows whose band is not shared are then dropped before their shuffle by a filter of fixed size.
     """
-    ends = keys.groupBy("band").agg(F.min("node").alias("centre"), F.max("node").alias("last"))
-    ends = materialise(ends.where("centre < last").select("band", "centre"))
-    word = F.pmod(F.shiftright("band", 6), F.lit(FILTER_WORDS)).cast("int")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("band").bitwiseAND(F.lit(63)).cast("int"))
-    met = keys.withColumn("word", word).join(F.broadcast(bits_of(ends.select("band"))), "word").where(F.col("bits").bitwiseAND(bit) != 0)
-    return materialise(met.select("band", "node").distinct().join(ends, "band"))
+    shared = materialise(keys.groupBy("band").count().where("count > 1").select("band"))
+    met = in_filter(keys, "band", shared).where("hit").select("band", "node").join(shared, "band")
+    met = materialise(met)
+    return materialise(met.join(met.groupBy("band").agg(F.min("node").alias("centre")), "band"))
 
 
 def passing(pairs: DataFrame, sketches: DataFrame, near: Near) -> DataFrame:
@@ -174,17 +177,21 @@ def packer() -> Callable[[list], list[tuple]]:
     return lambda texts: [(pack(t or b""),) for t in texts]
 
 
-def texts_of(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(node, packed), written: the compressed text of each of wanted (node, id, key), found in docs by id and hash of the text.
+def in_filter(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """rows with `hit`: whether a filter of fixed size has the key, a long; it has all those of the one column of wanted, and may have others."""
+    word = F.pmod(F.shiftright(key, 6), F.lit(FILTER_WORDS)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(key).bitwiseAND(F.lit(63)).cast("int"))
+    met = rows.withColumn("word", word).join(F.broadcast(bits_of(wanted)), "word", "left")
+    return met.select(*rows.columns, (F.coalesce("bits", F.lit(0)).bitwiseAND(bit) != 0).alias("hit"))
+
+
+def texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, packed), written: the compressed text of each of wanted (node, id, key) among rows (own, key, text), text a binary.
 
-    A filter of fixed size keeps other texts out of the shuffle.
+    key is a hash that a filter of fixed size knows, so that few other texts are shuffled.
     """
-    key = F.xxhash64(F.col(text_col))
-    word = F.pmod(F.shiftright("key", 6), F.lit(FILTER_WORDS)).cast("int")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("key").bitwiseAND(F.lit(63)).cast("int"))
-    rows = docs.select(F.col(id_col).alias("own"), key.alias("key"), F.col(text_col).cast("binary").alias("text")).withColumn("word", word)
-    some = rows.join(F.broadcast(bits_of(wanted.select("key"))), "word").where(F.col("bits").bitwiseAND(bit) != 0)
-    packed = map_texts(some.select("own", "key", "text"), packer, "packed binary")
+    some = in_filter(rows, "key", wanted.select("key")).where("hit").select("own", "key", "text")
+    packed = map_texts(some, packer, "packed binary")
     met = packed.join(wanted, (packed["key"] == wanted["key"]) & packed["own"].eqNullSafe(wanted["id"]))
     return materialise(met.groupBy("node").agg(F.min("packed").alias("packed")))
 

@@ -100,7 +100,8 @@ def minhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = buckets(nodes.select(F.explode("bands").alias("band"), "node"))
     some = nodes.select("node", "id", "key", "size", "bits").join(shared.select("node").distinct(), "node", "left_semi")
     some = materialise(some)
-    texts = texts_of(docs, id_col, text_col, some.select("node", "id", "key"))
+    own = docs.select(F.col(id_col).alias("own"), F.xxhash64(text_col).alias("key"), F.col(text_col).cast("binary").alias("text"))
+    texts = texts_of(own, some.select("node", "id", "key"))
     roots = linked(shared, some.select("node", "size", "bits"), near, lambda pairs: confirmed(pairs, texts, WORDS, SIMILARITY))
 
     named = nodes.select("node", "id").join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))

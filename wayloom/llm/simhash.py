@@ -11,19 +11,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest, xxh64_intdigest
+from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from .common import checkpoint, map_texts, materialise, numbered
 from .components import components
-from .linededup import FACTOR, SIMILARITY, SKETCH, buckets, may_be_similar, mixed, unjoined_pairs
+from .linededup import mixed
+from .links import apart, buckets, confirmed, in_filter, linked, set_sketches, sets_may_reach, shingle_set, texts_of, word_hashes
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
-#: Near copies: bits that fingerprints of single words may differ in, and words of a shingle.
-NEAR_RADIUS, NEAR_SHINGLE = 5, 5
-EMPTY = xxh64_intdigest(b"") - (1 << 64)
+#: Near copies: fingerprints of single words, bits that one of them may differ in, words of a shingle, least similarity.
+NEAR_PRINTS, NEAR_RADIUS, NEAR_SHINGLE, NEAR_SIMILARITY = 4, 4, 5, (80, 100)
 #: Buckets of up to so many fingerprints are compared pair by pair; larger ones through common neighbours.
 SMALL_BUCKET = 16
 
@@ -112,109 +111,54 @@ def shared_ids(prints: DataFrame, nodes: DataFrame) -> DataFrame:
     return several.join(prints, "id").join(nodes, "fp").select(F.col("id").alias("a"), F.col("node").alias("b"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs but for those whose id is not the smallest of its component, in docs' own columns.
-
-    Of rows equal in id and text one stays; rows with a null id stay.
-    """
-    later = near_duplicates(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__later"))
-    return docs.join(later, docs[id_col] == later["__later"], "left_anti").dropDuplicates([id_col, text_col])
-
-
-def word_prints() -> Callable[[list], list[tuple]]:
-    """A function from texts (bytes) to (hi, lo, fp): two hashes of the text's words in order, and their fingerprint."""
+def near_prints() -> Callable[[list], list[tuple]]:
+    """A function from texts (bytes) to (size, node, prints, bits): of the set of shingles of NEAR_SHINGLE words its size and
+    a digest, null if empty; NEAR_PRINTS fingerprints of the single words; these and the set's sketch."""
 
     def of(texts: list) -> list[tuple]:
-        words = [t.lower().split() if t else [] for t in texts]
-        known: dict = {}
-        hashes = [[known[w] if w in known else known.setdefault(w, xxh64_intdigest(w, SEED)) for w in ws] for ws in words]
-        whole = [b" ".join(ws) for ws in words]
-        own = np.array([(xxh64_intdigest(t), xxh3_64_intdigest(t)) for t in whole], np.uint64).reshape(len(texts), 2).view(np.int64).tolist()
-        return [(hi, lo, fp) for (hi, lo), fp in zip(own, print_of(hashes).tolist(), strict=True)]
+        words = word_hashes(texts)
+        sets = [shingle_set(h, NEAR_SHINGLE) for h in words]
+        prints = np.stack([print_of([mixed(h + np.uint64(k)).tolist() for h in words]) for k in range(NEAR_PRINTS)], axis=1)
+        bits = np.concatenate((prints.view(np.uint64), set_sketches(sets)), axis=1)
+        return [(len(s), xxh3_128_digest(s.tobytes()), fps, bits[k].tobytes()) if len(s) else (0, None, fps, None) for k, (s, fps) in enumerate(zip(sets, prints.tolist(), strict=True))]
 
     return of
 
 
-def shingle_set(text: bytes | None) -> np.ndarray:
-    """The hashes of a text's shingles of NEAR_SHINGLE words, sorted; a text of fewer is one shingle."""
-    h = np.array([xxh64_intdigest(w, SEED) for w in (text or b"").lower().split()], np.uint64)
-    n = max(1, len(h) - NEAR_SHINGLE + 1)
-    run = np.full(n, min(len(h), NEAR_SHINGLE), np.uint64)
-    for k in range(min(NEAR_SHINGLE, len(h))):
-        run = mixed(run * np.uint64(FACTOR) + h[k : k + n])
-    return np.unique(run)
-
-
-def shingle_sketches() -> Callable[[list], list[tuple]]:
-    """A function from texts to (size, sketch, packed): of their shingles each turns one bit; packed is the text, compressed."""
-    pack = zstandard.ZstdCompressor(level=3).compress
-
-    def one(text: bytes | None) -> tuple:
-        run, words = shingle_set(text), np.zeros(SKETCH, np.uint64)
-        np.bitwise_xor.at(words, (run & np.uint64(SKETCH - 1)).astype(np.int64), np.uint64(1) << (run >> np.uint64(8) & np.uint64(63)))
-        return len(run), words.view(np.int64).tolist(), pack(text or b"")
-
-    return lambda texts: [one(t) for t in texts]
-
-
-def similar_texts() -> Callable[[list], list[tuple]]:
-    """A function from pairs of packed texts to (similarity,) of their shingles."""
-    unpack = zstandard.ZstdDecompressor().decompress
-
-    def of(pairs: list) -> list[tuple]:
-        known: dict = {}
-        out = []
-        for p in pairs:
-            x, y = (known[t] if t in known else known.setdefault(t, shingle_set(unpack(t))) for t in (p["x"], p["y"]))
-            both = np.concatenate((x, y))
-            both.sort()
-            common = int(np.count_nonzero(both[1:] == both[:-1]))
-            out.append((common / (len(both) - common),))
-        return out
-
-    return of
+def near(x_size: np.ndarray, y_size: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For pairs of sizes and bits how many bits agree in the nearest of their fingerprints, or -1 where all are too far
+    apart or the sets cannot be similar."""
+    agree = BITS - np.min([apart(x[:, k : k + 1], y[:, k : k + 1]) for k in range(NEAR_PRINTS)], axis=0)
+    least = NEAR_SIMILARITY[0] / NEAR_SIMILARITY[1]
+    open_ = (agree >= BITS - NEAR_RADIUS) & (np.minimum(x_size, y_size) >= least * np.maximum(x_size, y_size) - 1e-6)
+    return np.where(open_ & sets_may_reach(least, x_size, y_size, x[:, NEAR_PRINTS:], y[:, NEAR_PRINTS:]), agree, -1)
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that are the first of their group, in docs' own columns.
 
-    A group is what texts with equal words, and links between texts, join: fingerprints of single words that differ in
-    NEAR_RADIUS bits or fewer, and shingles of NEAR_SHINGLE words whose Jaccard similarity is SIMILARITY or more. The
-    fingerprint only finds pairs; what links them is their shingles. A bucket of any size is compared with its centres,
-    then whatever these do not join with the rest, block by block. The first row is that of the smallest id, null ids
-    last, however many rows share it. Texts without words, null ones included, are no copies of each other and stay.
+    A group is what equal sets of shingles of NEAR_SHINGLE words, and links between such sets, join: fingerprints of single
+    words that differ in NEAR_RADIUS bits or fewer, which covering masks find, and a Jaccard similarity of NEAR_SIMILARITY or more. The
+    fingerprint finds pairs; what links them are their whole sets. Rows are told apart by themselves: the first row is
+    that of the smallest id, null ids last, however many rows share it. Texts without words, null ones included, are no
+    copies of each other and stay. An empty table gives an empty result.
     """
     rows = numbered(docs)
-    text = F.col("doc")[text_col].cast("binary")
-    prints = materialise(map_texts(rows.select("row", F.col("doc")[id_col].alias("id"), text.alias("text")), word_prints, "hi long, lo long, fp long"))
-    blank = F.col("hi") == EMPTY
-    worded = prints.where(~blank)
-    nodes = materialise(worded.groupBy("hi").agg(F.min("fp").alias("fp"), F.min("lo").alias("lo"), F.min("row").alias("row")))
-    keys = F.explode(F.array(*(F.xxhash64(F.lit(v), F.col("fp").bitwiseAND(F.lit(signed(m)))) for v, m in enumerate(masks(NEAR_RADIUS)))))
-    shared = buckets(nodes.select(F.col("hi").alias("line"), keys.alias("band")), one_order=True)
-    some = shared.select(F.col("line").alias("hi")).distinct().join(nodes, "hi").select("row", "hi")
-    texts = rows.select("row", text.alias("text")).join(some, "row").select("hi", "text")
-    texts = materialise(map_texts(texts, shingle_sketches, "size long, sketch array<long>, packed binary"))
-    first = F.element_at("centres", 1).alias("centre")
-    pairs = shared.select("line", first).where("line <> centre").select(F.least("line", "centre").alias("a"), F.greatest("line", "centre").alias("b")).distinct()
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Those of pairs (a, b) near enough in fingerprints and in shingles; texts are fetched last, for few pairs."""
-        prints = nodes.select("hi", "fp").join(texts.select("hi", "size", "sketch"), "hi")
-        both = pairs.join(prints.toDF("a", "p", "m", "s"), "a").join(prints.toDF("b", "q", "n", "t"), "b")
-        words = lambda c: [F.get(c, F.lit(k)) for k in range(SKETCH)]
-        near = (F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= NEAR_RADIUS) & may_be_similar(words("s"), words("t"), F.col("m"), F.col("n"))
-        near = materialise(both.where(near).select("a", "b"))
-        own = texts.select("hi", "packed")
-        met = near.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b")
-        met = met.select("a", "b", F.struct((F.octet_length("x") + F.octet_length("y")).alias("size"), "x", "y").alias("pair"))
-        return map_texts(met, similar_texts, "similarity double").where(F.col("similarity") >= SIMILARITY - 1e-9).select("a", "b")
-
-    roots = components(linked(pairs))
-    rest = unjoined_pairs(shared, texts, roots)
-    if not rest.isEmpty():
-        roots = components(roots.toDF("a", "b").union(linked(rest)))
-    joined = worded.join(roots, F.col("hi") == F.col("node"), "left").select(F.coalesce("root", "hi").alias("root"), "id", "row")
-    heads = joined.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("head")).select("head.row")
-    stay = heads.union(prints.where(blank).select("row"))
-    return rows.join(stay, "row", "left_semi").select(*(F.col("doc")[c].alias(c) for c in docs.columns))
+    text, number = F.col("doc")[text_col].cast("binary").alias("text"), F.xxhash64("row").alias("key")
+    prints = materialise(map_texts(rows.select("row", number, F.col("doc")[id_col].alias("id"), text), near_prints, "size long, node binary, prints array<long>, bits binary"))
+    one = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row", "key")).alias("one")
+    nodes = prints.where("node is not null").groupBy("node").agg(one, F.min("size").alias("size"), F.min("prints").alias("prints"), F.min("bits").alias("bits"))
+    nodes = materialise(nodes)
+    key = lambda k, v, m: F.xxhash64(F.lit(k), F.lit(v), F.get("prints", F.lit(k)).bitwiseAND(F.lit(signed(m))))
+    keys = F.explode(F.array(*(key(k, v, m) for k in range(NEAR_PRINTS) for v, m in enumerate(masks(NEAR_RADIUS)))))
+    shared = buckets(nodes.select(keys.alias("band"), "node"))
+    some = materialise(nodes.join(shared.select("node").distinct(), "node", "left_semi"))
+    texts = texts_of(rows.select(F.col("row").alias("own"), number, text), some.select("node", F.col("one.row").alias("id"), "one.key"))
+    roots = linked(shared, some.select("node", "size", "bits"), near, lambda pairs: confirmed(pairs, texts, NEAR_SHINGLE, NEAR_SIMILARITY))
+    named = materialise(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "one"))
+    heads = named.groupBy("root").agg(F.min("one").alias("head")).join(named, "root").select("node", F.col("head.row").alias("head"))
+    later = materialise(prints.select("row", "key", "node").join(heads, "node").where("row <> head").select("row", "key"))
+    # most rows meet no later row in the filter and stay without a shuffle
+    marked = in_filter(rows.withColumn("key", number), "key", later.select("key"))
+    stay = marked.where("not hit").select("doc").union(marked.where("hit").join(later.select("row"), "row", "left_anti").select("doc"))
+    return stay.select(*(F.col("doc")[c].alias(c) for c in docs.columns))
