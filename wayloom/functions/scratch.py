@@ -2,19 +2,40 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names; a local one only where the session names none, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints")
+    """The shared folder that spark.checkpoint.dir names.
 
+    A session of one machine that names none gets a folder of its own; on a cluster that is an error, as other machines
+    would not see it.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
 
-def checkpoint(df: DataFrame) -> DataFrame:
+
+def tables(spark: SparkSession) -> str:
+    """Where the tables of this application are written."""
+    return f"{folder(spark)}/tables/{spark.sparkContext.applicationId}"
+
+
+def checkpoint(df: DataFrame, **options: str) -> DataFrame:
     """df written to a new table in the shared folder, and read back: its rows are computed once."""
-    spark = df.sparkSession
-    path = f"{folder(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{tables(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.options(**options).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes the tables that this application has written; results that still read them have to be saved before."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(tables(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
