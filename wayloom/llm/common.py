@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -10,6 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scratch
+
 #: Text is handed to the per-batch functions in runs of about this many bytes, so that a worker's memory is bounded
 #: by it and by the longest single text.
 CHUNK_BYTES = 2_000_000
@@ -28,23 +29,16 @@ def lower_ascii(col: Column) -> Column:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of df in the shared folder named by spark.checkpoint.dir.
-
-    A folder is set here only if the session has none (tests on one machine).
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """Cuts the lineage of df in the shared folder named by spark.checkpoint.dir."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+        sc.setCheckpointDir(scratch.folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """df written as Parquet to a new place in the shared scratch folder, and read back: a compact checkpoint."""
-    spark = df.sparkSession
-    path = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints')}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return scratch.checkpoint(df, compression="zstd")
 
 
 def numbered(docs: DataFrame) -> DataFrame:

@@ -31,6 +31,9 @@ BLOCK, SKETCH = 256, 16
 #: Words of 64 bits in the broadcast filter; it has this many rows at most.
 FILTER_WORDS = 1 << 20
 NONE = np.iinfo(np.uint64).max
+#: The sector that each sector asks for its minimum when it is empty, turn by turn.
+TURNS = 256
+DONORS = np.random.default_rng(8).integers(0, BANDS * ROWS, (TURNS, BANDS * ROWS))
 FACTOR = 0x9E3779B97F4A7C15
 
 
@@ -66,17 +69,37 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return owner, mixed(run[np.arange(len(owner)) + shift[owner]])
 
 
+def filled(minima: np.ndarray) -> np.ndarray:
+    """minima with every empty sector given that of a full one, chosen by hashes of its own: as good as a minimum of its own.
+
+    The hash of a minimum and of the sector that takes it is what counts, so that no two sectors are copies of each other.
+    """
+    out, full = minima.copy(), minima != NONE
+    row, sector = np.nonzero(~full)
+    some = full.any(axis=1)[row]
+    row, sector = row[some], sector[some]
+    for turn in range(TURNS):
+        if not len(row):
+            return out
+        other = DONORS[turn, sector]
+        met = full[row, other]
+        out[row[met], sector[met]] = minima[row[met], other[met]]
+        row, sector = row[~met], sector[~met]
+    for k in range(minima.shape[1]):  # none met in so many turns: the next full one
+        other = (sector + k) % minima.shape[1]
+        met = full[row, other]
+        out[row[met], sector[met]] = minima[row[met], other[met]]
+        row, sector = row[~met], sector[~met]
+    return out
+
+
 def bands(lines: list[str]) -> np.ndarray:
     """The bands of normal lines of SHINGLE characters or more: a row of BANDS signed numbers for each."""
     sectors = BANDS * ROWS
     owner, h = shingle_hashes(lines)
     minima = np.full(len(lines) * sectors, NONE, np.uint64)
     np.minimum.at(minima, owner * sectors + ((h >> np.uint64(32)) * np.uint64(sectors) >> np.uint64(32)).astype(np.int64), h)
-    minima = minima.reshape(len(lines), sectors)
-    for _ in range(2):  # an empty sector takes the minimum of the next on the ring
-        for k in range(sectors - 1, -1, -1):
-            here = minima[:, k]
-            np.copyto(here, minima[:, (k + 1) % sectors], where=here == NONE)
+    minima = filled(minima.reshape(len(lines), sectors))
     out = np.empty((len(lines), BANDS), np.uint64)
     for b in range(BANDS):
         key = np.full(len(lines), b + 1, np.uint64)
