@@ -8,18 +8,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The folder of an application on one machine whose session names none, as in tests.
+_OWN: dict[str, str] = {}
+
+
 def folder(spark: SparkSession) -> str:
     """The shared folder that spark.checkpoint.dir names.
 
-    A session of one machine that names none gets a folder of its own; on a cluster that is an error, as other machines
-    would not see it.
+    An application on one machine that names none gets a folder of its own; on a cluster that is an error, as other
+    machines would not see it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        number = spark.sparkContext.applicationId
+        named = _OWN[number] = _OWN.get(number) or tempfile.mkdtemp(prefix="spark-")
     return named
 
 

@@ -62,7 +62,8 @@ FIXTURES = {
   CAST(9 + 18 * (b.n_nationkey % 5) AS DOUBLE) AS x2, CAST(-34 + 18 * CAST(floor(b.n_nationkey / 5) AS INT) AS DOUBLE) AS y2
   FROM {nation} AS a JOIN {nation} AS b ON a.n_nationkey < b.n_nationkey AND (a.n_nationkey * 7 + b.n_nationkey) % 11 = 0""",
     "revisions": """SELECT concat('Customer#', CAST(user_id AS VARCHAR(20))) AS title, event_id AS rev_no, ts,
-  CASE WHEN event_id % 17 = 0 THEN '' ELSE concat(event_type, ' ', CAST(event_id AS VARCHAR(20))) END AS text FROM {events}""",
+  CASE WHEN event_id % 17 = 0 THEN '' ELSE concat(event_type, ' ', CAST(event_id AS VARCHAR(20)), ': ', coalesce(d.text, '')) END AS text
+  FROM {events} AS e LEFT JOIN {documents} AS d ON d.doc_id = e.event_id % (SELECT count(*) FROM {documents})""",
     "articles": """SELECT conv_id, turn, role, text FROM {conversations}""",
 }
 

@@ -110,10 +110,9 @@ def stream_latest_revisions(spark, sf):
 
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    feed = spark.sql(FIXTURES["revisions"].replace("VARCHAR(20)", "STRING"), events=events)
+    feed = spark.sql(FIXTURES["revisions"].replace("VARCHAR(20)", "STRING"), events=events, documents=fixture(spark, sf, "documents"))
     wanted = fixture(spark, sf, "customer").select(F.concat(F.lit("Customer#"), F.col("c_custkey").cast("string")).alias("title"))
-    folder = spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints")
-    return rv.run_to_end(rv.latest_of_stream(feed, wanted), folder)
+    return rv.run_to_end(feed, wanted)
 
 
 TITLES = """keys AS (SELECT lower(name) AS key, place_idx FROM {many_places} UNION ALL SELECT CASE WHEN strpos(lower(name), 'the ') > 0

@@ -1,30 +1,82 @@
-"""A stream of page revisions, kept down to the latest of each wanted page."""
+"""A stream of page revisions, kept as a table of the latest of each wanted page.
+
+The stream's state holds keys and times alone, and lets go of them when the watermark passes. Texts pass through: each
+micro-batch writes the last revision of every page it names under its own number, so that a batch that runs again after
+a failure overwrites itself; every so often the batches are folded into a base. The table is the base and the batches
+after it, read by highest revision.
+"""
 
 from __future__ import annotations
 
+import re
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..functions.scratch import folder
+
+COLUMNS = "title string, rev_no long, text string"
+#: How far behind the latest event time a revision may come, and how many batches go into the next base.
+DELAY, FOLD = "30 days", 16
+
+
+def without_replays(revisions: DataFrame, wanted: DataFrame, delay: str = DELAY) -> DataFrame:
+    """The stream revisions (title, rev_no, ts, text), cut down to wanted titles; a replayed revision comes once.
+
+    Rows more than delay behind the latest ts are late for good and dropped; so is the memory of what came that long ago.
+    """
+    met = revisions.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).join(wanted.select("title").distinct(), "title", "left_semi")
+    return met.dropDuplicatesWithinWatermark(["title", "rev_no"])
+
+
+def last_of(revisions: DataFrame) -> DataFrame:
+    """(title, rev_no, text) of the highest revision of each title, empty texts included; of equal numbers the least text.
+
+    Numbers are found first, so that no aggregation carries the texts of older revisions.
+    """
+    last = revisions.groupBy("title").agg(F.max("rev_no").alias("rev_no"))
+    return revisions.join(last, ["title", "rev_no"]).groupBy("title", "rev_no").agg(F.min("text").alias("text"))
+
+
+def _numbers(spark: SparkSession, place: str, kind: str) -> list[int]:
+    """Numbers of the finished folders of a kind below place."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{place}/{kind}=*/_SUCCESS")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(int(re.search(rf"{kind}=(-?\d+)/", str(f.getPath()))[1]) for f in found or [])
+
+
+def every_page(spark: SparkSession, place: str) -> DataFrame:
+    """(title, rev_no, text) of the last revision of every page of the table at place, emptied pages included."""
+    base = max(_numbers(spark, place, "base"), default=None)
+    later = [n for n in _numbers(spark, place, "batch") if base is None or n > base]
+    paths = [f"{place}/batch={n}" for n in later] + ([] if base is None else [f"{place}/base={base}"])
+    return last_of(spark.read.schema(COLUMNS).parquet(*paths)) if paths else spark.createDataFrame([], COLUMNS)
+
+
+def pages(spark: SparkSession, place: str) -> DataFrame:
+    """every_page() but for pages whose last text is empty or null."""
+    return every_page(spark, place).where("text <> ''")
 
 
-def latest_of_stream(revisions: DataFrame, wanted: DataFrame) -> DataFrame:
-    """A streaming table (title, rev_no, text): late and replayed revisions with lower numbers change nothing."""
-    met = revisions.join(wanted.select("title").distinct(), "title")
-    return met.groupBy("title").agg(F.max(F.struct("rev_no", "text")).alias("r")).select("title", "r.rev_no", "r.text")
+def upsert(batch: DataFrame, number: int, place: str, fold: int = FOLD) -> None:
+    """Puts a micro-batch into the table at place; the same number again changes nothing."""
+    spark = batch.sparkSession
+    last_of(batch.select("title", F.col("rev_no").cast("long").alias("rev_no"), "text")).write.mode("overwrite").parquet(f"{place}/batch={number}")
+    if (number + 1) % fold == 0:
+        every_page(spark, place).write.mode("overwrite").parquet(f"{place}/base={number}")
 
 
-def run_to_end(latest: DataFrame, folder: str) -> DataFrame:
-    """Runs a stream over what is there, writes each batch's changes below folder, and reads the last state of each page."""
-    place = f"{folder}/streams/{uuid.uuid4().hex}"
+def keep_table(fresh: DataFrame, place: str, checkpoint: str, fold: int = FOLD) -> StreamingQuery:
+    """Starts to keep the table at place up to date with what has come; one table belongs to one checkpoint."""
+    writer = fresh.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    return writer.foreachBatch(lambda batch, number: upsert(batch, number, place, fold)).start()
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{place}/batch={number}")
 
-    columns = "title string, rev_no long, text string"
-    # an empty batch before all others, so that a stream without rows gives an empty table
-    latest.sparkSession.createDataFrame([], columns).write.parquet(f"{place}/batch=-1")
-    stream = latest.writeStream.outputMode("update").option("checkpointLocation", f"{place}-state").trigger(availableNow=True).foreachBatch(write).start()
-    stream.awaitTermination()
-    changes = latest.sparkSession.read.schema(f"{columns}, batch int").parquet(place)
-    return changes.groupBy("title").agg(F.max(F.struct("rev_no", "text")).alias("r")).select("title", "r.rev_no", "r.text").where("text <> ''")
+def run_to_end(revisions: DataFrame, wanted: DataFrame, delay: str = DELAY) -> DataFrame:
+    """pages() after all that the stream revisions holds now, in a new table in the shared folder."""
+    spark = revisions.sparkSession
+    place = f"{folder(spark)}/streams/{uuid.uuid4().hex}"
+    keep_table(without_replays(revisions, wanted, delay), place, f"{place}-state").awaitTermination()
+    return pages(spark, place)
