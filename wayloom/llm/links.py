@@ -2,8 +2,7 @@
 
 Every member of a bucket is compared with the bucket's centre, its least member. Components form, and only what the
 centres leave apart is compared further: a bucket's members outside the centre's component meet all its members, in
-blocks of bounded size and as matrices of sketches; first the most promising pair of any two components, then whatever
-is left. A sketch only rules pairs out; each link is confirmed on the whole sets of both texts.
+blocks of bounded size and as matrices of sketches; first a forest of the most promising pairs, then whatever is left. A sketch only rules pairs out; each link is confirmed on the whole sets of both texts.
 """
 
 from __future__ import annotations
@@ -131,11 +130,28 @@ def pairs_within(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at = end
 
 
-def unjoined(shared: DataFrame, sketches: DataFrame, roots: DataFrame, near: Near, best: bool) -> DataFrame:
+def joins(joined: dict, groups: list[int], lefts: list[int], rights: list[int]) -> Iterator[bool]:
+    """For each pair in turn whether it joins what the pairs before it in its group, kept in joined, do not."""
+
+    def top(x: tuple) -> tuple:
+        while (up := joined.get(x, x)) != x:
+            joined[x] = joined.get(up, up)
+            x = up
+        return x
+
+    for g, a, b in zip(groups, lefts, rights, strict=True):
+        x, y = top((g, a)), top((g, b))
+        if x != y:
+            joined[x] = y
+        yield x != y
+
+
+def unjoined(shared: DataFrame, sketches: DataFrame, roots: DataFrame, near: Near, forest: bool) -> DataFrame:
     """Pairs (a, b), written, of a bucket but of different components that sketches do not rule out.
 
-    With best, of any two components that meet in a block only the pair of the highest estimate. Blocks of the centre's
-    component meet other blocks alone, so the work is the members left apart times the members.
+    With forest, of the pairs of two blocks only those, the most promising first, that join components which the earlier
+    ones leave apart: fewer than there are members. Blocks of the centre's component meet other blocks alone, so the
+    work is the members left apart times the members.
     """
     rooted = shared.join(roots.toDF("node", "root"), "node", "left").join(roots.toDF("centre", "main"), "centre", "left")
     rooted = rooted.select("band", "node", F.coalesce("root", "node").alias("root"), F.coalesce("main", "centre").alias("main"))
@@ -154,17 +170,18 @@ def unjoined(shared: DataFrame, sketches: DataFrame, roots: DataFrame, near: Nea
             block, same, size = (rows.column(c).to_numpy() for c in ("block", "same", "size"))
             root = rows.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
             bits, node = matrix(rows.column("bits")), rows.column("node").combine_chunks()
+            joined: dict = {}
             for a, b in pairs_within(group):
                 wanted = (root[a] != root[b]) & (same[a] | (block[a] != block[b]))
                 a, b = a[wanted], b[wanted]
                 score = near(size[a], size[b], bits[a], bits[b])
                 open_ = np.flatnonzero(score >= 0)
                 a, b = a[open_], b[open_]
-                if best and len(a):
-                    lo, hi = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
-                    order = np.lexsort((-score[open_], hi, lo, group[a]))
-                    key = np.stack((group[a], lo, hi), axis=1)[order]
-                    a, b = (x[order][np.concatenate(([True], np.any(key[1:] != key[:-1], axis=1)))] for x in (a, b))
+                if forest and len(a):
+                    order = np.argsort(-score[open_], kind="stable")
+                    a, b = a[order], b[order]
+                    new = np.fromiter(joins(joined, group[a].tolist(), root[a].tolist(), root[b].tolist()), bool, len(a))
+                    a, b = a[new], b[new]
                 if len(a):
                     yield pa.record_batch([node.take(pa.array(a)), node.take(pa.array(b))], ["a", "b"])
 
@@ -226,8 +243,8 @@ def linked(shared: DataFrame, sketches: DataFrame, near: Near, confirm: Callable
     """(node, root), as components() gives them, of the links that confirm finds among pairs that share a bucket."""
     stars = shared.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     roots = components(confirm(materialise(passing(stars, sketches, near))))
-    for best in (True, False):
-        pairs = unjoined(shared, sketches, roots, near, best)
+    for forest in (True, False):
+        pairs = unjoined(shared, sketches, roots, near, forest)
         if pairs.isEmpty():
             break
         roots = components(roots.toDF("a", "b").union(confirm(pairs)))
