@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from ..functions.geo import cell_center
 from ..functions.scratch import checkpoint
 from .raster import Grid
-from .routing import BLOCK, MODES, STEPS, blocks_of, costs, ends_of, flies, measured, search_from
+from .routing import MODES, STEPS, blocks_of, costs, ends_of, flies, measured, search_from
 
-#: How many cells ahead a straight line may replace a path.
-WINDOW = 60
+#: How many cells ahead a straight line may replace a path, and cells of a side of the blocks paths are traced in.
+WINDOW, BLOCK = 60, 64
 #: The colours of the modes.
 COLOURS = {"foot": "#6b7f4a", "horse": "#8a5a2b", "carriage": "#7a6a90", "dragon": "#a8323a", "ship": "#2f6b8a"}
 CELL = "struct<x: int, y: int>"

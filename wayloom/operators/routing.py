@@ -1,20 +1,19 @@
 """Travel over the terrain grid.
 
-The grid is dealt into square blocks. A search from one origin keeps, for each block that it has reached, the least
-(weighted miles, miles) of its cells; a superstep settles the blocks that received new values, and sends what improved
-on their borders to the blocks next to them, until nothing improves. No task holds more than one block.
+The grid is dealt into square blocks. A search keeps, for each origin and block that it has reached, the least (weighted
+miles, miles) of the cells; a superstep settles the blocks that received offers, and offers what improved on their
+borders to the blocks next to them, until nothing improves or all goals are cheaper than what is left. A task holds one
+block for a few origins, as arrays.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.scratch import checkpoint
 from .raster import CODES, LAND_COST, Grid, labelled_runs
@@ -27,7 +26,7 @@ MODES = {
 }
 #: How many cells a journey's end may lie from passable ground or water.
 SNAP_RADIUS = {"land": 24, "sea": 5}
-BLOCK = 64
+BLOCK = 256
 
 
 def costs(mode: str) -> dict[int, float]:
@@ -101,7 +100,7 @@ def reachable(pairs: DataFrame, cells: DataFrame, mode: str) -> DataFrame:
     return out.select("k", (F.col("a_label") == F.col("b_label")).alias("reachable"))
 
 
-def blocks_of(cells: DataFrame, size: int = BLOCK) -> DataFrame:
+def blocks_of(cells: DataFrame, size: int = 64) -> DataFrame:
     """(bx, by, xs, ys, classes): the cells of each block of size by size cells."""
     block = lambda c: F.floor(F.col(c) / size).cast("int")
     rows = cells.select(block("cx").alias("bx"), block("cy").alias("by"), "cx", "cy", "cls")
@@ -111,94 +110,231 @@ def blocks_of(cells: DataFrame, size: int = BLOCK) -> DataFrame:
 
 
 STEPS = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy]
+#: Origins that one task searches from at once, and the byte for places without a cell.
+ORIGINS, NOWHERE = 8, 255
+KEYS = ["mode", "origin", "bx", "by"]
 
 
-def settle(size: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Rows (mode, origin, bx, by, xs, ys, classes, weighted, miles, news) to the block's new state and what leaves it.
+def searched_as(mode: Column) -> Column:
+    """The first mode whose costs are the same: horses find the ways that feet find."""
+    out = mode
+    for name, m in MODES.items():
+        if not m.get("flies"):
+            same = next(n for n, other in MODES.items() if not other.get("flies") and costs(n) == costs(name))
+            out = F.when(mode == name, same).otherwise(out)
+    return out
 
-    weighted and miles run along xs and ys (null: nothing known); news are offers (cx, cy, weighted, miles). A step
-    costs its length in cells times the cost of the cell entered; of equal costs fewer miles win.
-    """
 
-    def one(r) -> tuple:
-        cost = costs(r.mode)
-        at = {(int(x), int(y)): i for i, (x, y) in enumerate(zip(r.xs, r.ys, strict=True))}
-        n = len(r.xs)
-        best = [(np.inf, np.inf)] * n if r.weighted is None else list(zip(map(float, r.weighted), map(float, r.miles), strict=True))
-        queue = []
-        for o in r.news:
-            i = at[(int(o["cx"]), int(o["cy"]))]
-            if (o["weighted"], o["miles"]) < best[i]:
-                best[i] = (o["weighted"], o["miles"])
-                heapq.heappush(queue, (*best[i], i))
-        leaving: dict = {}
-        while queue:
-            w, m, i = heapq.heappop(queue)
-            if (w, m) > best[i]:
-                continue
+def block_and_place(x: str, y: str, size: int) -> tuple[Column, Column, Column]:
+    """The block of a cell and its place in it, row by row, in a block with a margin of one cell."""
+    bx, by = (F.floor(F.col(c) / size).cast("int") for c in (x, y))
+    return bx, by, (F.col(y) - by * size + 1).cast("long") * (size + 2) + F.col(x) - bx * size + 1
+
+
+def dense_blocks(cells: DataFrame, size: int) -> DataFrame:
+    """(bx, by, classes): the classes of each block and of the cells round it, a byte each."""
+    near = lambda c: F.explode(F.sequence(F.floor((F.col(c) - 1) / size).cast("int"), F.floor((F.col(c) + 1) / size).cast("int")))
+    rows = cells.withColumn("bx", near("cx")).withColumn("by", near("cy"))
+    place = (F.col("cy") - F.col("by") * size + 1) * (size + 2) + F.col("cx") - F.col("bx") * size + 1
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        out = np.full((size + 2) ** 2, NOWHERE, np.uint8)
+        out[rows["place"].to_numpy()] = rows["cls"].to_numpy()
+        return pd.DataFrame({"bx": rows["bx"][:1], "by": rows["by"][:1], "classes": [out.tobytes()]})
+
+    return rows.select("bx", "by", place.cast("int").alias("place"), "cls").groupBy("bx", "by").applyInPandas(pack, "bx int, by int, classes binary")
+
+
+def relax(weighted: np.ndarray, miles: np.ndarray, front: np.ndarray, enter: np.ndarray, side: int, most: np.ndarray) -> None:
+    """Settles in place: steps from the places of front, then from whatever has become cheaper, until nothing does.
+
+    enter has the cost of a mile into each place, infinite where none leads. A step costs its length in cells times
+    that; of equal costs fewer miles win. Nothing is stepped from that costs more than most. All places that changed
+    step at once, cheap ones first, so that few of them step again.
+    """
+    waiting = np.zeros(len(weighted), bool)
+    waiting[front] = True
+    while len(front):
+        reach = weighted[front].min() + 8.0
+        now = front[weighted[front] <= reach]
+        waiting[now] = False
+        changed = []
+        now = now[weighted[now] <= most[now]]
+        for dx, dy in STEPS:
+            d = 2**0.5 if dx and dy else 1.0
+            to = now + dy * side + dx
+            w, m = weighted[now] + d * enter[to], miles[now] + d
+            better = (w < weighted[to]) | ((w == weighted[to]) & (m < miles[to]) & (w < np.inf))
+            to = to[better]
+            weighted[to], miles[to] = w[better], m[better]
+            changed.append(to)
+        changed = np.concatenate(changed)
+        waiting[changed] = True
+        rest = np.concatenate((front, changed))
+        front = np.unique(rest[waiting[rest]])
+
+
+def settle(size: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Rows (mode, origin, bx, by, classes, weighted, miles, news, most, goals) of one block, for several origins, to its new
+    states (what 0), what its goals cost (what 1), and offers to blocks round it for each cell that became cheaper (what 2).
+
+    weighted and miles are doubles by place (null: nothing known), news offers of (places, weighted, miles).
+    """
+    side = size + 2
+    inside = np.zeros((side, side), bool)
+    inside[1:-1, 1:-1] = True
+    inside = inside.ravel()
+    edge = inside.reshape(side, side).copy()
+    edge[2:-2, 2:-2] = False
+    edge = np.flatnonzero(edge)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        mode, bx, by = rows["mode"].iat[0], int(rows["bx"].iat[0]), int(rows["by"].iat[0])
+        price = np.full(256, np.inf)
+        for code, cost in costs(mode).items():
+            price[code] = cost
+        price = price[np.frombuffer(rows["classes"].iat[0], np.uint8)]
+        n, places = len(rows), side * side
+        weighted, miles = np.full(n * places, np.inf), np.full(n * places, np.inf)
+        front, most = [], np.repeat(rows["most"].to_numpy(), places)
+        for k, r in enumerate(rows.itertuples(index=False)):
+            if r.weighted is not None:
+                weighted[k * places : (k + 1) * places] = np.frombuffer(r.weighted)
+                miles[k * places : (k + 1) * places] = np.frombuffer(r.miles)
+            for offer in r.news:
+                at = np.frombuffer(offer["places"], np.int32) + k * places
+                w, m = np.frombuffer(offer["weighted"]), np.frombuffer(offer["miles"])
+                better = (w < weighted[at]) | ((w == weighted[at]) & (m < miles[at]))
+                at = at[better]
+                weighted[at], miles[at] = w[better], m[better]
+                front.append(at)
+        old = weighted.copy(), miles.copy()
+        front = np.unique(np.concatenate(front))
+        fresh = np.zeros(n * places, bool)
+        fresh[front] = True
+        relax(weighted, miles, front, np.tile(np.where(inside, price, np.inf), n), side, most)
+        fresh |= (weighted != old[0]) | (miles != old[1])
+        out = []
+        for k, r in enumerate(rows.itertuples(index=False)):
+            own = slice(k * places, (k + 1) * places)
+            w, m = weighted[own], miles[own]
+            if len(at := np.flatnonzero(fresh[own])):
+                out.append((0, r.origin, bx, by, w.tobytes(), m.tobytes(), None, None, None, None))
+            goals = [] if r.goals is None else [g for g in r.goals if w[g] < np.inf]
+            out += [(1, r.origin, bx, by, None, None, None, int(g), float(w[g]), float(m[g])) for g in goals]
+            leave = edge[fresh[own][edge] & (w[edge] <= r.most)]
+            offers: dict[tuple, list] = {}
             for dx, dy in STEPS:
-                x, y, d = int(r.xs[i]) + dx, int(r.ys[i]) + dy, 2**0.5 if dx and dy else 1.0
-                j = at.get((x, y))
-                if j is None:
-                    if x // size != r.bx or y // size != r.by:
-                        # the cell's cost is not known here: offer the place stepped from
-                        leaving[(x, y, i)] = (w, m, d)
-                    continue
-                c = cost.get(int(r.classes[j]))
-                if c is not None and (new := (w + d * c, m + d)) < best[j]:
-                    best[j] = new
-                    heapq.heappush(queue, (*new, j))
-        out = [{"cx": x, "cy": y, "weighted": w, "miles": m, "step": d} for (x, y, _), (w, m, d) in leaving.items()]
-        return [b[0] for b in best], [b[1] for b in best], out
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            done = [one(r) for r in pdf.itertuples(index=False)]
-            out = pdf[["mode", "origin", "bx", "by"]].copy()
-            out["weighted"], out["miles"], out["offers"] = [d[0] for d in done], [d[1] for d in done], [d[2] for d in done]
-            yield out
+                d = 2**0.5 if dx and dy else 1.0
+                to = leave + dy * side + dx
+                met = ~inside[to] & (price[to] < np.inf)
+                frm, to = leave[met], to[met]
+                cost, length = w[frm] + d * price[to], m[frm] + d
+                x, y = to % side - 1, to // side - 1  # from -1 to size
+                ox, oy = (x >= size).astype(int) - (x < 0), (y >= size).astype(int) - (y < 0)
+                place = (y - oy * size + 1) * side + x - ox * size + 1
+                for q in set(zip(ox.tolist(), oy.tolist(), strict=True)):
+                    own_way = (ox == q[0]) & (oy == q[1]) & (cost <= r.most)
+                    offers.setdefault(q, []).append((place[own_way], cost[own_way], length[own_way]))
+            for (ox, oy), parts in offers.items():
+                place, cost, length = (np.concatenate(x) for x in zip(*parts, strict=True))
+                order = np.lexsort((length, cost, place))
+                place, cost, length = place[order], cost[order], length[order]
+                first = np.concatenate(([True], place[1:] != place[:-1])) if len(place) else np.zeros(0, bool)
+                if first.any():
+                    out.append((2, r.origin, bx + ox, by + oy, cost[first].tobytes(), length[first].tobytes(), place[first].astype(np.int32).tobytes(), None, None, None))
+        done = pd.DataFrame(out, columns=["what", "origin", "bx", "by", "weighted", "miles", "places", "goal", "goal_weighted", "goal_miles"])
+        done["mode"] = mode
+        return done
 
     return run
 
 
-_OFFER = T.StructType([T.StructField("cx", T.IntegerType()), T.StructField("cy", T.IntegerType()), *(T.StructField(c, T.DoubleType()) for c in ("weighted", "miles", "step"))])
-_STATE = T.StructType([
-    T.StructField("mode", T.StringType()), T.StructField("origin", T.LongType()), T.StructField("bx", T.IntegerType()), T.StructField("by", T.IntegerType()),
-    T.StructField("weighted", T.ArrayType(T.DoubleType())), T.StructField("miles", T.ArrayType(T.DoubleType())), T.StructField("offers", T.ArrayType(_OFFER)),
-])
+_SETTLED = "what int, origin long, bx int, by int, weighted binary, miles binary, places binary, goal long, goal_weighted double, goal_miles double, mode string"
 
 
-def search(starts: DataFrame, cells: DataFrame, size: int = BLOCK) -> DataFrame:
-    """(mode, origin, cx, cy, weighted, miles), in cells, for every cell that starts (mode, origin, cx, cy) lead to.
+def offered(starts: DataFrame, size: int) -> DataFrame:
+    """starts (mode, origin, cx, cy) as offers without cost."""
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            pdf["places"] = [np.array([p], np.int32).tobytes() for p in pdf["place"]]
+            pdf["weighted"] = pdf["miles"] = [np.zeros(1).tobytes()] * len(pdf)
+            yield pdf[[*KEYS, "places", "weighted", "miles"]]
+
+    bx, by, place = block_and_place("cx", "cy", size)
+    rows = starts.select("mode", F.col("origin").cast("long").alias("origin"), bx.alias("bx"), by.alias("by"), place.alias("place"))
+    return rows.mapInPandas(pack, "mode string, origin long, bx int, by int, places binary, weighted binary, miles binary")
+
+
+def explore(starts: DataFrame, cells: DataFrame, size: int, goals: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """What starts (mode, origin, cx, cy) lead to: (mode, origin, bx, by, weighted, miles), the state of each block by
+    place, and (mode, origin, cx, cy, weighted, miles) of goals (mode, origin, cx, cy).
 
-    It ends when no block sends an offer: a block sends one only for a cell that has become cheaper.
+    A superstep settles the blocks that have offers, each for several origins, and writes what it has settled and
+    offers; states of blocks without offers stay where they were written. With goals, what costs more than all the
+    goals of its origin are known to cost at most is not followed, so a search ends soon after it has met its last goal; values
+    further out may then be too high, but none on a way to a goal.
     """
-    blocks = checkpoint(blocks_of(cells, size))
-    keys = ["mode", "origin", "bx", "by"]
-    block = lambda c: F.floor(F.col(c) / size).cast("int")
-    offers = starts.select("mode", F.col("origin").cast("long").alias("origin"), "cx", "cy", F.lit(0.0).alias("weighted"), F.lit(0.0).alias("miles"))
-    state = None
+    blocks = checkpoint(dense_blocks(cells, size))
+    chunks = max(1, -(-starts.select("origin").distinct().count() // ORIGINS))
+    if goals is None:
+        targets = None
+    else:
+        bx, by, place = block_and_place("cx", "cy", size)
+        targets = checkpoint(goals.select("mode", F.col("origin").cast("long").alias("origin"), "cx", "cy", bx.alias("bx"), by.alias("by"), place.alias("goal")).distinct())
+    offers, states, reached, step = checkpoint(offered(starts, size)), None, None, 0
     while True:
-        news = offers.groupBy("mode", "origin", block("cx").alias("bx"), block("cy").alias("by")).agg(F.collect_list(F.struct("cx", "cy", "weighted", "miles")).alias("news"))
+        news = offers.groupBy(*KEYS).agg(F.collect_list(F.struct("places", "weighted", "miles")).alias("news"))  # of eight blocks at most
         active = news.join(blocks, ["bx", "by"])
-        known = state.select(*keys, "weighted", "miles") if state is not None else None
-        active = active.join(known, keys, "left") if known is not None else active.withColumns({c: F.lit(None).cast("array<double>") for c in ("weighted", "miles")})
-        done = checkpoint(active.mapInPandas(settle(size), _STATE))
-        state = checkpoint(done if state is None else state.join(done.select(*keys), keys, "left_anti").union(done))
-        # each offer at the cost of its cell; the cell's block, which is read next in any case, drops what does not improve it
-        out = done.select("mode", "origin", F.explode("offers").alias("o")).select("mode", "origin", "o.*")
-        priced = out.join(cells.select("cx", "cy", "cls"), ["cx", "cy"]).withColumn("c", move_cost(F.col("mode"), F.col("cls"))).where("c IS NOT NULL")
-        priced = priced.select("mode", "origin", "cx", "cy", (F.col("weighted") + F.col("step") * F.col("c")).alias("weighted"), (F.col("miles") + F.col("step")).alias("miles"))
-        priced = priced.groupBy("mode", "origin", "cx", "cy").agg(F.min(F.struct("weighted", "miles")).alias("b")).select("mode", "origin", "cx", "cy", "b.*")
-        offers = checkpoint(priced)
+        if states is None:
+            active = active.withColumns({c: F.lit(None).cast("binary") for c in ("weighted", "miles")})
+        else:
+            last = states.select(*KEYS, "step").join(news.select(*KEYS), KEYS, "left_semi").groupBy(*KEYS).agg(F.max("step").alias("step"))
+            active = active.join(states.join(last, [*KEYS, "step"]).drop("step"), KEYS, "left")
+        most, here = F.lit(np.inf).alias("most"), F.lit(None).cast("array<long>").alias("goals")
+        if targets is not None:
+            own = targets.groupBy(*KEYS).agg(F.collect_list("goal").alias("goals"))
+            known = targets if reached is None else targets.join(reached, [*KEYS, "goal"], "left")
+            cost = F.lit(np.inf) if reached is None else F.coalesce("goal_weighted", F.lit(np.inf))
+            bounds = known.groupBy("mode", "origin").agg(F.max(cost).alias("most"))
+            active = active.join(own, KEYS, "left").join(bounds, ["mode", "origin"])
+            most, here = F.col("most"), F.col("goals")
+        active = active.select(*KEYS, "classes", "weighted", "miles", "news", most, here, F.pmod(F.xxhash64("origin"), F.lit(chunks)).alias("chunk"))
+        done = checkpoint(active.groupBy("mode", "bx", "by", "chunk").applyInPandas(settle(size), _SETTLED))
+        settled = done.where("what = 0").select(*KEYS, "weighted", "miles", F.lit(step).alias("step"))
+        states, step = settled if states is None else states.union(settled), step + 1
+        if targets is not None:
+            met = done.where("what = 1").select(*KEYS, "goal", "goal_weighted", "goal_miles")
+            met = met if reached is None else met.union(reached)
+            best = F.min(F.struct("goal_weighted", "goal_miles")).alias("b")
+            reached = checkpoint(met.groupBy(*KEYS, "goal").agg(best).select(*KEYS, "goal", "b.*"))
+        offers = done.where("what = 2").select(*KEYS, "places", "weighted", "miles")
         if offers.isEmpty():
             break
-    return unpacked(state, blocks)
+    final = states.groupBy(*KEYS).agg(F.max("step").alias("step")).join(states, [*KEYS, "step"]).drop("step")
+    if targets is None:
+        return final, None
+    return final, targets.join(reached, [*KEYS, "goal"]).select("mode", "origin", "cx", "cy", F.col("goal_weighted").alias("weighted"), F.col("goal_miles").alias("miles"))
+
+
+def unpacked(state: DataFrame, size: int) -> DataFrame:
+    """(mode, origin, cx, cy, weighted, miles) of the cells of states that have been reached."""
+    side = size + 2
+
+    def cells_of(rows: pd.DataFrame) -> pd.DataFrame:
+        r = rows.iloc[0]
+        w, m = np.frombuffer(r["weighted"]), np.frombuffer(r["miles"])
+        at = np.flatnonzero(w < np.inf)
+        x, y = r["bx"] * size + at % side - 1, r["by"] * size + at // side - 1
+        return pd.DataFrame({"mode": r["mode"], "origin": r["origin"], "cx": x, "cy": y, "weighted": w[at], "miles": m[at]})
 
+    return state.groupBy(*KEYS).applyInPandas(cells_of, "mode string, origin long, cx int, cy int, weighted double, miles double")
 
-def unpacked(state: DataFrame, blocks: DataFrame) -> DataFrame:
-    met = state.join(blocks, ["bx", "by"]).select("mode", "origin", F.explode(F.arrays_zip("xs", "ys", "weighted", "miles")).alias("c"))
-    return met.select("mode", "origin", F.col("c.xs").alias("cx"), F.col("c.ys").alias("cy"), "c.weighted", "c.miles").where("weighted < double('infinity')")
+
+def search(starts: DataFrame, cells: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(mode, origin, cx, cy, weighted, miles), in cells, for every cell that starts (mode, origin, cx, cy) lead to."""
+    return unpacked(explore(starts, cells, size)[0], size)
 
 
 def flies() -> Column:
@@ -216,10 +352,29 @@ def ends_of(journeys: DataFrame, cells: DataFrame, grid: Grid) -> DataFrame:
     return checkpoint(a.join(b, ["k", "mode"]).withColumn("origin", F.col("ay").cast("long") * (1 << 31) + F.col("ax")))
 
 
+def starts_and_goals(ends: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(mode, origin, cx, cy) of the starts and of the goals of ends that have both, with the modes they are searched as."""
+    both = ends.where("ax IS NOT NULL AND bx IS NOT NULL").withColumn("mode", searched_as(F.col("mode")))
+    starts, goals = (both.select("mode", "origin", F.col(f"{c}x").alias("cx"), F.col(f"{c}y").alias("cy")).distinct() for c in "ab")
+    return starts, goals
+
+
+def for_modes(found: DataFrame, ends: DataFrame) -> DataFrame:
+    """found, of the modes searched, for every mode and origin of ends."""
+    own = ends.select("mode", "origin").distinct().withColumn("as", searched_as(F.col("mode")))
+    return found.withColumnRenamed("mode", "as").join(own, ["as", "origin"]).select("mode", "origin", "cx", "cy", "weighted", "miles")
+
+
 def search_from(ends: DataFrame, cells: DataFrame, size: int = BLOCK) -> DataFrame:
-    """search() from every start of ends that has a goal."""
-    starts = ends.where("ax IS NOT NULL AND bx IS NOT NULL").select("mode", "origin", F.col("ax").alias("cx"), F.col("ay").alias("cy")).distinct()
-    return search(starts, cells, size)
+    """(mode, origin, cx, cy, weighted, miles) of the cells from the starts of ends out to their goals."""
+    starts, goals = starts_and_goals(ends)
+    return for_modes(unpacked(explore(starts, cells, size, goals)[0], size), ends)
+
+
+def goal_costs(ends: DataFrame, cells: DataFrame, size: int = BLOCK) -> DataFrame:
+    """search_from() for the goals alone."""
+    starts, goals = starts_and_goals(ends)
+    return for_modes(explore(starts, cells, size, goals)[1], ends)
 
 
 def measured(journeys: DataFrame, ends: DataFrame, found: DataFrame, grid: Grid, miles_per_degree: float) -> DataFrame:
@@ -245,7 +400,7 @@ def shortest_days(journeys: DataFrame, cells: DataFrame, grid: Grid, miles_per_d
     error is unreachable-origin, unreachable-destination or no-route.
     """
     ends = ends_of(journeys, cells, grid)
-    return measured(journeys, ends, search_from(ends, cells, size), grid, miles_per_degree)
+    return measured(journeys, ends, goal_costs(ends, cells, size), grid, miles_per_degree)
 
 
 def od_pairs(journeys: DataFrame, places: DataFrame) -> DataFrame:
