@@ -21,7 +21,7 @@ from .linededup import mixed
 from .links import apart, buckets, confirmed, in_filter, linked, set_sketches, sets_may_reach, shingle_set, texts_of, word_hashes
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
-#: Near copies: fingerprints of single words, bits that one of them may differ in, words of a shingle, least similarity.
+#: Near copies: fingerprints of distinct words, bits that one of them may differ in, words of a shingle, least similarity.
 NEAR_PRINTS, NEAR_RADIUS, NEAR_SHINGLE, NEAR_SIMILARITY = 4, 4, 5, (80, 100)
 #: Buckets of up to so many fingerprints are compared pair by pair; larger ones through common neighbours.
 SMALL_BUCKET = 16
@@ -113,12 +113,13 @@ def shared_ids(prints: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def near_prints() -> Callable[[list], list[tuple]]:
     """A function from texts (bytes) to (size, node, prints, bits): of the set of shingles of NEAR_SHINGLE words its size and
-    a digest, null if empty; NEAR_PRINTS fingerprints of the single words; these and the set's sketch."""
+    a digest, null if empty; NEAR_PRINTS fingerprints of the distinct words; these and the set's sketch."""
 
     def of(texts: list) -> list[tuple]:
         words = word_hashes(texts)
         sets = [shingle_set(h, NEAR_SHINGLE) for h in words]
-        prints = np.stack([print_of([mixed(h + np.uint64(k)).tolist() for h in words]) for k in range(NEAR_PRINTS)], axis=1)
+        distinct = [np.unique(h) for h in words]
+        prints = np.stack([print_of([mixed(h + np.uint64(k)).tolist() for h in distinct]) for k in range(NEAR_PRINTS)], axis=1)
         bits = np.concatenate((prints.view(np.uint64), set_sketches(sets)), axis=1)
         return [(len(s), xxh3_128_digest(s.tobytes()), fps, bits[k].tobytes()) if len(s) else (0, None, fps, None) for k, (s, fps) in enumerate(zip(sets, prints.tolist(), strict=True))]
 
