@@ -22,6 +22,10 @@ TYPES = {
 LAND_COST = {"road": 1.0, "steppe": 1.45, "plains": 1.55, "hills": 2.0, "forest": 2.2, "desert": 2.4, "swamp": 3.0, "mountain": 3.6}
 
 
+#: Columns of a stretch in which runs of cells meet.
+STRETCH = 64
+
+
 def mask(*names: str) -> int:
     return sum(1 << CODES[n] for n in names)
 
@@ -121,9 +125,17 @@ def runs_of(cells: DataFrame, keep: Column) -> DataFrame:
 
 
 def run_links(runs: DataFrame, reach: int) -> DataFrame:
-    """(a, b): runs of adjacent rows that touch; reach 0 for four neighbours, 1 for eight."""
-    up = runs.select(F.col("run").alias("b"), (F.col("cy") - 1).alias("cy"), F.col("xa").alias("ua"), F.col("xb").alias("ub"))
-    return runs.join(up, "cy").where((F.col("xa") <= F.col("ub") + reach) & (F.col("ua") <= F.col("xb") + reach)).select(F.col("run").alias("a"), "b")
+    """(a, b): runs of adjacent rows that touch; reach 0 for four neighbours, 1 for eight.
+
+    Runs meet in stretches of STRETCH columns, so that a row of very many runs is no all-pairs join; each link is kept
+    where the overlap begins.
+    """
+    at = lambda c: F.floor(F.col(c) / STRETCH)
+    here = runs.withColumn("at", F.explode(F.sequence(at("xa"), at("xb"))))
+    up = runs.select(F.col("run").alias("b"), (F.col("cy") - 1).alias("cy"), (F.col("xa") - reach).alias("ua"), (F.col("xb") + reach).alias("ub"))
+    up = up.withColumn("at", F.explode(F.sequence(at("ua"), at("ub"))))
+    first = F.floor(F.greatest("xa", "ua") / STRETCH)
+    return here.join(up, ["cy", "at"]).where((F.col("xa") <= F.col("ub")) & (F.col("ua") <= F.col("xb")) & (F.col("at") == first)).select(F.col("run").alias("a"), "b")
 
 
 def labelled_runs(cells: DataFrame, keep: Column, reach: int) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scratch import checkpoint
-from .raster import CODES, LAND_COST, Grid, labelled_runs
+from .raster import CODES, LAND_COST, STRETCH, Grid, labelled_runs
 
 #: Modes of travel, miles a day, the factor of ground without a road, and what stops them.
 MODES = {
@@ -89,15 +89,42 @@ def fly_route(x1: Column, y1: Column, x2: Column, y2: Column, miles_per_degree:
     return F.struct(miles.alias("miles"), (miles / miles_per_day).alias("days"))
 
 
-def reachable(pairs: DataFrame, cells: DataFrame, mode: str) -> DataFrame:
-    """pairs (k, ax, ay, bx, by) of passable cells with reachable: whether eight-neighbour steps join them."""
-    runs = labelled_runs(cells, F.col("cls").isin(*costs(mode)), 1)
-    runs = checkpoint(runs.select("cy", "xa", "xb", "label"))
-    out = pairs
+def component_labels(cells: DataFrame) -> DataFrame:
+    """(mode, cy, xa, xb, label), written: the runs of cells that each mode can enter, with the same label if eight-neighbour
+    steps join them. Modes that can enter the same cells have the same labels, found once."""
+    found: dict[frozenset, DataFrame] = {}
+    out = None
+    for mode, m in MODES.items():
+        if m.get("flies"):
+            continue
+        classes = frozenset(costs(mode))
+        if classes not in found:
+            found[classes] = checkpoint(labelled_runs(cells, F.col("cls").isin(*classes), 1).select("cy", "xa", "xb", "label"))
+        rows = found[classes].select(F.lit(mode).alias("mode"), "cy", "xa", "xb", "label")
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+def reachable(ends: DataFrame, labels: DataFrame) -> DataFrame:
+    """(k, mode, reachable) for ends (k, mode, ax, ay, bx, by) of passable cells, null where nothing is in reach: whether the
+    labels (mode, cy, xa, xb, label) of both are the same.
+
+    Cells meet the runs of their row in stretches of columns, so that the lookup is an equi-join.
+    """
+    at = lambda c: F.floor(F.col(c) / STRETCH)
+    runs = labels.withColumn("at", F.explode(F.sequence(at("xa"), at("xb"))))
+    out = ends.select("k", "mode", "ax", "ay", "bx", "by")
     for end in "ab":
-        r = runs.select(F.col("cy").alias(f"{end}y"), F.col("xa").alias("lo"), F.col("xb").alias("hi"), F.col("label").alias(f"{end}_label"))
-        out = out.join(r, f"{end}y").where(F.col(f"{end}x").between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
-    return out.select("k", (F.col("a_label") == F.col("b_label")).alias("reachable"))
+        r = runs.select("mode", F.col("cy").alias(f"{end}y"), F.col("at").alias("__at"), F.col("xa").alias("lo"), F.col("xb").alias("hi"), F.col("label").alias(f"{end}_label"))
+        own = out.select("k", "mode", f"{end}x", f"{end}y", at(f"{end}x").alias("__at")).join(r, ["mode", f"{end}y", "__at"]).where(F.col(f"{end}x").between(F.col("lo"), F.col("hi")))
+        out = out.join(own.select("k", "mode", f"{end}_label"), ["k", "mode"], "left")
+    return out.select("k", "mode", F.coalesce(F.col("a_label") == F.col("b_label"), F.lit(False)).alias("reachable"))
+
+
+def connections(journeys: DataFrame, cells: DataFrame, grid: Grid) -> DataFrame:
+    """(k, mode, reachable) for journeys (k, mode, x1, y1, x2, y2): ends on the ground snap first, flights reach everything."""
+    ground = reachable(ends_of(journeys, cells, grid), component_labels(cells))
+    return ground.union(journeys.where(flies()).select("k", "mode", F.lit(True)))
 
 
 def blocks_of(cells: DataFrame, size: int = 64) -> DataFrame:
@@ -416,10 +443,10 @@ def od_pairs(journeys: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def check_connectivity(expected: DataFrame, found: DataFrame) -> DataFrame:
-    """expected (k, expected) with verdict, by found (k, reachable); a journey that was not found is unreachable."""
+    """expected (k, mode, expected) with verdict, by found (k, mode, reachable); a journey that was not found is unreachable."""
     is_ = F.coalesce("reachable", F.lit(False))
     verdict = F.when(is_ == F.col("expected"), "as expected").when(is_, "reachable but should not be").otherwise("unreachable")
-    return expected.join(found, "k", "left").select("k", "expected", is_.alias("reachable"), verdict.alias("verdict"))
+    return expected.join(found, ["k", "mode"], "left").select("k", "mode", "expected", is_.alias("reachable"), verdict.alias("verdict"))
 
 
 def route_fixtures(routes: DataFrame) -> DataFrame:

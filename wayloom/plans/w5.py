@@ -77,7 +77,7 @@ RELAX = f"""{FLOOD}, {SNAP}, zs AS (SELECT DISTINCT CASE a.mode WHEN 'horse' THE
    UNION ALL SELECT k, 'dragon', d * {MPD}, d * {MPD}, d * {MPD} / 500, NULL FROM (SELECT k, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS d FROM jn) AS q)"""
 
 
-def routes(spark, sf, size=32):
+def routes(spark, sf, size=64):
     pairs = routing.compare_modes(journeys(spark, sf))
     return pairs, routing.shortest_days(pairs, checkpoint(terrain(spark, sf)), GRID, MPD, size)
 

@@ -11,7 +11,7 @@ from ..operators import paths, realms, routing
 from .fixtures import fixture, oracle
 from .w1 import MPD
 from .w3 import FLOOD, GRID, recursive, terrain
-from .w5 import J, journeys
+from .w5 import J, RELAX, journeys, routes
 
 QUERIES, SQL = {}, {}
 #: Realms: the nations' shapes on three maps side by side, so that there are nameless ones and equal shapes.
@@ -159,59 +159,46 @@ def normalise_features(spark, sf):
     return out.select("layer", "fid", "name", "type", "size", rest.alias("rest"))
 
 
-#: Journeys whose ends can be walked on, and what a flood over such cells reaches from each start.
-WALK = f"""{FLOOD}, {J}, en AS (SELECT k, CAST(trunc(x1 + 4) AS INT) AS ax, CAST(trunc(y1 + 48) AS INT) AS ay, CAST(trunc(x2 + 4) AS INT) AS bx, CAST(trunc(y2 + 48) AS INT) AS by_ FROM jn),
-  wk AS (SELECT cx, cy FROM land WHERE cls NOT IN (0, 8)), eo AS (SELECT en.* FROM en JOIN wk AS a ON a.cx = ax AND a.cy = ay JOIN wk AS b ON b.cx = bx AND b.cy = by_),
-  rf AS (SELECT k, ax AS cx, ay AS cy FROM eo UNION SELECT rf.k, wk.cx, wk.cy FROM rf JOIN (SELECT unnest([-1, 0, 1]) AS dx) AS dx ON true JOIN (SELECT unnest([-1, 0, 1]) AS dy) AS dy ON true
-   JOIN wk ON wk.cx = rf.cx + dx AND wk.cy = rf.cy + dy),
-  rc AS (SELECT eo.k, rf.k IS NOT NULL AS reachable FROM eo LEFT JOIN rf ON rf.k = eo.k AND rf.cx = bx AND rf.cy = by_)"""
+def connected(spark, sf):
+    return routing.connections(routing.compare_modes(journeys(spark, sf)), checkpoint(terrain(spark, sf)), GRID)
 
 
-def on_foot(spark, sf):
-    cell = lambda v, low, n: geo.cell_of(F.col(v), low, GRID.cell, n)
-    ends = journeys(spark, sf).select(
-        "k", cell("x1", GRID.min_lon, GRID.width).alias("ax"), cell("y1", GRID.min_lat, GRID.height).alias("ay"), cell("x2", GRID.min_lon, GRID.width).alias("bx"), cell("y2", GRID.min_lat, GRID.height).alias("by")
-    )
-    return routing.reachable(ends, checkpoint(terrain(spark, sf)), "foot")
-
-
-@query("reachable", f"WITH {WALK} SELECT k, reachable FROM rc")
+@query("reachable", f"WITH {RELAX} SELECT k, mode, error IS NULL AS reachable FROM zt")
 def reachable(spark, sf):
-    return on_foot(spark, sf)
+    return connected(spark, sf)
 
 
 @query(
     "check_connectivity",
-    f"""WITH {WALK} SELECT jn.k, jn.k % 3 <> 0 AS expected, coalesce(reachable, false) AS reachable,
-  CASE WHEN coalesce(reachable, false) = (jn.k % 3 <> 0) THEN 'as expected' WHEN reachable THEN 'reachable but should not be' ELSE 'unreachable' END AS verdict FROM jn LEFT JOIN rc USING (k)""",
+    f"""WITH {RELAX} SELECT k, mode, k % 3 <> 0 AS expected, error IS NULL AS reachable,
+  CASE WHEN (error IS NULL) = (k % 3 <> 0) THEN 'as expected' WHEN error IS NULL THEN 'reachable but should not be' ELSE 'unreachable' END AS verdict FROM zt""",
 )
 def check_connectivity(spark, sf):
-    expected = journeys(spark, sf).select("k", (F.col("k") % 3 != 0).alias("expected"))
-    return routing.check_connectivity(expected, on_foot(spark, sf))
-
+    expected = routing.compare_modes(journeys(spark, sf)).select("k", "mode", (F.col("k") % 3 != 0).alias("expected"))
+    return routing.check_connectivity(expected, connected(spark, sf))
 
-#: Flights between the places of named journeys.
-FLIGHTS = f"""j AS ({NAMED}), p AS (SELECT name, arg_max(lon, place_idx) AS lon, arg_max(lat, place_idx) AS lat FROM {{many_places}} GROUP BY name),
-  fl AS (SELECT k, sqrt((b.lon - a.lon) * (b.lon - a.lon) + (b.lat - a.lat) * (b.lat - a.lat)) * {MPD} AS miles, CASE WHEN a.name IS NULL THEN 'unknown-origin' WHEN b.name IS NULL THEN 'unknown-destination' END AS error
-  FROM j LEFT JOIN p AS a ON a.name = origin LEFT JOIN p AS b ON b.name = destination)"""
 
-
-def flights(spark, sf):
-    r = routing.fly_route(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), MPD, 500.0)
-    return od_pairs(spark, sf).select("k", F.lit("dragon").alias("mode"), r.alias("r"), "error").select("k", "mode", "r.miles", "r.days", "error")
+@query("check_routes", f"WITH {RELAX} SELECT k, mode, coalesce(error, CASE WHEN days BETWEEN k % 3 AND 20 + k * 7 % 90 THEN 'ok' ELSE 'out of range' END) AS verdict FROM zt")
+def check_routes(spark, sf):
+    pairs, found = routes(spark, sf)
+    return routing.check_routes(found, pairs.select("k", "mode", (F.col("k") % 3).alias("low"), (20 + F.col("k") * 7 % 90).alias("high")))
 
 
-@query("check_routes", f"WITH {FLIGHTS} SELECT k, 'dragon' AS mode, coalesce(error, CASE WHEN miles / 500 BETWEEN k % 3 AND 4 + k % 5 THEN 'ok' ELSE 'out of range' END) AS verdict FROM fl")
-def check_routes(spark, sf):
-    f = flights(spark, sf)
-    return routing.check_routes(f, f.select("k", "mode", (F.col("k") % 3).alias("low"), (4 + F.col("k") % 5).alias("high")))
+#: What journeys on foot would be in the other modes if all went by road: the same miles, days by speed.
+SPEED = "CASE {} WHEN 'foot' THEN 20 WHEN 'horse' THEN 35 WHEN 'carriage' THEN 20 WHEN 'dragon' THEN 500 ELSE 120 END"
 
 
-@query("compare_fixtures", f"WITH {FLIGHTS} SELECT k, 'dragon' AS mode, miles IS NULL OR k % 2 = 0 OR miles = 0 AS same FROM fl")
+@query(
+    "compare_fixtures",
+    f"""WITH {RELAX}, wn AS (SELECT f.k, m.mode, f.miles, f.days * 20.0::DOUBLE / {SPEED.format("m.mode")} AS days FROM zt AS f JOIN (SELECT DISTINCT k, mode FROM zt) AS m ON m.k = f.k WHERE f.mode = 'foot')
+  SELECT wn.k, wn.mode, coalesce((wn.days IS NULL AND zt.days IS NULL) OR (abs(zt.miles - wn.miles) <= 0.001 * abs(wn.miles) AND abs(zt.days - wn.days) <= 0.001 * abs(wn.days)), false) AS same FROM wn JOIN zt ON zt.k = wn.k AND zt.mode = wn.mode""",
+)
 def compare_fixtures(spark, sf):
-    f = flights(spark, sf)
-    wanted = f.withColumn("miles", F.col("miles") * F.when(F.col("k") % 2 == 0, 1.0005).otherwise(1.01))
-    return routing.compare_fixtures(f, wanted)
+    found = checkpoint(routes(spark, sf)[1])
+    foot = found.where("mode = 'foot'").select("k", "miles", (F.col("days") * 20.0).alias("d"))
+    speeds = F.create_map(*(F.lit(x) for name, m in routing.MODES.items() for x in (name, m["miles_per_day"])))
+    wanted = found.select("k", "mode").join(foot, "k").select("k", "mode", "miles", (F.col("d") / speeds[F.col("mode")]).alias("days"))
+    return routing.compare_fixtures(found, wanted)
 
 
 def traced(spark, sf):
@@ -236,6 +223,12 @@ def straighten_path(spark, sf):
     return found.select("k", "mode", "miles", "weighted_miles", "days", "error", F.size("path").alias("points"))
 
 
+@query("ground_routes_to_features")
+def ground_routes_to_features(spark, sf):
+    """Every journey that is possible, in every mode, as a line of its straightened path."""
+    return paths.routes_to_features(traced(spark, sf)[1])
+
+
 @query("route_fixtures")
 def route_fixtures(spark, sf):
     pairs, found = traced(spark, sf)
