@@ -20,8 +20,8 @@ from .common import map_texts, materialise
 from .components import components
 from .linededup import FACTOR, FILTER_WORDS, bits_of, mixed
 
-#: Members of a block, and pairs that are compared at once.
-BLOCK, PAIRS = 512, 1 << 16
+#: Members of a block, pairs that are compared and texts that are sketched at once.
+BLOCK, PAIRS, PART = 512, 1 << 16, 512
 #: Words of 64 bits of the sketch of a whole set.
 SET_WORDS = 16
 
@@ -189,6 +189,11 @@ def unjoined(shared: DataFrame, sketches: DataFrame, roots: DataFrame, near: Nea
     return materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
+def in_parts(of: Callable[[list], list[tuple]]) -> Callable[[list], list[tuple]]:
+    """of, given PART texts at once: what it keeps for each text is not kept for a whole batch of short ones."""
+    return lambda texts: [row for at in range(0, len(texts), PART) for row in of(texts[at : at + PART])]
+
+
 def packer() -> Callable[[list], list[tuple]]:
     pack = zstandard.ZstdCompressor(level=3).compress
     return lambda texts: [(pack(t or b""),) for t in texts]

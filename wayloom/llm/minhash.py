@@ -20,7 +20,7 @@ from xxhash import xxh3_128_digest
 
 from .common import map_texts, materialise
 from .linededup import FACTOR, mixed
-from .links import apart, buckets, confirmed, linked, parities, set_sketches, sets_may_reach, shingle_sets, texts_of
+from .links import apart, buckets, confirmed, in_parts, linked, parities, set_sketches, sets_may_reach, shingle_sets, texts_of
 
 WORDS, SIMILARITY = 5, (85, 100)
 SAMPLES, BANDS, ROWS, ODD_WORDS = 256, 20, 4, 8
@@ -80,7 +80,7 @@ def signatures() -> Callable[[list], list[tuple]]:
         keys = band_keys(minima).tolist()
         return [(len(s), xxh3_128_digest(s.tobytes()), bits[k].tobytes(), keys[k]) if len(s) else (0, None, None, []) for k, s in enumerate(sets)]
 
-    return of
+    return in_parts(of)
 
 
 def minhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ from xxhash import xxh3_128_digest, xxh64_intdigest
 from .common import checkpoint, map_texts, materialise, numbered
 from .components import components
 from .linededup import mixed
-from .links import apart, buckets, confirmed, in_filter, linked, set_sketches, sets_may_reach, shingle_set, texts_of, word_hashes
+from .links import apart, buckets, confirmed, in_filter, in_parts, linked, set_sketches, sets_may_reach, shingle_set, texts_of, word_hashes
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
 #: Near copies: fingerprints of distinct words, bits that one of them may differ in, words of a shingle, least similarity.
@@ -123,7 +123,7 @@ def near_prints() -> Callable[[list], list[tuple]]:
         bits = np.concatenate((prints.view(np.uint64), set_sketches(sets)), axis=1)
         return [(len(s), xxh3_128_digest(s.tobytes()), fps, bits[k].tobytes()) if len(s) else (0, None, fps, None) for k, (s, fps) in enumerate(zip(sets, prints.tolist(), strict=True))]
 
-    return of
+    return in_parts(of)
 
 
 def near(x_size: np.ndarray, y_size: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
