@@ -7,7 +7,7 @@ Coordinates are planar degrees; no projection and no great circles.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GEOMETRY = "struct<type:string,parts:array<array<array<struct<x:double,y:double>>>>>"
@@ -70,6 +70,13 @@ def explode_edges(features: DataFrame, keep: list[str], close: bool = True) -> D
     return out.select(*keep, "part", "ring", "seq", e["a"]["x"].alias("x1"), e["a"]["y"].alias("y1"), e["b"]["x"].alias("x2"), e["b"]["y"].alias("y2"))
 
 
+def join_vertices(vertices: DataFrame, keys: list[str]) -> DataFrame:
+    """explode_edges() of features that come as vertices (keys, part, ring, seq, x, y), without building them; rings stay as open as they are."""
+    ring = Window.partitionBy(*keys, "part", "ring").orderBy("seq")
+    ends = vertices.select(*keys, "part", "ring", "seq", F.col("x").alias("x1"), F.col("y").alias("y1"), F.lead("x").over(ring).alias("x2"), F.lead("y").over(ring).alias("y2"))
+    return ends.where("x2 IS NOT NULL")
+
+
 def assemble(vertices: DataFrame, keys: list[str], kind: Column) -> DataFrame:
     """Rows of keys with their geometry, from vertices (keys, part, ring, seq, x, y)."""
     rings = vertices.groupBy(*keys, "part", "ring").agg(F.sort_array(F.collect_list(F.struct("seq", F.struct("x", "y").alias("p")))).alias("v"))

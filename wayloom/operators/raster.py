@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +24,8 @@ TYPES = {
 LAND_COST = {"road": 1.0, "steppe": 1.45, "plains": 1.55, "hills": 2.0, "forest": 2.2, "desert": 2.4, "swamp": 3.0, "mountain": 3.6}
 
 
-#: Columns of a stretch in which runs of cells meet.
-STRETCH = 64
+#: Columns of a stretch in which runs of cells meet, and grid rows that one task paints and labels.
+STRETCH, ROWS = 64, 16
 
 
 def mask(*names: str) -> int:
@@ -99,21 +101,45 @@ def all_cells(spark, grid: Grid) -> DataFrame:
     return n.select((F.col("id") % grid.width).cast("int").alias("cx"), F.floor(F.col("id") / grid.width).cast("int").alias("cy"))
 
 
-def paint_stack(spans: DataFrame, strokes: DataFrame, first_seen: DataFrame, grid: Grid) -> DataFrame:
-    """(cx, cy, cls) for every cell of the grid, ocean where nothing is painted.
+def paint_rows(spans: DataFrame, strokes: DataFrame, first_seen: DataFrame, grid: Grid) -> DataFrame:
+    """(cy, xa, xb, cls): the grid's rows as maximal runs of one class, ocean where nothing is painted.
 
     Paints apply in the order of STACK, within a layer by the first appearance of the class (layer, cls, seen); a
-    paint takes only over classes that its layer may paint over. One aggregation a cell folds its few paints.
+    paint takes only over classes that its layer may paint over. Spans travel as they are; a task sweeps a few rows, each
+    with its spans over one array of the grid's width, and gives runs: cells are never rows of a shuffle.
     """
-    cells = spans.select("layer", "cls", F.explode(F.sequence("xa", "xb")).alias("cx"), F.col("row").alias("cy")).union(strokes.select("layer", "cls", "cx", "cy"))
     rank, allowed = F.lit(None).cast("int"), F.lit(None).cast("int")
     for k, (layer, over) in enumerate(STACK):
         rank = F.when(F.col("layer") == layer, k).otherwise(rank)
         allowed = F.when(F.col("layer") == layer, over).otherwise(allowed)
-    paints = cells.distinct().join(F.broadcast(first_seen), ["layer", "cls"])  # as many rows as layers have classes
-    paints = paints.groupBy("cx", "cy").agg(F.sort_array(F.collect_list(F.struct(rank.alias("rank"), "seen", "cls", allowed.alias("over")))).alias("p"))
-    code = F.aggregate("p", F.lit(0), lambda now, p: F.when(F.call_function("shiftright", p["over"], now).bitwiseAND(F.lit(1)) == 1, p["cls"]).otherwise(now))
-    return all_cells(spans.sparkSession, grid).join(paints.select("cx", "cy", code.alias("cls")), ["cx", "cy"], "left").withColumn("cls", F.coalesce("cls", F.lit(0)))
+    paints = spans.select("layer", "cls", "row", "xa", "xb").union(strokes.select("layer", "cls", "cy", "cx", "cx"))
+    paints = paints.join(F.broadcast(first_seen), ["layer", "cls"])  # as many rows as layers have classes
+    paints = paints.select("row", rank.alias("rank"), "seen", "cls", allowed.alias("over"), "xa", "xb")
+    none = F.lit(-1)
+    empty = spans.sparkSession.range(grid.height).select(F.col("id").cast("int").alias("row"), none.alias("rank"), none.alias("seen"), none.alias("cls"), none.alias("over"), F.lit(0).alias("xa"), none.alias("xb"))
+
+    def sweep(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["row", "rank", "seen", "cls"], kind="stable")
+        out = []
+        for row, paint in rows.groupby("row", sort=False):
+            line = np.zeros(grid.width, np.int32)
+            for cls, over, xa, xb in paint[["cls", "over", "xa", "xb"]].to_numpy().tolist():
+                part = line[xa : xb + 1]
+                part[(over >> part) & 1 == 1] = cls
+            first = np.concatenate(([0], np.flatnonzero(np.diff(line)) + 1))
+            out.append(pd.DataFrame({"cy": row, "xa": first, "xb": np.append(first[1:] - 1, grid.width - 1), "cls": line[first]}))
+        return pd.concat(out)
+
+    return paints.union(empty).groupBy(F.floor(F.col("row") / ROWS)).applyInPandas(sweep, "cy int, xa int, xb int, cls int")
+
+
+def cells_of_runs(runs: DataFrame) -> DataFrame:
+    return runs.select(F.explode(F.sequence("xa", "xb")).alias("cx"), "cy", "cls")
+
+
+def paint_stack(spans: DataFrame, strokes: DataFrame, first_seen: DataFrame, grid: Grid) -> DataFrame:
+    """(cx, cy, cls) for every cell of the grid, as paint_rows() has them."""
+    return cells_of_runs(paint_rows(spans, strokes, first_seen, grid))
 
 
 def runs_of(cells: DataFrame, keep: Column) -> DataFrame:
@@ -138,28 +164,82 @@ def run_links(runs: DataFrame, reach: int) -> DataFrame:
     return here.join(up, ["cy", "at"]).where((F.col("xa") <= F.col("ub")) & (F.col("ua") <= F.col("xb")) & (F.col("at") == first)).select(F.col("run").alias("a"), "b")
 
 
+def labelled(runs: DataFrame, reach: int) -> DataFrame:
+    """runs (run, cy, xa, xb) with label, the same for runs that steps join; reach 0 for four neighbours, 1 for eight.
+
+    Bands of ROWS rows are labelled by themselves, each in one task; then only the labels that touch across a border
+    between bands are contracted.
+    """
+
+    def within(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["cy", "xa"], kind="stable")
+        number, cy, xa, xb = (rows[c].tolist() for c in ("run", "cy", "xa", "xb"))
+        up = list(range(len(number)))
+
+        def top(i: int) -> int:
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+
+        above = i = 0
+        while i < len(number):
+            end = i
+            while end < len(number) and cy[end] == cy[i]:
+                end += 1
+            if above < i and cy[above] == cy[i] - 1:
+                p, q = above, i
+                while p < i and q < end:
+                    if xa[p] <= xb[q] + reach and xa[q] <= xb[p] + reach:
+                        x, y = top(p), top(q)
+                        up[max(x, y)] = min(x, y)
+                    if xb[p] < xb[q]:
+                        p += 1
+                    else:
+                        q += 1
+            above, i = i, end
+        return rows.assign(label=[number[top(k)] for k in range(len(number))])
+
+    own = checkpoint(runs.groupBy(F.floor(F.col("cy") / ROWS)).applyInPandas(within, "run long, cy int, xa int, xb int, label long"))
+    edge = own.where((F.col("cy") % ROWS == 0) | (F.col("cy") % ROWS == ROWS - 1))
+    links = run_links(edge.where(F.col("cy") % ROWS == ROWS - 1).union(edge.where(F.col("cy") % ROWS == 0)), reach)
+    names = lambda c: edge.select(F.col("run").alias(c), F.col("label").alias(f"{c}_label"))
+    links = links.where(F.floor(F.shiftright("a", 31) / ROWS) != F.floor(F.shiftright("b", 31) / ROWS)).join(names("a"), "a").join(names("b"), "b")
+    roots = components(links.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")))
+    return own.join(roots, F.col("label") == F.col("node"), "left").select("run", "cy", "xa", "xb", F.coalesce("root", "label").alias("label"))
+
+
 def labelled_runs(cells: DataFrame, keep: Column, reach: int) -> DataFrame:
     """runs_of() with label, the same for connected runs."""
-    runs = checkpoint(runs_of(cells, keep))  # far fewer than cells, and read in every use
-    roots = components(run_links(runs, reach))
-    return runs.join(roots, F.col("run") == F.col("node"), "left").select("run", "cy", "xa", "xb", F.coalesce("root", "run").alias("label"))
+    return labelled(runs_of(cells, keep), reach)
+
+
+def landlocked(runs: DataFrame, grid: Grid) -> DataFrame:
+    """(run) of those of ocean runs (run, cy, xa, xb) that four-neighbour steps do not join to the grid's border."""
+    known = checkpoint(labelled(runs, 0))
+    border = F.col("cy").isin(0, grid.height - 1) | (F.col("xa") == 0) | (F.col("xb") == grid.width - 1)
+    return known.join(known.where(border).select("label").distinct(), "label", "left_anti").select("run", "cy", "xa", "xb")
 
 
 def reclass_landlocked(cells: DataFrame, grid: Grid) -> DataFrame:
     """Ocean that four-neighbour steps do not join to the ocean on the border becomes lake."""
-    runs = labelled_runs(cells, F.col("cls") == CODES["ocean"], 0)
-    border = F.col("cy").isin(0, grid.height - 1) | (F.col("xa") == 0) | (F.col("xb") == grid.width - 1)
-    inner = runs.join(runs.where(border).select("label").distinct(), "label", "left_anti")
+    inner = landlocked(runs_of(cells, F.col("cls") == CODES["ocean"]), grid)
     enclosed = inner.select(F.explode(F.sequence("xa", "xb")).alias("cx"), "cy", F.lit(CODES["lake"]).alias("lake"))
     return cells.join(enclosed, ["cx", "cy"], "left").select("cx", "cy", F.coalesce("lake", "cls").alias("cls"))
 
 
 def build_terrain(edges: DataFrame, grid: Grid) -> DataFrame:
-    """(cx, cy, cls) from classed edges (layer, feature_idx, cls, x1, y1, x2, y2); roads are stroked, the rest filled."""
+    """(cx, cy, cls) from classed edges (layer, feature_idx, cls, x1, y1, x2, y2); roads are stroked, the rest filled.
+
+    Rows stay runs until the end: painted, reclassed, and only then spread into cells.
+    """
+    edges = checkpoint(edges)  # read by the spans, the strokes and the order of classes
     seen = edges.groupBy("layer", "cls").agg(F.min("feature_idx").alias("seen"))
     spans = fill_polygons(edges.where("layer <> 'roads'"), grid)
     strokes = stroke_lines(edges.where("layer = 'roads'"), grid)
-    return reclass_landlocked(checkpoint(paint_stack(spans, strokes, seen, grid)), grid)
+    rows = checkpoint(paint_rows(spans, strokes, seen, grid).withColumn("run", F.col("cy").cast("long") * (1 << 31) + F.col("xa")))
+    lakes = landlocked(rows.where(F.col("cls") == CODES["ocean"]).select("run", "cy", "xa", "xb"), grid).select("run", F.lit(CODES["lake"]).alias("lake"))
+    return cells_of_runs(rows.join(lakes, "run", "left").select("cy", "xa", "xb", F.coalesce("lake", "cls").alias("cls")))
 
 
 def terrain_histogram(cells: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from .fixtures import fixture, oracle
 
 QUERIES, SQL = {}, {}
 GRID = r.Grid(-4.0, -48.0, 1.0, 100, 96)
+#: The same extent in cells of an eighth of a degree: 614 400 cells.
+FINE = r.Grid(-4.0, -48.0, 0.125, 800, 768)
 LAYERS = ("continents", "islands", "regions", "landscape", "lakes", "roads")
 CLS = """CASE WHEN layer IN ('continents', 'islands') THEN 1 WHEN layer = 'lakes' THEN 8 WHEN layer = 'roads' THEN 9
   WHEN layer = 'regions' THEN CASE lower(type) WHEN 'forest' THEN 3 WHEN 'mountain' THEN 7 WHEN 'desert' THEN 4 WHEN 'water' THEN 0 END
@@ -58,9 +60,7 @@ def edges(spark, sf):
     vertices = fixture(spark, sf, LAYERS[0])
     for layer in LAYERS[1:]:
         vertices = vertices.unionByName(fixture(spark, sf, layer))
-    keys = ["layer", "fid", "feature_idx", "type"]
-    features = geo.assemble(vertices, keys, F.lit("Polygon"))
-    cut = geo.explode_edges(features, keys, close=False)
+    cut = geo.join_vertices(vertices, ["layer", "fid", "feature_idx", "type"])
     return cut.withColumn("cls", r.classify_layer(F.col("layer"), F.col("type"))).where("cls IS NOT NULL")
 
 
@@ -70,8 +70,8 @@ def painted(spark, sf):
     return r.paint_stack(r.fill_polygons(e.where("layer <> 'roads'"), GRID), r.stroke_lines(e.where("layer = 'roads'"), GRID), seen, GRID)
 
 
-def terrain(spark, sf):
-    return r.build_terrain(edges(spark, sf), GRID)
+def terrain(spark, sf, grid=GRID):
+    return r.build_terrain(edges(spark, sf), grid)
 
 
 @query("grid_extent", f"SELECT min(x) - 1 AS min_lon, min(y) - 1 AS min_lat, CAST(trunc((max(x) - min(x) + 2) / 0.125) AS INT) + 1 AS width, CAST(trunc((max(y) - min(y) + 2) / 0.125) AS INT) + 1 AS height FROM (SELECT * FROM {{continents}} UNION ALL SELECT * FROM {{islands}}) AS v".replace("{{", "{").replace("}}", "}"))
@@ -119,6 +119,12 @@ def build_terrain(spark, sf):
     return terrain(spark, sf)
 
 
+@query("build_terrain_fine")
+def build_terrain_fine(spark, sf):
+    """Cells of an eighth of a degree; recursive SQL over so many is slow, so tests hold it against a plain painter."""
+    return terrain(spark, sf, FINE)
+
+
 NAMES = ", ".join(f"({c}, '{n}')" for n, c in r.CODES.items())
 
 

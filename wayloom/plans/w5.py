@@ -8,7 +8,7 @@ from ..functions.scratch import checkpoint
 from ..operators import present, routing
 from .fixtures import fixture, oracle
 from .w1 import MPD
-from .w3 import FLOOD, GRID, recursive, terrain
+from .w3 import FINE, FLOOD, GRID, recursive, terrain
 
 QUERIES, SQL = {}, {}
 J = "jn AS (SELECT CAST(row_number() OVER (ORDER BY origin, destination) AS BIGINT) AS k, * FROM {journeys})"
@@ -88,6 +88,12 @@ def shortest_days(spark, sf):
     return found.select("k", "mode", F.bround("miles", 5).alias("miles"), F.bround("weighted_miles", 5).alias("weighted_miles"), F.bround("days", 6).alias("days"), "error")
 
 
+@query("shortest_days_fine")
+def shortest_days_fine(spark, sf):
+    """All journeys in all modes on cells of an eighth of a degree; tests hold the search against a plain one."""
+    return routing.shortest_days(routing.compare_modes(journeys(spark, sf)), checkpoint(terrain(spark, sf, FINE)), FINE, MPD)
+
+
 @query(
     "rank_modes",
     f"""WITH {RELAX} SELECT k, mode, origin, destination, round(days, 6) AS days, error, CAST(row_number() OVER (PARTITION BY origin, destination ORDER BY error IS NOT NULL, round(days, 6), mode) AS INT) AS rank FROM zt JOIN jn USING (k)""",
