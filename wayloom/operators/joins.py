@@ -1,33 +1,73 @@
-"""Spatial joins as equi-joins on bands and buckets."""
+"""Spatial joins as equi-joins on cells and buckets."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scratch import checkpoint
 
 
-def pip_pairs(points: DataFrame, edges: DataFrame, band: float = 2.0) -> DataFrame:
+POLYGON = ["layer", "fid", "feature_idx", "part"]
+#: Cells this near to an edge count as touched by it.
+NEAR = 1e-9
+
+
+def edge_rows(edges: DataFrame, size: float) -> DataFrame:
+    """edges (POLYGON, ring, x1, y1, x2, y2) with j, once for each row of cells that they pass."""
+    at = lambda c: F.floor(c / size)
+    own = edges.select(*POLYGON, "ring", "x1", "y1", "x2", "y2")
+    return own.withColumn("j", F.explode(F.sequence(at(F.least("y1", "y2") - NEAR), at(F.greatest("y1", "y2") + NEAR))))
+
+
+def location_grid(rows: DataFrame, size: float) -> DataFrame:
+    """(POLYGON, i, j, inside) from edge_rows(): the cells wholly inside a part, decided once, and those that its edges touch (inside false).
+
+    A cell that no edge touches is inside if its middle is: in the shell, and in no hole.
+    """
+    at = lambda c: F.floor(c / size)
+    rise = F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0))
+    x_at = lambda y: F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / rise
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    ends = [x_at(F.least(F.greatest(F.col("j") * size, low), high)), x_at(F.least(F.greatest((F.col("j") + 1) * size, low), high))]
+    ends = [F.coalesce(c, F.col(x)) for c, x in zip(ends, ("x1", "x2"))]
+    touched = rows.select(*POLYGON, "j", F.explode(F.sequence(at(F.least(*ends) - NEAR), at(F.greatest(*ends) + NEAR))).alias("i")).distinct()
+
+    middle = (F.col("j") + 0.5) * size
+    crossed = rows.where((F.col("y1") > middle) != (F.col("y2") > middle)).select(*POLYGON, "ring", "j", x_at(middle).alias("x"))
+    order = Window.partitionBy(*POLYGON, "ring", "j").orderBy("x")
+    spans = crossed.withColumns({"to": F.lead("x").over(order), "n": F.row_number().over(order)}).where("n % 2 = 1 AND to IS NOT NULL")
+    first = lambda c: F.ceil(F.col(c) / size - 0.5)
+    spans = spans.where(first("x") < first("to")).select(*POLYGON, "ring", "j", F.explode(F.sequence(first("x"), first("to") - 1)).alias("i"))
+    filled = spans.groupBy(*POLYGON, "i", "j").agg(F.max(F.col("ring") == 0).alias("shell"), F.max(F.col("ring") > 0).alias("hole")).where("shell AND NOT hole")
+    inner = filled.join(touched, [*POLYGON, "i", "j"], "left_anti")
+    return inner.select(*POLYGON, "i", "j", F.lit(True).alias("inside")).union(touched.select(*POLYGON, "i", "j", F.lit(False)))
+
+
+def pip_pairs(points: DataFrame, edges: DataFrame, size: float = 1.0) -> DataFrame:
     """(k, layer, fid, feature_idx) for each point (k, x, y) that lies in a polygon of edges.
 
     edges: layer, fid, feature_idx, part, ring, x1, y1, x2, y2. A point is in a ring if a ray to the right crosses its
     edges an odd number of times; it is in a polygon if it is in the shell of any part and in none of that part's
-    holes. Edges are dealt into horizontal bands of that height, points into the one they lie in, and only edges that
-    the ray's line crosses are joined; horizontal edges cross nothing. Hot bands are left to adaptive skew joins.
+    holes. Polygons are dealt into square cells of that size: points in cells wholly inside are found by their cell
+    alone, and only those in cells that an edge touches meet the edges of that part in their row of cells.
     """
-    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    bands = F.sequence(F.floor(low / band), F.floor(high / band))
-    cut = edges.where("y1 <> y2").withColumn("band", F.explode(bands))
-    cut = cut.select("band", "layer", "fid", "feature_idx", "part", "ring", "x1", "y1", "x2", "y2")
-    at = points.select("k", "x", "y", F.floor(F.col("y") / band).alias("band"))
+    rows = checkpoint(edge_rows(edges, size))
+    grid = location_grid(rows, size)
+    at = points.select("k", "x", "y", F.floor(F.col("x") / size).alias("i"), F.floor(F.col("y") / size).alias("j"))
+    met = checkpoint(at.join(grid, ["i", "j"]).select("k", "x", "y", "j", *POLYGON, "inside"))
+    sure = met.where("inside").select("k", *POLYGON[:-1])
+    return sure.union(ray_cast(met.where("NOT inside"), rows)).distinct()
+
+
+def ray_cast(met: DataFrame, rows: DataFrame) -> DataFrame:
+    """(k, layer, fid, feature_idx) of the points met (k, x, y, j, POLYGON) that are in the part they have met."""
     rise = F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0))
     crossing = F.expr("(y1 > y) <> (y2 > y)") & (F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / rise + F.col("x1"))
-    crossed = at.join(cut, "band").where(crossing)
-    keys = ["k", "layer", "fid", "feature_idx", "part"]
-    rings = crossed.groupBy(*keys, "ring").count().where(F.col("count") % 2 == 1)
-    parts = rings.groupBy(*keys).agg(F.max(F.col("ring") == 0).alias("shell"), F.max(F.col("ring") > 0).alias("hole"))
-    return parts.where("shell AND NOT hole").select(*keys[:-1]).distinct()
+    crossed = met.join(rows.where("y1 <> y2"), [*POLYGON, "j"]).where(crossing)
+    rings = crossed.groupBy("k", *POLYGON, "ring").count().where(F.col("count") % 2 == 1)
+    parts = rings.groupBy("k", *POLYGON).agg(F.max(F.col("ring") == 0).alias("shell"), F.max(F.col("ring") > 0).alias("hole"))
+    return parts.where("shell AND NOT hole").select("k", *POLYGON[:-1])
 
 
 def pip_first(pairs: DataFrame, features: DataFrame) -> DataFrame:
