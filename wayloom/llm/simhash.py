@@ -152,7 +152,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     nodes = materialise(nodes)
     key = lambda k, v, m: F.xxhash64(F.lit(k), F.lit(v), F.get("prints", F.lit(k)).bitwiseAND(F.lit(signed(m))))
     keys = F.explode(F.array(*(key(k, v, m) for k in range(NEAR_PRINTS) for v, m in enumerate(masks(NEAR_RADIUS)))))
-    shared = buckets(nodes.select(keys.alias("band"), "node"))
+    # many small tasks: each counts a bounded number of bands before its shuffle
+    dealt = nodes.select("node", "prints").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
+    shared = buckets(dealt.select(keys.alias("band"), "node"))
     some = materialise(nodes.join(shared.select("node").distinct(), "node", "left_semi"))
     texts = texts_of(rows.select(F.col("row").alias("own"), number, text), some.select("node", F.col("one.row").alias("id"), "one.key"))
     roots = linked(shared, some.select("node", "size", "bits"), near, lambda pairs: confirmed(pairs, texts, NEAR_SHINGLE, NEAR_SIMILARITY))
