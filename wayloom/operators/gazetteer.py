@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import flat_points, line_degrees
+from ..functions.scan import running
 from ..functions.text import coerce_int, slugify
 from .joins import nearest_vertex, pip_all_names, pip_first, pip_pairs
 
@@ -49,10 +50,13 @@ def drop_unnamed(features: DataFrame) -> DataFrame:
 
 
 def dedupe_slugs(places: DataFrame) -> DataFrame:
-    """Adds slug: the n-th place with a slug, in input order, gets '-n' from the second on."""
-    named = places.withColumn("slug", slugify(F.col("name")))
-    n = F.row_number().over(Window.partitionBy("slug").orderBy("place_idx"))
-    return named.withColumn("__n", n).withColumn("slug", F.when(F.col("__n") > 1, F.concat("slug", F.lit("-"), F.col("__n").cast("string"))).otherwise(F.col("slug"))).drop("__n")
+    """Adds slug: the n-th place with a slug, in input order, gets '-n' from the second on.
+
+    Places are numbered over sorted ranges, so a slug that very many share, such as that of the unnamed, is no hot group.
+    """
+    named = running(places.withColumn("slug", slugify(F.col("name"))), ["slug"], [F.col("place_idx")], {"__at": F.lit(1)})
+    slug = F.when(F.col("__at") > 1, F.concat("slug", F.lit("-"), F.col("__at").cast("string"))).otherwise(F.col("slug"))
+    return named.withColumn("slug", slug).drop("__at", "__at_total")
 
 
 def resolve_continent(found: DataFrame) -> DataFrame:

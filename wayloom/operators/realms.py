@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import bbox, explode_edges, explode_vertices, hsl_to_hex
+from ..functions.scan import running
 from ..functions.text import slugify
 from .present import thin_labels
 
@@ -75,12 +76,11 @@ def label_anchor(features: DataFrame) -> DataFrame:
 def realm_palette(realms: DataFrame) -> DataFrame:
     """realms (lat, feature_idx) with hue, colour and labelColour: the rainbow from north to south.
 
-    All realms are ordered at once: there are as many as a map has names for.
+    Realms are numbered over sorted ranges; none has to hold them all.
     """
-    order = Window.partitionBy().orderBy(F.col("lat").desc(), "feature_idx")
-    n = F.count("*").over(Window.partitionBy())
-    hue = F.lit(HUES) * (F.row_number().over(order) - 1) / F.greatest(n - 1, F.lit(1))
-    ranked = realms.withColumn("hue", hue)
+    ranked = running(realms.withColumn("__map", F.lit(0)), ["__map"], [F.col("lat").desc(), F.col("feature_idx")], {"__at": F.lit(1)})
+    hue = F.lit(HUES) * (F.col("__at") - 1) / F.greatest(F.col("__at_total") - 1, F.lit(1))
+    ranked = ranked.withColumn("hue", hue).drop("__map", "__at", "__at_total")
     colours = {"colour": hsl_to_hex(F.col("hue"), *FILL), "labelColour": hsl_to_hex(F.col("hue"), *LABEL)}
     return ranked.withColumns(colours).withColumn("hue", F.bround("hue", 1))
 

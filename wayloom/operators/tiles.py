@@ -147,16 +147,15 @@ def tile_row(lat: Column, z: Column) -> Column:
     return (1 - F.ln(F.tan(r) + 1 / F.cos(r)) / math.pi) / 2 * F.pow(F.lit(2.0), z)
 
 
-def tile_range(spark, grid: Grid, zooms: tuple[int, ...]) -> DataFrame:
-    """(z, tx, ty) of all tiles that the grid touches."""
-    z = F.explode(F.array(*map(F.lit, zooms))).alias("z")
+def tile_range(boxes: DataFrame) -> DataFrame:
+    """(z, tx, ty) of all tiles that any of boxes (z, west, south, east, north) touches, each once."""
     n = F.pow(F.lit(2.0), F.col("z"))
-    column = lambda lon: ((F.lit(lon) + 180) / 360 * n).cast("int")
-    row = lambda lat: tile_row(F.lit(lat), F.col("z")).cast("int")
     last = (n - 1).cast("int")
-    xs = F.sequence(F.greatest(F.lit(0), column(grid.min_lon)), F.least(last, column(grid.min_lon + grid.width * grid.cell)))
-    ys = F.sequence(F.greatest(F.lit(0), row(grid.min_lat + grid.height * grid.cell)), F.least(last, row(grid.min_lat)))
-    return spark.range(1).select(z).withColumn("tx", F.explode(xs)).withColumn("ty", F.explode(ys))
+    held = lambda c: F.least(F.greatest(c.cast("int"), F.lit(0)), last)
+    column = lambda lon: held((F.col(lon) + 180) / 360 * n)
+    row = lambda lat: held(tile_row(F.col(lat), F.col("z")))
+    sides = boxes.select("z", column("west").alias("x0"), column("east").alias("x1"), row("north").alias("y0"), row("south").alias("y1")).distinct()
+    return sides.withColumn("tx", F.explode(F.sequence("x0", "x1"))).withColumn("ty", F.explode(F.sequence("y0", "y1"))).select("z", "tx", "ty").distinct()
 
 
 def pixel_axes(tiles: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -180,20 +179,6 @@ def pixel_to_cell_nearest(tiles: DataFrame, grid: Grid) -> tuple[DataFrame, Data
     )
 
 
-def bilinear_axes(tiles: DataFrame, grid: Grid) -> tuple[DataFrame, DataFrame]:
-    """(z, tx, px, cx, wx) and (z, ty, py, cy, wy): two neighbours and their weights an axis, clamped to the grid."""
-
-    def spread(df: DataFrame, keep: list[str], value: str, low: float, count: int, c: str, w: str) -> DataFrame:
-        v = (F.col(value) - low) / grid.cell - 0.5
-        i = F.floor(v)
-        near = F.array(F.struct(i.alias("i"), (1 - (v - i)).alias("w")), F.struct((i + 1).alias("i"), (v - i).alias("w")))
-        cell = F.least(F.greatest(F.col("n.i"), F.lit(0)), F.lit(count - 1)).cast("int")
-        return df.select(*keep, F.explode(near).alias("n")).select(*keep, cell.alias(c), F.col("n.w").alias(w))
-
-    xs, ys = pixel_axes(tiles)
-    return spread(xs, ["z", "tx", "px"], "lon", grid.min_lon, grid.width, "cx", "wx"), spread(ys, ["z", "ty", "py"], "lat", grid.min_lat, grid.height, "cy", "wy")
-
-
 def pixel_cells(z: int, tx: int, ty: int, grid: Grid) -> tuple[np.ndarray, np.ndarray]:
     """Where the pixel columns and rows of a tile lie on the grid, in cells from its south-west corner."""
     n, mid = 2.0**z, (np.arange(TILE) + 0.5) / TILE

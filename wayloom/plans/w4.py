@@ -120,21 +120,22 @@ def satellite_colour(spark, sf):
 
 
 TROW = lambda lat: f"CAST(trunc((1 - ln(tan(radians({lat})) + 1 / cos(radians({lat}))) / pi()) / 2 * pow(2, z)) AS INT)"
-TILES = f"""zs AS (SELECT unnest([2, 3, 4]) AS z), tiles AS (SELECT z, tx, unnest(range({TROW('48.0')}, {TROW('-48.0')} + 1)) AS ty
-  FROM (SELECT z, unnest(range(CAST(trunc((-4.0 + 180) / 360 * pow(2, z)) AS INT), CAST(trunc((96.0 + 180) / 360 * pow(2, z)) AS INT) + 1)) AS tx FROM zs) AS q)"""
+TCOL = lambda lon: f"CAST(trunc(({lon} + 180) / 360 * pow(2, z)) AS INT)"
+#: The tiles under the realms' boxes.
+TILES = f"""tb AS (SELECT fid, min(x) AS west, max(x) AS east, min(y) AS south, max(y) AS north FROM {{political}} GROUP BY fid), zs AS (SELECT unnest([2, 3, 4]) AS z),
+  tiles AS (SELECT DISTINCT z, tx, ty FROM (SELECT z, tx, unnest(range({TROW('north')}, {TROW('south')} + 1)) AS ty
+   FROM (SELECT z, north, south, unnest(range({TCOL('west')}, {TCOL('east')} + 1)) AS tx FROM tb, zs) AS q) AS q2)"""
 ZOOMS = (2, 3, 4)
 
 
-def tiles(spark):
-    return t.tile_range(spark, GRID, ZOOMS)
-
-
 def the_tiles(spark, sf):
-    """The tiles of zoom 2 to 4, or none if there are no nations to map."""
-    return tiles(spark).join(fixture(spark, sf, "nation").select(F.lit(1).alias("one")).limit(1)).drop("one")
+    """The tiles of zoom 2 to 4 under the realms' boxes."""
+    sides = {"west": F.min("x"), "east": F.max("x"), "south": F.min("y"), "north": F.max("y")}
+    boxes = fixture(spark, sf, "political").groupBy("fid").agg(*(c.alias(n) for n, c in sides.items()))
+    return t.tile_range(boxes.withColumn("z", F.explode(F.array(*map(F.lit, ZOOMS)))))
 
 
-@query("tile_range", f"WITH {TILES} SELECT z, tx, CAST(ty AS INT) AS ty FROM tiles WHERE EXISTS (SELECT 1 FROM nation)")
+@query("tile_range", f"WITH {TILES} SELECT z, CAST(tx AS INT) AS tx, CAST(ty AS INT) AS ty FROM tiles")
 def tile_range(spark, sf):
     return the_tiles(spark, sf)
 
