@@ -117,6 +117,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         held = rows.slice(last).combine_chunks()
     if held is not None:
         yield held
+    pa.default_memory_pool().release_unused()
 
 
 def pairs_within(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -190,13 +191,22 @@ def unjoined(shared: DataFrame, sketches: DataFrame, roots: DataFrame, near: Nea
 
 
 def in_parts(of: Callable[[list], list[tuple]]) -> Callable[[list], list[tuple]]:
-    """of, given PART texts at once: what it keeps for each text is not kept for a whole batch of short ones."""
-    return lambda texts: [row for at in range(0, len(texts), PART) for row in of(texts[at : at + PART])]
+    """of, given PART values at once: what it keeps for each is not kept for a whole batch of short ones.
+
+    Memory that Arrow holds for batches gone by is given back, as workers live on between tasks.
+    """
+
+    def all_of(values: list) -> list[tuple]:
+        out = [row for at in range(0, len(values), PART) for row in of(values[at : at + PART])]
+        pa.default_memory_pool().release_unused()
+        return out
+
+    return all_of
 
 
 def packer() -> Callable[[list], list[tuple]]:
     pack = zstandard.ZstdCompressor(level=3).compress
-    return lambda texts: [(pack(t or b""),) for t in texts]
+    return in_parts(lambda texts: [(pack(t or b""),) for t in texts])
 
 
 def in_filter(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
@@ -237,7 +247,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, share: tuple[int,
                 out.append((whole * common >= least * (len(both) - common),))
             return out
 
-        return of
+        return in_parts(of)
 
     both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
     both = both.select("a", "b", F.struct((F.octet_length("x") + F.octet_length("y")).alias("size"), "x", "y").alias("pair"))
