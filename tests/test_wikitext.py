@@ -1,3 +1,6 @@
+from pyspark.sql import functions as F
+
+from wayloom.functions import wikitext as wt
 from wayloom.functions.wikitext import clean, resolve_links, sections_of, strip_braces
 
 
@@ -20,3 +23,11 @@ def test_lines_and_sections():
     assert clean("* a\n\n\n\n\nb  c\n| t\n! u") == "a\n\nb c"
     got = sections_of("lead\n== H ==\ntext\n===E===\n\n====Z====\nz")
     assert got == {"lead": "lead", "sections": [{"level": 2, "title": "H", "text": "text"}, {"level": 4, "title": "Z", "text": "z"}]}
+
+
+def test_steps_in_the_jvm_are_those_of_the_whole(spark):
+    """Texts without templates and links: the two native steps give what the cleaner gives."""
+    texts = ["", "plain", "<!-- a\nb -->x<REF name='q'>r\n</ref>y<ref/>'''z'''", "* a\n# b\n;; c\n| d\n{| e\n  ! f\n|}\n\n\n\n\ng \t h ", "<small>a</small><br/>b<div class=c>d</div>", "\n\n \n"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", wt.clean_lines(wt.strip_comments_refs_tags(F.col("t"))).alias("native")).collect()
+    assert [r.native for r in rows] == [wt.clean(r.t) for r in rows]

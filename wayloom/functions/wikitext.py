@@ -113,6 +113,35 @@ def clean_wikitext(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else clean(t))
 
 
+@F.pandas_udf(T.StringType())
+def braces_stripped(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else strip_braces(t))
+
+
+@F.pandas_udf(T.StringType())
+def links_resolved(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else resolve_links(t))
+
+
+def java(pattern: re.Pattern) -> Column:
+    """A pattern as the JVM reads it, with its flags."""
+    flags = "".join(c for c, f in (("i", re.I), ("s", re.S)) if pattern.flags & f)
+    return F.lit(f"(?{flags}U){pattern.pattern}")
+
+
+def strip_comments_refs_tags(text: Column) -> Column:
+    """text without comments, references, tags of layout and quotes of emphasis, in the JVM."""
+    return reduce(lambda t, p: F.regexp_replace(t, java(p), F.lit("")), (COMMENT, *REFERENCES, TAGS, QUOTES), text)
+
+
+def clean_lines(text: Column) -> Column:
+    """text without lines of tables, without list marks, with single spaces and at most one blank line, in the JVM."""
+    ends = F.lit(r"(?U)^\s+|\s+$")
+    lines = F.filter(F.split(text, "\n"), lambda x: ~F.regexp_like(x, F.lit(f"(?U)^{TABLE_LINE.pattern}")))
+    lines = F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, java(LIST_MARK), F.lit("")), java(BLANKS), F.lit(" ")), ends, F.lit("")))
+    return F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), java(BLANK_LINES), F.lit("\n\n")), ends, F.lit(""))
+
+
 @F.pandas_udf(ARTICLE)
 def split_sections(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([sections_of(t or "") for t in text], columns=["lead", "sections"])

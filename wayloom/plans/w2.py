@@ -50,6 +50,37 @@ def clean_wikitext(spark, sf):
     return bodies(spark, sf).select("doc_id", wt.clean_wikitext(markup).alias("text"))
 
 
+BODIES = f"(SELECT doc_id, {BODY} AS body FROM {{documents}}) AS b"
+
+
+@query("strip_comments_refs_tags", f"SELECT doc_id, concat(body, body, ' x') AS text FROM {BODIES}")
+def strip_comments_refs_tags(spark, sf):
+    b = F.col("body")
+    markup = F.concat(F.lit("<!-- a\n<ref> -->"), b, F.lit("<ref name=a>cite\n'''x'''</REF><ref/><small>''"), b, F.lit("''</small><br /> '''x'''''"))
+    return bodies(spark, sf).select("doc_id", wt.strip_comments_refs_tags(markup).alias("text"))
+
+
+@query("strip_braces", f"SELECT doc_id, concat(body, ' }}}}}}}} ', body, ' x') AS text FROM {BODIES}".replace("}}}}", "}}"))
+def strip_braces(spark, sf):
+    b = F.col("body")
+    markup = F.concat(F.lit("{{i|{{j|{|k|}}}}}"), b, F.lit(" }} "), b, F.lit("{| class=w\n| {{c}}\n|} x{{open "), b)
+    return bodies(spark, sf).select("doc_id", wt.braces_stripped(markup).alias("text"))
+
+
+@query("resolve_links", f"SELECT doc_id, concat(CASE WHEN body = '' THEN 'Target' ELSE body END, ' and Plain label', body, '[[open') AS text FROM {BODIES}")
+def resolve_links(spark, sf):
+    b = F.col("body")
+    markup = F.concat(F.lit("[[Target|"), b, F.lit("]] and [[Plain]] [[File:P.png|thumb|a [[link]] here]][//x.y label][//z.z]"), b, F.lit("[[open"))
+    return bodies(spark, sf).select("doc_id", wt.links_resolved(markup).alias("text"))
+
+
+@query("clean_lines", f"SELECT doc_id, CASE WHEN body = '' THEN 'x' ELSE concat(body, chr(10), chr(10), body, ' x', chr(10), body) END AS text FROM {BODIES}")
+def clean_lines(spark, sf):
+    b = F.col("body")
+    markup = F.concat(F.lit("* "), b, F.lit("\n{| class=w\n| cell\n|}\n\n\n\n:: "), b, F.lit("  \t x \n! head\n"), b)
+    return bodies(spark, sf).select("doc_id", wt.clean_lines(markup).alias("text"))
+
+
 @query(
     "split_sections",
     f"""SELECT doc_id, body AS lead, 2 AS level, 'History' AS title, {LINKED} AS text FROM (SELECT doc_id, {BODY} AS body FROM {{documents}}) AS b
