@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -187,28 +188,28 @@ def pixel_cells(z: int, tx: int, ty: int, grid: Grid) -> tuple[np.ndarray, np.nd
     return (west + (east - west) * mid - grid.min_lon) / grid.cell, (lat - grid.min_lat) / grid.cell
 
 
-def draw_nearest(image: np.ndarray, x: np.ndarray, y: np.ndarray, x0: int, y0: int, grid: Grid) -> np.ndarray:
-    """Each pixel the value of the cell that it lies in; image holds the cells from (x0, y0) on."""
-    i, j = (np.clip(v.astype(np.int64), 0, n - 1) for v, n in ((x, grid.width), (y, grid.height)))
-    return image[(j - y0)[:, None], (i - x0)[None, :]]
+def nearest(x: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The one cell that each pixel lies in along an axis of n cells, with weight one."""
+    return [(np.clip(x.astype(np.int64), 0, n - 1), np.ones(len(x)))]
 
 
-def draw_bilinear(image: np.ndarray, x: np.ndarray, y: np.ndarray, x0: int, y0: int, grid: Grid) -> np.ndarray:
-    """Each pixel the weighted mean of the four cells whose centres are round it, clamped to the grid."""
-    out = 0.0
-    (i, u), (j, v) = ((np.floor(p - 0.5).astype(np.int64), (p - 0.5) - np.floor(p - 0.5)) for p in (x, y))
-    for dy, wy in ((0, 1 - v), (1, v)):
-        for dx, wx in ((0, 1 - u), (1, u)):
-            row, col = np.clip(j + dy, 0, grid.height - 1) - y0, np.clip(i + dx, 0, grid.width - 1) - x0
-            out = out + image[row[:, None], col[None, :]] * (wy[:, None] * wx[None, :])[:, :, None]
-    return out
+def bilinear(x: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The two cells whose centres are beside each pixel along an axis of n cells, clamped, and their weights."""
+    i = np.floor(x - 0.5).astype(np.int64)
+    part = (x - 0.5) - np.floor(x - 0.5)
+    return [(np.clip(i, 0, n - 1), 1 - part), (np.clip(i + 1, 0, n - 1), part)]
+
+
+def sampled(sides: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The cells of an axis that pixels take, each once."""
+    return np.unique(np.concatenate([i for i, _ in sides]))
 
 
-def drawn(tiles: DataFrame, cells: DataFrame, grid: Grid, values: list[str], draw, finish, schema: str, block: int = 64) -> DataFrame:
-    """finish(z, tx, ty, pixels) for each of tiles, pixels being the values of cells (cx, cy, values) drawn by draw.
+def cells_under(tiles: DataFrame, cells: DataFrame, grid: Grid, values: list[str], sample, block: int = 64) -> DataFrame:
+    """(z, tx, ty, cx, cy, values): for each of tiles arrays of the cells that its pixels take, block by block.
 
-    Cells travel in blocks to the tiles that they touch, and a tile is drawn at once: a group holds the cells under one
-    tile, and its pixels never become rows of a shuffle.
+    Cells travel in blocks to the tiles that they touch; of each block only the columns and rows that are sampled go on.
+    A tile takes 256 columns and rows at most, or twice as many where pixels lie between cells, at any zoom.
     """
     place = lambda c: F.floor(F.col(c) / block).cast("int")
     packed = cells.groupBy(place("cx").alias("bx"), place("cy").alias("by")).agg(*(F.collect_list(c).alias(c) for c in ("cx", "cy", *values)))
@@ -219,16 +220,44 @@ def drawn(tiles: DataFrame, cells: DataFrame, grid: Grid, values: list[str], dra
     span = lambda low, high, count: F.explode(F.sequence(held(low - 2, count), held(high + 2, count)))
     spread = tiles.select("z", "tx", "ty", span(column(F.col("tx")), column(F.col("tx") + 1), grid.width).alias("bx"))
     spread = spread.select("*", span(row(F.col("ty") + 1), row(F.col("ty")), grid.height).alias("by"))
+    names = ["cx", "cy", *values]
+
+    def trim(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            kept: dict[str, list] = {c: [] for c in names}
+            for r in pdf.itertuples(index=False):
+                x, y = pixel_cells(r.z, r.tx, r.ty, grid)
+                keep = np.isin(r.cx, sampled(sample(x, grid.width))) & np.isin(r.cy, sampled(sample(y, grid.height)))
+                for c in names:
+                    kept[c].append(np.asarray(getattr(r, c))[keep])
+            yield pdf[["z", "tx", "ty"]].assign(**kept)
+
+    met = spread.join(packed, ["bx", "by"]).select("z", "tx", "ty", *names)
+    return met.mapInPandas(trim, met.schema)
+
+
+def drawn(tiles: DataFrame, cells: DataFrame, grid: Grid, values: list[str], sample, finish, schema: str, block: int = 64) -> DataFrame:
+    """finish(z, tx, ty, pixels) for each of tiles, pixels being the values of cells (cx, cy, values) weighted as sample says.
+
+    A tile is drawn at once: a group holds the cells that its pixels take, and pixels never become rows of a shuffle.
+    """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         z, tx, ty = (int(pdf[c].iloc[0]) for c in ("z", "tx", "ty"))
-        x, y = np.concatenate(pdf.cx.to_list()), np.concatenate(pdf.cy.to_list())
-        image = np.zeros((int(y.max() - y.min()) + 1, int(x.max() - x.min()) + 1, len(values)))
+        x, y = pixel_cells(z, tx, ty, grid)
+        across, down = sample(x, grid.width), sample(y, grid.height)
+        columns, rows = sampled(across), sampled(down)
+        image = np.zeros((len(rows), len(columns), len(values)))
+        at = np.searchsorted(rows, np.concatenate(pdf.cy.to_list())), np.searchsorted(columns, np.concatenate(pdf.cx.to_list()))
         for k, c in enumerate(values):
-            image[y - y.min(), x - x.min(), k] = np.concatenate(pdf[c].to_list())
-        return finish(z, tx, ty, draw(image, *pixel_cells(z, tx, ty, grid), int(x.min()), int(y.min()), grid))
+            image[at[0], at[1], k] = np.concatenate(pdf[c].to_list())
+        out = 0.0
+        for j, v in down:
+            for i, u in across:
+                out = out + image[np.searchsorted(rows, j)[:, None], np.searchsorted(columns, i)[None, :]] * (v[:, None] * u[None, :])[:, :, None]
+        return finish(z, tx, ty, out)
 
-    return spread.join(packed, ["bx", "by"]).groupBy("z", "tx", "ty").applyInPandas(one, schema)
+    return cells_under(tiles, cells, grid, values, sample, block).groupBy("z", "tx", "ty").applyInPandas(one, schema)
 
 
 def as_pixels(z: int, tx: int, ty: int, rgb: np.ndarray) -> pd.DataFrame:
@@ -247,16 +276,16 @@ PIXEL, PACKED = "z int, tx int, ty int, px int, py int, r int, g int, b int", "z
 def bilinear_pixels(tiles: DataFrame, colours: DataFrame, grid: Grid) -> DataFrame:
     """(z, tx, ty, px, py, r, g, b): the four cells round each pixel, weighted, truncated."""
     finish = lambda z, tx, ty, v: as_pixels(z, tx, ty, np.floor(v + 1e-9))
-    return drawn(tiles, colours, grid, ["r", "g", "b"], draw_bilinear, finish, PIXEL)
+    return drawn(tiles, colours, grid, ["r", "g", "b"], bilinear, finish, PIXEL)
 
 
 def pack_satellite(tiles: DataFrame, colours: DataFrame, grid: Grid) -> DataFrame:
     """(z, tx, ty, rgb): one binary of TILE * TILE * 3 bytes a tile, rows from north, colours between the cells' centres."""
     finish = lambda z, tx, ty, v: as_tile(z, tx, ty, np.floor(v + 1e-9))
-    return drawn(tiles, colours, grid, ["r", "g", "b"], draw_bilinear, finish, PACKED)
+    return drawn(tiles, colours, grid, ["r", "g", "b"], bilinear, finish, PACKED)
 
 
 def pack_tiles(tiles: DataFrame, field: DataFrame, grid: Grid) -> DataFrame:
     """(z, tx, ty, rgb): one binary of TILE * TILE * 3 bytes a tile, rows from north: elevations by the nearest cell."""
     coded = field.withColumn("c", terrain_rgb(F.col("elev"))).select("cx", "cy", "c.r", "c.g", "c.b")
-    return drawn(tiles, coded, grid, ["r", "g", "b"], draw_nearest, as_tile, PACKED)
+    return drawn(tiles, coded, grid, ["r", "g", "b"], nearest, as_tile, PACKED)
