@@ -35,3 +35,22 @@ def test_satellite_tiles_are_their_pixels(spark, cells):
     packed = np.frombuffer(t.pack_satellite(one, cells, GRID).first().rgb, np.uint8).reshape(256, 256, 3)
     pixels = t.bilinear_pixels(one, cells, GRID).toPandas()
     assert (packed[pixels.py, pixels.px] == pixels[["r", "g", "b"]].to_numpy()).all() and len(pixels) == 65_536
+
+
+@pytest.mark.parametrize("width, height", [(65, 129), (130, 64), (7, 5)])
+def test_blur_and_relief_over_blocks(spark, width, height):
+    rng = np.random.default_rng(width)
+    field = rng.uniform(-600, 4000, (height, width))
+    grid = Grid(0.0, 0.0, 1.0, width, height)
+    df = spark.createDataFrame([(x, y, float(field[y, x]), "kept") for y in range(height) for x in range(width)], "cx int, cy int, elev double, name string")
+    want = np.pad(field, 9, mode="symmetric")
+    for axis in (0, 1):
+        want = np.apply_along_axis(np.convolve, axis, want, t.kernel(9), "valid")
+    got = t.blur_field(df, grid).toPandas()
+    assert len(got) == width * height and np.allclose(want[got.cy, got.cx], got.elev)
+    edge = np.pad(field, 1, mode="edge")
+    # the edge itself counts as the cell beyond it
+    light = 1.0 + ((edge[1:-1, 2:] - edge[1:-1, :-2]) * t.LIGHT[0] + (edge[2:, 1:-1] - edge[:-2, 1:-1]) * t.LIGHT[1]) * t.SHADE_STRENGTH
+    shaded = t.relief_shade(df).toPandas()
+    assert set(shaded.name) == {"kept"} and len(shaded) == width * height
+    assert np.allclose(np.clip(light, *t.SHADE_RANGE)[shaded.cy, shaded.cx], shaded.shade)

@@ -7,8 +7,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .raster import CODES, Grid
 
@@ -51,22 +52,57 @@ def kernel(passes: int) -> list[float]:
     return [w / 3.0**passes for w in row]
 
 
-def blur_axis(cells: DataFrame, line: str, along: str, length: int, passes: int) -> DataFrame:
-    """One axis of the blur, one ordered pass over each line; the cells beyond the edges mirror those inside."""
-    fold = lambda p: p % (2 * length) if p % (2 * length) < length else 2 * length - 1 - p % (2 * length)
-    beyond = [(p, fold(p)) for p in (*range(-passes, 0), *range(length, length + passes))]
-    mirror = F.broadcast(cells.sparkSession.createDataFrame(beyond, "place int, source int"))
-    ghosts = cells.join(mirror, cells[along] == mirror["source"]).select(line, F.col("place").alias(along), "elev")
-    order = Window.partitionBy(line).orderBy(along)
-    near = lambda o: F.lead("elev", o).over(order) if o > 0 else F.lag("elev", -o).over(order) if o else F.col("elev")
-    total = sum((near(o) * w for o, w in zip(range(-passes, passes + 1), kernel(passes), strict=True)), F.lit(0.0))
-    every = cells.select(line, along, "elev").union(ghosts)
-    return every.select(line, along, total.alias("elev")).where(F.col(along).between(0, length - 1))
+#: Cells of a side of the blocks that fields are worked on in.
+BLOCK = 64
+
+
+def with_halo(cells: DataFrame, reach: int) -> DataFrame:
+    """cells with bx, by: once for each block of BLOCK by BLOCK cells that they are in or within reach of."""
+    near = lambda c: F.explode(F.sequence(F.floor((F.col(c) - reach) / BLOCK).cast("int"), F.floor((F.col(c) + reach) / BLOCK).cast("int")))
+    return cells.withColumn("bx", near("cx")).withColumn("by", near("cy"))
+
+
+def own_cells(rows: pd.DataFrame) -> np.ndarray:
+    """Which rows of a block with its halo are cells of the block itself."""
+    return ((rows.cx // BLOCK == rows.bx) & (rows.cy // BLOCK == rows.by)).to_numpy()
+
+
+def image_of(rows: pd.DataFrame) -> tuple[np.ndarray, int, int]:
+    """elev of rows as an array, and the cell of its first row and column."""
+    x0, y0 = int(rows.cx.min()), int(rows.cy.min())
+    image = np.full((int(rows.cy.max()) - y0 + 1, int(rows.cx.max()) - x0 + 1), np.nan)
+    image[rows.cy - y0, rows.cx - x0] = rows.elev
+    return image, x0, y0
 
 
 def blur_field(cells: DataFrame, grid: Grid, passes: int = 9) -> DataFrame:
-    """(cx, cy, elev): passes of a three-cell mean along rows and columns, edges mirrored, as one kernel an axis."""
-    return blur_axis(blur_axis(cells.select("cx", "cy", "elev"), "cy", "cx", grid.width, passes), "cx", "cy", grid.height, passes)
+    """(cx, cy, elev): passes of a three-cell mean along rows and columns, edges mirrored, as one kernel an axis.
+
+    Each block is blurred by itself with a halo as wide as the kernel reaches, which is less than a block.
+    """
+    weights = kernel(passes)
+
+    def axis(block: int, length: int, first: int) -> tuple[np.ndarray, int]:
+        """Where in the image the cells of a block and its halo lie, mirrored beyond the grid's edges, and how many are the block's."""
+        start, end = block * BLOCK, min((block + 1) * BLOCK, length)
+        p = np.arange(start - passes, end + passes) % (2 * length)
+        return np.where(p < length, p, 2 * length - 1 - p) - first, end - start
+
+    def blur(rows: pd.DataFrame) -> pd.DataFrame:
+        if not own_cells(rows).any():
+            return pd.DataFrame({"cx": [], "cy": [], "elev": []})
+        image, x0, y0 = image_of(rows)
+        bx, by = int(rows.bx.iat[0]), int(rows.by.iat[0])
+        (across, w), (down, h) = axis(bx, grid.width, x0), axis(by, grid.height, y0)
+        image = image[down][:, across]
+        along = sum((image[:, o : o + w] * weight for o, weight in enumerate(weights)), 0.0)
+        out = sum((along[o : o + h] * weight for o, weight in enumerate(weights)), 0.0)
+        y, x = np.mgrid[:h, :w]
+        return pd.DataFrame({"cx": (x + bx * BLOCK).ravel(), "cy": (y + by * BLOCK).ravel(), "elev": out.ravel()})
+
+    if passes > BLOCK:
+        raise ValueError(f"a kernel of {passes} passes reaches beyond the next block of {BLOCK} cells")
+    return with_halo(cells.select("cx", "cy", "elev"), passes).groupBy("bx", "by").applyInPandas(blur, "cx int, cy int, elev double")
 
 
 def elevation(cells: DataFrame, grid: Grid, passes: int = 9) -> DataFrame:
@@ -107,12 +143,23 @@ def latitude_factors(lat: Column) -> dict[str, Column]:
 
 
 def relief_shade(field: DataFrame) -> DataFrame:
-    """field with shade: light from the north-west on the central differences; edges count as flat outwards."""
-    row, column = Window.partitionBy("cy").orderBy("cx"), Window.partitionBy("cx").orderBy("cy")
-    e = F.col("elev")
-    step = lambda w: F.coalesce(F.lead(e).over(w), e) - F.coalesce(F.lag(e).over(w), e)
-    shade = 1.0 + (step(row) * LIGHT[0] + step(column) * LIGHT[1]) * SHADE_STRENGTH
-    return field.withColumn("shade", clamp(shade, *SHADE_RANGE))
+    """field with shade: light from the north-west on the central differences; edges count as flat outwards.
+
+    Each block is shaded by itself with the cells next to it.
+    """
+
+    def shade(rows: pd.DataFrame) -> pd.DataFrame:
+        own = own_cells(rows)
+        image, x0, y0 = image_of(rows)
+        image = np.pad(image, 1, constant_values=np.nan)
+        x, y = (rows.cx[own] - x0 + 1).to_numpy(), (rows.cy[own] - y0 + 1).to_numpy()
+        here = image[y, x]
+        at = lambda dy, dx: np.where(np.isnan(image[y + dy, x + dx]), here, image[y + dy, x + dx])
+        light = 1.0 + ((at(0, 1) - at(0, -1)) * LIGHT[0] + (at(1, 0) - at(-1, 0)) * LIGHT[1]) * SHADE_STRENGTH
+        return rows[own].drop(columns=["bx", "by"]).assign(shade=np.clip(light, *SHADE_RANGE))
+
+    schema = T.StructType([*field.schema, T.StructField("shade", T.DoubleType())])
+    return with_halo(field, 1).groupBy("bx", "by").applyInPandas(shade, schema)
 
 
 def mix(a: Column, b: Column, t: Column) -> Column:
