@@ -3,6 +3,7 @@
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -53,6 +54,9 @@ def test_query(spark, sf):
     want = brute([tuple(r) for r in docs])
     assert found(QUERIES["op11_minhash"](spark, f"/root/testdata/{sf}")) == sorted(want, key=repr)
     assert any(not x[3] for x in want)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '/root/testdata/{sf}/documents.parquet'")
+    assert sorted(db.execute(f"SELECT doc_id, n_shingles, component_id, kept FROM ({ORACLE_SQL['op11_minhash']})").fetchall()) == want
 
 
 def family(rng, size, edits, first=0):
