@@ -5,8 +5,10 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
+
 from wayloom.llm import spelling
-from wayloom.llm.queries import QUERIES
+from wayloom.llm.queries import ORACLE_SQL, QUERIES
 
 SCHEMA = "doc_id long, text string, word string, tile long, n int, near string"
 
@@ -55,6 +57,9 @@ def test_query(spark):
         got = found(QUERIES["op12_spelling"](spark, f"/root/testdata/{sf}"))
         assert got == brute([tuple(r) for r in docs])
         assert any(x[2] for x in got.values())
+        db = duckdb.connect()
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '/root/testdata/{sf}/documents.parquet'")
+        assert {r[0]: r[1:] for r in db.execute(f"SELECT word, n, n_near, form, form_n, root FROM ({ORACLE_SQL['op12_spelling']})").fetchall()} == got
 
 
 def test_edits_ties_chains(spark):

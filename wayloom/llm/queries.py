@@ -111,6 +111,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_spelling": op12_spelling,
     "op13_trie": op13_trie,
 }
+
+
+def crc_step(c: int) -> int:
+    """What four bits c add to a CRC-32."""
+    for _ in range(4):
+        c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+    return c
+
+
+#: The CRC-32 of a text s, by half bytes, the low one first.
+CRC = f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(strlen(hex(encode(s)))), lambda i: (strpos('0123456789ABCDEF', hex(encode(s))[xor(i, 1) + 1]) - 1)::BIGINT)),
+        lambda a, b: xor(a >> 4, ({[crc_step(c) for c in range(16)]}::BIGINT[])[(xor(a, b) & 15) + 1])), 4294967295)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op6_decontamination": r"""
 WITH d AS (
@@ -152,6 +165,28 @@ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id, doc_id AS root FROM d UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(root) AS component_id, d.doc_id = min(root) AS kept
 FROM d JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id, n
+""",
+    "op12_spelling": f"""
+WITH RECURSIVE t AS (
+    SELECT doc_id, run, count(*) AS k, concat(doc_id::VARCHAR, ':', run) AS s
+    FROM (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents)
+    WHERE length(run) >= 6 GROUP BY ALL
+), h AS (SELECT run, k, {CRC} AS h FROM t),
+w AS (
+    SELECT word, sum(k)::BIGINT AS n
+    FROM (SELECT k, CASE WHEN h % 199 = 0 THEN concat(substr(run, 1, h % length(run)), substr(run, h % length(run) + 2)) ELSE run END AS word FROM h)
+    WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5
+), g AS (SELECT word, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+d AS (SELECT g.word AS x, w.word AS y FROM g JOIN w ON w.word = g.a || g.b),
+p AS (
+    SELECT x.word AS word, y.word AS near FROM g AS x JOIN g AS y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+    UNION SELECT x, y FROM d UNION SELECT y, x FROM d
+), q AS (SELECT p.word, near, w.n AS near_n, row_number() OVER (PARTITION BY p.word ORDER BY w.n DESC, near) AS at, count(*) OVER (PARTITION BY p.word) AS n_near FROM p JOIN w ON w.word = near),
+f AS (
+    SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= 5 * w.n THEN near END AS form, CASE WHEN near_n >= 5 * w.n THEN near_n END AS form_n
+    FROM w LEFT JOIN q ON q.word = w.word AND q.at = 1
+), r AS (SELECT word, word AS at FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.at AND f.form IS NOT NULL)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, r.at AS root FROM f JOIN r ON r.word = f.word JOIN f AS last ON last.word = r.at AND last.form IS NULL
 """,
     "op13_trie": r"""
 WITH t AS (
