@@ -101,3 +101,20 @@ def test_thinning_is_greedy(spark):
         boxes.append((i, float(rng.randint(0, 4)), x, y, x + rng.uniform(5, 90), y + 14))
     df = spark.createDataFrame(boxes, "id long, priority double, x1 double, y1 double, x2 double, y2 double")
     assert {r.id for r in present.thin_labels(df).collect()} == plain_thinning(boxes)
+
+
+def test_thinning_writes_no_pairs_of_crowded_boxes(spark, monkeypatch):
+    """Some 700 neighbours a box, and many boxes at one place: what is written stays in proportion to the boxes."""
+    rng, written, keep = random.Random(2), [], present.checkpoint
+    spots = [(rng.uniform(0, 300), rng.uniform(0, 300)) for _ in range(2500)] + [(40.0, 50.0)] * 1500
+    boxes = [(i, float(rng.randint(0, 4)), x, y, x + 90, y + 40) for i, (x, y) in enumerate(spots)]
+
+    def counted(df):
+        written.append(keep(df))
+        return written[-1]
+
+    monkeypatch.setattr(present, "checkpoint", counted)
+    df = spark.createDataFrame(boxes, "id long, priority double, x1 double, y1 double, x2 double, y2 double")
+    got = [r.id for r in present.thin_labels(df.union(df.limit(1).selectExpr("-1L", "priority", "null", "y1", "x2", "y2"))).collect()]
+    assert len(got) == len(set(got)) and set(got) == plain_thinning(boxes) | {-1}
+    assert max(t.count() for t in written) < 10 * len(boxes)

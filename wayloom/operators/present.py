@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,30 +69,59 @@ def rank_modes(routes: DataFrame) -> DataFrame:
     return routes.withColumn("rank", F.row_number().over(order))
 
 
-def overlaps(boxes: DataFrame, size: float = 64.0) -> DataFrame:
-    """(hi, lo): pairs of boxes (id, priority, x1, y1, x2, y2) that overlap, by id, the more important first.
+BOX = ["id", "priority", "x1", "y1", "x2", "y2"]
+#: Side of the square buckets in which boxes meet, and how many boxes of a bucket are weighed against each other in a round.
+SIDE, FIRST = 64.0, 32
+MEET = "x1 < o_x2 AND o_x1 < x2 AND y1 < o_y2 AND o_y1 < y2"
+
+
+def dealt(boxes: DataFrame) -> DataFrame:
+    """boxes, once for each bucket (bx, by) that they touch."""
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / SIDE), F.floor(F.col(b) / SIDE)))
+    return boxes.withColumn("bx", span("x1", "x2")).withColumn("by", span("y1", "y2"))
+
+
+def others(cut: DataFrame) -> DataFrame:
+    return cut.select("bx", "by", *(F.col(c).alias(f"o_{c}") for c in BOX))
 
-    Boxes meet in the square buckets that they touch.
+
+def certain(top: DataFrame) -> list[DataFrame]:
+    """Ids, in parts, of the boxes that stay for certain; top has the first of each bucket (BOX, bx, by) among those undecided.
+
+    A box among the first of every bucket that it touches has met there all more important ones that overlap it. Rounds:
+    such a box without an undecided more important neighbour stays and hides the neighbours after it.
     """
-    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size)))
-    cut = boxes.withColumn("bx", span("x1", "x2")).withColumn("by", span("y1", "y2"))
-    other = cut.select("bx", "by", *(F.col(c).alias(f"o_{c}") for c in ("id", "priority", "x1", "y1", "x2", "y2")))
-    met = cut.join(other, ["bx", "by"]).where("x1 < o_x2 AND o_x1 < x2 AND y1 < o_y2 AND o_y1 < y2 AND (priority < o_priority OR (priority = o_priority AND id < o_id))")
-    return met.select(F.col("id").alias("hi"), F.col("o_id").alias("lo")).distinct()
+    buckets = lambda a, b: F.abs(F.floor(F.col(b) / SIDE) - F.floor(F.col(a) / SIDE)) + 1
+    whole = top.distinct().groupBy(*BOX).count().where(F.col("count") == buckets("x1", "x2") * buckets("y1", "y2"))
+    met = top.join(others(top), ["bx", "by"]).where(f"{MEET} AND (priority < o_priority OR (priority = o_priority AND id < o_id))")
+    ready, pairs, found = checkpoint(whole.select("id")), checkpoint(met.select(F.col("id").alias("hi"), F.col("o_id").alias("lo")).distinct()), []
+    while True:
+        stay = checkpoint(ready.join(pairs.select(F.col("lo").alias("id")), "id", "left_anti"))
+        if stay.isEmpty():
+            return found
+        found.append(stay)
+        hidden = pairs.join(stay.withColumnRenamed("id", "hi"), "hi", "left_semi").select(F.col("lo").alias("id"))
+        gone = checkpoint(stay.union(hidden).distinct())
+        ready = checkpoint(ready.join(gone, "id", "left_anti"))
+        pairs = checkpoint(pairs.join(gone.withColumnRenamed("id", "hi"), "hi", "left_anti").join(gone.withColumnRenamed("id", "lo"), "lo", "left_anti"))
 
 
 def thin_labels(boxes: DataFrame) -> DataFrame:
     """Ids of the boxes that stay when, from the most important on, each that overlaps one that stays is hidden.
 
-    Rounds: a box with no undecided more important neighbour stays and hides the neighbours after it.
+    boxes (BOX) are told apart by their ids. In each round the first boxes of every bucket are weighed against each
+    other, and those that stay hide all the boxes that they overlap. Boxes that stay do not overlap, so few share a
+    bucket: the work grows with the boxes, not with the pairs that overlap. A box with nulls stays and hides nothing.
     """
-    pairs, kept, left = checkpoint(overlaps(boxes)), None, checkpoint(boxes.select("id"))
+    known = reduce(and_, (F.col(c).isNotNull() for c in BOX))
+    kept, left = boxes.where(~known).select("id"), checkpoint(boxes.where(known).select(*BOX))
+    first = Window.partitionBy("bx", "by").orderBy("priority", "id")
     while not left.isEmpty():
-        stay = left.join(pairs.select(F.col("lo").alias("id")), "id", "left_anti")
-        hidden = pairs.join(stay.withColumnRenamed("id", "hi"), "hi", "left_semi").select(F.col("lo").alias("id")).distinct()
-        stay, hidden = checkpoint(stay), checkpoint(hidden)
-        kept = stay if kept is None else kept.union(stay)
-        gone = stay.union(hidden)
-        left = checkpoint(left.join(gone, "id", "left_anti"))
-        pairs = checkpoint(pairs.join(gone.withColumnRenamed("id", "hi"), "hi", "left_anti").join(gone.withColumnRenamed("id", "lo"), "lo", "left_anti"))
-    return boxes.select("id").limit(0) if kept is None else kept
+        cut = dealt(left)
+        top = checkpoint(cut.withColumn("n", F.row_number().over(first)).where(F.col("n") <= FIRST).drop("n"))
+        stay = reduce(DataFrame.union, certain(top))
+        kept = kept.union(stay)
+        stayed = others(top.join(stay, "id", "left_semi"))
+        hidden = cut.join(stayed, (cut["bx"] == stayed["bx"]) & (cut["by"] == stayed["by"]) & F.expr(MEET), "left_semi").select("id")
+        left = checkpoint(left.join(stay.union(hidden), "id", "left_anti"))
+    return kept
