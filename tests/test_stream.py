@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from wayloom.operators import lore
 from wayloom.streaming import revisions as rv
 
 DAY = dt.datetime(2024, 5, 1)
@@ -86,3 +87,16 @@ def test_replays_cost_no_batch_a_row_and_late_rows_end(spark, tmp_path):
     assert found(spark, place) == [("a", 1, "text 1"), ("b", 2, "text 2")]  # 89 days behind is later than the delay
     rows = spark.read.parquet(*(f"{place}/batch={n}" for n in rv._numbers(spark, place, "batch")))
     assert rows.count() == 3
+
+
+def test_texts_join_the_last_revisions_alone(spark):
+    """Revisions that name their texts: only the last ones ask for them."""
+    keys = spark.createDataFrame([(t, n, f"{t}{n}") for t in "abc" for n in range(50)], "title string, rev_no long, name string")
+    asked = spark.sparkContext.accumulator(0)
+
+    def add(rows):
+        asked.add(rows.count())
+        return rows.withColumn("text", F.when(F.col("title") == "c", "").otherwise(F.concat(F.lit("text of "), "name")))
+
+    assert sorted(map(tuple, lore.latest_revision(keys, add).collect())) == [("a", 49, "text of a49"), ("b", 49, "text of b49")]
+    assert asked.value == 3

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,13 +18,15 @@ DESCRIPTION = ("description", "geography", "layout", "the castle", "overview")
 SOURCE = "struct<wiki:string,title:string,url:string,canon:string,license:string>"
 
 
-def latest_revision(revisions: DataFrame) -> DataFrame:
+def latest_revision(revisions: DataFrame, with_text: Callable[[DataFrame], DataFrame] = lambda last: last) -> DataFrame:
     """(title, rev_no, text) of the last revision of each page; a page whose last text is empty goes.
 
-    The number is found first; texts join only for the last revisions, so that no aggregation carries texts.
+    The number is found first; texts join only for the last revisions, so that no aggregation carries texts. Where
+    revisions name their texts instead of holding them, with_text adds the column text to the last ones alone.
     """
     last = revisions.groupBy("title").agg(F.max("rev_no").alias("rev_no"))
-    return revisions.join(last, ["title", "rev_no"], "left_semi").where("text IS NOT NULL AND text <> ''").dropDuplicates(["title", "rev_no"]).select("title", "rev_no", "text")
+    found = with_text(revisions.join(last, ["title", "rev_no"], "left_semi"))
+    return found.where("text IS NOT NULL AND text <> ''").dropDuplicates(["title", "rev_no"]).select("title", "rev_no", "text")
 
 
 def wanted_titles(places: DataFrame) -> DataFrame:
