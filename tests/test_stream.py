@@ -100,3 +100,17 @@ def test_texts_join_the_last_revisions_alone(spark):
 
     assert sorted(map(tuple, lore.latest_revision(keys, add).collect())) == [("a", 49, "text of a49"), ("b", 49, "text of b49")]
     assert asked.value == 3
+
+
+def test_texts_join_the_last_revisions_of_a_batch_alone(spark, tmp_path):
+    rows = [("a", n, DAY) for n in range(40)] + [("b", 3, DAY), ("b", 3, DAY)]
+    spark.createDataFrame(rows, "title string, rev_no long, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "feed"))
+    feed = spark.readStream.schema("title string, rev_no long, ts timestamp").parquet(str(tmp_path / "feed"))
+    asked = spark.sparkContext.accumulator(0)
+
+    def add(last):
+        asked.add(last.count())
+        return last.withColumn("text", F.concat(F.lit("text "), F.col("rev_no").cast("string")))
+
+    got = rv.run_to_end(feed, spark.createDataFrame([("a",), ("b",)], "title string"), with_text=add)
+    assert sorted(map(tuple, got.collect())) == [("a", 39, "text 39"), ("b", 3, "text 3")] and asked.value == 2

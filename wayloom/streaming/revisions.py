@@ -1,15 +1,16 @@
 """A stream of page revisions, kept as a table of the latest of each wanted page.
 
-The stream's state holds keys and times alone, and lets go of them when the watermark passes. Texts pass through: each
-micro-batch writes the last revision of every page it names under its own number, so that a batch that runs again after
-a failure overwrites itself; every so often the batches are folded into a base. The table is the base and the batches
-after it, read by highest revision.
+The stream's state holds keys and times alone, and lets go of them when the watermark passes. Texts pass through, or
+join a micro-batch's last revisions if the stream only names them: each micro-batch writes the last revision of every
+page it names under its own number, so that a batch that runs again after a failure overwrites itself; every so often
+the batches are folded into a base. The table is the base and the batches after it, read by highest revision.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from ..functions.scratch import folder
 COLUMNS = "title string, rev_no long, text string"
 #: How far behind the latest event time a revision may come, and how many batches go into the next base.
 DELAY, FOLD = "30 days", 16
+#: Adds the column text to rows of revisions that name their texts.
+AddText = Callable[[DataFrame], DataFrame]
 
 
 def without_replays(revisions: DataFrame, wanted: DataFrame, delay: str = DELAY) -> DataFrame:
@@ -31,13 +34,14 @@ def without_replays(revisions: DataFrame, wanted: DataFrame, delay: str = DELAY)
     return met.dropDuplicatesWithinWatermark(["title", "rev_no"])
 
 
-def last_of(revisions: DataFrame) -> DataFrame:
+def last_of(revisions: DataFrame, with_text: AddText = lambda last: last) -> DataFrame:
     """(title, rev_no, text) of the highest revision of each title, empty texts included; of equal numbers the least text.
 
-    Numbers are found first, so that no aggregation carries the texts of older revisions.
+    Numbers are found first, so that no aggregation carries the texts of older revisions. Where revisions name their
+    texts instead of holding them, with_text adds the column text to the highest ones alone.
     """
     last = revisions.groupBy("title").agg(F.max("rev_no").alias("rev_no"))
-    return revisions.join(last, ["title", "rev_no"]).groupBy("title", "rev_no").agg(F.min("text").alias("text"))
+    return with_text(revisions.join(last, ["title", "rev_no"])).groupBy("title", "rev_no").agg(F.min("text").alias("text"))
 
 
 def _numbers(spark: SparkSession, place: str, kind: str) -> list[int]:
@@ -60,23 +64,23 @@ def pages(spark: SparkSession, place: str) -> DataFrame:
     return every_page(spark, place).where("text <> ''")
 
 
-def upsert(batch: DataFrame, number: int, place: str, fold: int = FOLD) -> None:
+def upsert(batch: DataFrame, number: int, place: str, fold: int = FOLD, with_text: AddText = lambda last: last) -> None:
     """Puts a micro-batch into the table at place; the same number again changes nothing."""
     spark = batch.sparkSession
-    last_of(batch.select("title", F.col("rev_no").cast("long").alias("rev_no"), "text")).write.mode("overwrite").parquet(f"{place}/batch={number}")
+    last_of(batch.withColumn("rev_no", F.col("rev_no").cast("long")), with_text).write.mode("overwrite").parquet(f"{place}/batch={number}")
     if (number + 1) % fold == 0:
         every_page(spark, place).write.mode("overwrite").parquet(f"{place}/base={number}")
 
 
-def keep_table(fresh: DataFrame, place: str, checkpoint: str, fold: int = FOLD) -> StreamingQuery:
+def keep_table(fresh: DataFrame, place: str, checkpoint: str, fold: int = FOLD, with_text: AddText = lambda last: last) -> StreamingQuery:
     """Starts to keep the table at place up to date with what has come; one table belongs to one checkpoint."""
     writer = fresh.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    return writer.foreachBatch(lambda batch, number: upsert(batch, number, place, fold)).start()
+    return writer.foreachBatch(lambda batch, number: upsert(batch, number, place, fold, with_text)).start()
 
 
-def run_to_end(revisions: DataFrame, wanted: DataFrame, delay: str = DELAY) -> DataFrame:
+def run_to_end(revisions: DataFrame, wanted: DataFrame, delay: str = DELAY, with_text: AddText = lambda last: last) -> DataFrame:
     """pages() after all that the stream revisions holds now, in a new table in the shared folder."""
     spark = revisions.sparkSession
     place = f"{folder(spark)}/streams/{uuid.uuid4().hex}"
-    keep_table(without_replays(revisions, wanted, delay), place, f"{place}-state").awaitTermination()
+    keep_table(without_replays(revisions, wanted, delay), place, f"{place}-state", with_text=with_text).awaitTermination()
     return pages(spark, place)
