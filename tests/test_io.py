@@ -39,3 +39,16 @@ def test_products(spark, tmp_path):
     assert {r.cy: bytes(r.classes) for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {0: b"\0\1\2", 1: b"\1\2\3"}
     tiles = spark.createDataFrame([(2, 0, 0, b"a"), (3, 0, 1, b"b")], "z int, tx int, ty int, rgb binary")
     assert tuple(io.write_tiles(tiles, str(tmp_path / "z")).first()) == (2, 3, 2)
+
+
+def test_pages_in_pieces(spark, tmp_path):
+    """Elements that hold pieces of a page, in any order; revisions are written without being gathered by page."""
+    (tmp_path / "d.xml").write_text(
+        "<export><page><title>T</title><first>2</first><revision><text>c</text></revision><revision><text></text></revision></page>"
+        "<page><title>T</title><revision><text>a</text></revision><revision><text>b</text></revision></page></export>"
+    )
+    read = io.read_revisions(spark, str(tmp_path / "d.xml")).orderBy("rev_no").collect()
+    assert [(r.title, r.rev_no, r.text) for r in read] == [("T", 0, "a"), ("T", 1, "b"), ("T", 2, "c"), ("T", 3, "")]
+    rows = [(t, n, f"<{t}> & {n}" if n % 7 else "") for t in ("T", "U & V") for n in range(50)]
+    io.write_revisions(spark.createDataFrame(rows, "title string, rev_no long, text string"), str(tmp_path / "e"))
+    assert sorted(map(tuple, io.read_revisions(spark, str(tmp_path / "e")).collect())) == sorted(rows)

@@ -49,11 +49,25 @@ def read_modes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return m, raw.select(F.explode("terrainCost").alias("cls", "cost"))
 
 
+def write_revisions(revisions: DataFrame, path: str) -> None:
+    """A page export in compressed XML from (title, rev_no, text).
+
+    A page may come in any number of elements, each of which says which revision it holds: no page has to fit into one
+    row, and texts stay where they are.
+    """
+    element = revisions.select("title", F.col("rev_no").alias("first"), F.array(F.struct(F.struct(F.col("text").alias("_VALUE")).alias("text"))).alias("revision"))
+    element.write.format("xml").option("rootTag", "export").option("rowTag", "page").option("compression", "gzip").save(path)
+
+
 def read_revisions(spark: SparkSession, path: str) -> DataFrame:
-    """(title, rev_no, text) from a page export in XML; revisions are numbered in the order of the document."""
-    schema = "title string, revision array<struct<text: struct<_VALUE: string>>>"
+    """(title, rev_no, text) from a page export in XML; revisions are numbered in the order of the document.
+
+    An element that holds a later piece of its page says in first what number its first revision has.
+    """
+    schema = "title string, first long, revision array<struct<text: struct<_VALUE: string>>>"
     pages = spark.read.format("xml").option("rowTag", "page").schema(schema).load(path)
-    return pages.select("title", F.posexplode("revision").alias("rev_no", "r")).select("title", F.col("rev_no").cast("long").alias("rev_no"), F.coalesce("r.text._VALUE", F.lit("")).alias("text"))
+    number = F.coalesce("first", F.lit(0)) + F.col("at")
+    return pages.select("title", "first", F.posexplode("revision").alias("at", "r")).select("title", number.cast("long").alias("rev_no"), F.coalesce("r.text._VALUE", F.lit("")).alias("text"))
 
 
 def read_page_cache(spark: SparkSession, path: str) -> DataFrame:
