@@ -1,3 +1,4 @@
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from wayloom.functions import wikitext as wt
@@ -31,3 +32,15 @@ def test_steps_in_the_jvm_are_those_of_the_whole(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     rows = df.select("t", wt.clean_lines(wt.strip_comments_refs_tags(F.col("t"))).alias("native")).collect()
     assert [r.native for r in rows] == [wt.clean(r.t) for r in rows]
+
+
+def test_sections_of_many_texts_come_in_small_batches(spark):
+    """3 000 texts of 10 kB in one task: what Python hands back at once is bounded by bytes, not by rows."""
+    body = "ab cd " * 1700
+    texts = spark.range(3000).coalesce(1).select("id", F.when(F.col("id") != 5, F.concat(F.col("id").cast("string"), F.lit(f"{body}\n== H ==\n{body}"))).alias("text"))
+    parsed = wt.split_sections(texts)
+    sizes = parsed.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches), "n long")
+    r = {r.id: r.a for r in parsed.where("id IN (5, 7)").collect()}
+    assert sizes.agg(F.sum("n")).first()[0] == 3000 and r[5].lead == "" and r[5].sections == [] and r[7].lead == ("7" + body).strip() and r[7].sections[0].text == body.strip()
+    run = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in run and "ArrowEvalPython" not in run

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import filterfalse
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from ..llm.common import slices
 
 SECTION = T.StructType([T.StructField("level", T.IntegerType()), T.StructField("title", T.StringType()), T.StructField("text", T.StringType())])
 ARTICLE = T.StructType([T.StructField("lead", T.StringType()), T.StructField("sections", T.ArrayType(SECTION))])
@@ -142,9 +146,22 @@ def clean_lines(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), java(BLANK_LINES), F.lit("\n\n")), ends, F.lit(""))
 
 
-@F.pandas_udf(ARTICLE)
-def split_sections(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([sections_of(t or "") for t in text], columns=["lead", "sections"])
+def split_sections(rows: DataFrame) -> DataFrame:
+    """rows with a, the lead and the sections (ARTICLE) of their column text.
+
+    Texts are parsed and handed back in runs of a few megabytes, however many rows come at once.
+    """
+    at, schema = rows.columns.index("text"), T.StructType([*rows.schema.fields, T.StructField("a", ARTICLE)])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, at):
+                articles = pa.array([sections_of(t or "") for t in part.column(at).to_pylist()], arrow.field("a").type)
+                kept = [column.cast(field.type) for column, field in zip(part.columns, arrow)]
+                yield pa.RecordBatch.from_arrays([*kept, articles], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
 
 
 def first_paragraphs(text: Column, n: int) -> Column:

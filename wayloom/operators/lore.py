@@ -64,7 +64,7 @@ def resolve_aliases(aliases: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame, headings: tuple[str, ...]) -> DataFrame:
     """pages (slug, title, text) with summary, description and history; redirects go, and empty texts count as null."""
-    parsed = pages.where(~is_redirect(F.col("text"))).withColumn("a", split_sections(F.col("text")))
+    parsed = split_sections(pages.where(~is_redirect(F.col("text"))))
     s = F.col("a.sections")
     history = F.coalesce(pick_section(s, headings), long_sections(s, DESCRIPTION))
     return parsed.select(
