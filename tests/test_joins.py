@@ -76,3 +76,15 @@ def test_rays_are_cast_in_touched_cells_alone(spark):
 def test_no_points_and_no_polygons(spark):
     points, edges = spark.createDataFrame([(1, 0.0, 0.0)], "k long, x double, y double"), spark.createDataFrame(polygons(1), SCHEMA)
     assert joins.pip_pairs(points, edges.limit(0)).count() == 0 and joins.pip_pairs(points.limit(0), edges).count() == 0
+
+
+def test_pairs_found_by_cells_are_neither_written_nor_shuffled(spark, monkeypatch):
+    """Each point lies in ten polygons of two parts that overlap: what is written is the points, once."""
+    written, keep = [], joins.checkpoint
+    box = [(-8, -8), (8, -8), (8, 8), (-8, 8)]
+    cut = spark.createDataFrame([e for fid in range(10) for part in (0, 1) for e in edges_of(fid, part, 0, box)], SCHEMA)
+    points = spark.range(4000).select(F.col("id").alias("k"), (F.rand(1) * 14 - 7).alias("x"), (F.rand(2) * 14 - 7).alias("y"))
+    monkeypatch.setattr(joins, "checkpoint", lambda df: written.append(keep(df)) or written[-1])
+    pairs = joins.pip_pairs(points, cut)
+    assert pairs.count() == pairs.distinct().count() == 40_000
+    assert max(t.count() for t in written) < 10_000

@@ -51,13 +51,18 @@ def pip_pairs(points: DataFrame, edges: DataFrame, size: float = 1.0) -> DataFra
     edges an odd number of times; it is in a polygon if it is in the shell of any part and in none of that part's
     holes. Polygons are dealt into square cells of that size: points in cells wholly inside are found by their cell
     alone, and only those in cells that an edge touches meet the edges of that part in their row of cells.
+
+    k tells points apart. A cell names a polygon that holds all of it once, and its other parts are not looked at there,
+    so pairs found by cells alone need no shuffle to come once.
     """
     rows = checkpoint(edge_rows(edges, size))
-    grid = location_grid(rows, size)
-    at = points.select("k", "x", "y", F.floor(F.col("x") / size).alias("i"), F.floor(F.col("y") / size).alias("j"))
-    met = checkpoint(at.join(grid, ["i", "j"]).select("k", "x", "y", "j", *POLYGON, "inside"))
-    sure = met.where("inside").select("k", *POLYGON[:-1])
-    return sure.union(ray_cast(met.where("NOT inside"), rows)).distinct()
+    grid, whole = checkpoint(location_grid(rows, size)), ["i", "j", *POLYGON[:-1]]
+    held = checkpoint(grid.where("inside").select(*whole).distinct())
+    touched = grid.where("NOT inside").join(held, whole, "left_anti")
+    at = checkpoint(points.select("k", "x", "y", F.floor(F.col("x") / size).alias("i"), F.floor(F.col("y") / size).alias("j")))
+    sure = at.join(held, ["i", "j"]).select("k", *POLYGON[:-1])
+    met = at.join(touched, ["i", "j"]).select("k", "x", "y", "j", *POLYGON)
+    return sure.union(ray_cast(met, rows).distinct())
 
 
 def ray_cast(met: DataFrame, rows: DataFrame) -> DataFrame:
