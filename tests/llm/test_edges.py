@@ -195,3 +195,27 @@ def test_broken_pages_take_time_in_proportion(piece):
         assert len(html.render(html.parse(page))) <= 100 * size
         took.append(time.time() - began)
     assert took[1] < 24 * took[0] + 2
+
+
+def shuffled_bytes(spark):
+    sc, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+    sc.listenerBus().waitUntilEmpty()
+    none = jvm.java.util.ArrayList()
+    stages = sc.statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_decontamination_shuffles_no_text_without_hits(spark):
+    rng = random.Random(7)
+    text = lambda n: " ".join(f"{rng.getrandbits(60):x}" for _ in range(n))
+    bad = text(20)
+    rows = [(i, bad if i % 100 == 0 else text(1500)) for i in range(400)]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, bad)], "item_id long, text string")
+    before, limit = shuffled_bytes(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = {r.doc_id: r.text for r in decontam.decontaminate(docs, items).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert kept == {i: t for i, t in rows if i % 100}
+    assert shuffled_bytes(spark) - before < 1_000_000  # the texts are of 9 MB

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialise, numbered
+from .common import bits_of, in_bits, lower_ascii, materialise, numbered
 
 WINDOW = 13
 #: Windows of a block; a block takes some 150 bytes a window in each executor.
@@ -67,6 +67,11 @@ def possible_hits(rows: DataFrame, grams: DataFrame, lengths: list[int]) -> Data
     return found
 
 
+def among(rows: DataFrame, some: DataFrame) -> DataFrame:
+    """rows with may: false if row is not among some (row). Only rows that may be need to be shuffled to join some."""
+    return in_bits(rows, F.xxhash64("row"), bits_of(some.select(F.xxhash64("row").alias("h"))))
+
+
 def contaminated_rows(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
     """(row, n_words, n_hit, spans, items) for each of rows (row, text)."""
     windows = windows_of(benchmark, item_col, item_text_col)
@@ -76,7 +81,8 @@ def contaminated_rows(rows: DataFrame, benchmark: DataFrame, item_col: str, item
     hit = F.when(F.col("start").isNotNull(), F.struct("start", "n", "gram"))
     per = materialise(possible.groupBy("row").agg(F.max("n_words").alias("n_words"), F.collect_list(hit).alias("hits")))
     # word for word, against the texts of rows with hits
-    texts = rows.join(per.where(F.size("hits") > 0).select("row", "hits"), "row").select("row", "hits", words_of(F.col("text")).alias("words"))
+    hit_rows = per.where(F.size("hits") > 0).select("row", "hits")
+    texts = among(rows, hit_rows.select("row")).where("may").join(hit_rows, "row").select("row", "hits", words_of(F.col("text")).alias("words"))
     # the words come in as an argument: named in the function they would be cut out anew for each hit
     same = lambda w: F.filter("hits", lambda x: F.array_join(F.slice(w, x["start"] + 1, x["n"]), " ") == x["gram"])
     sure = texts.select("row", F.get(F.transform(F.array("words"), same), F.lit(0)).alias("hits"))
@@ -116,5 +122,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """The rows of docs that are not contaminated, in their own columns; each row is judged by its own text alone."""
     rows = numbered(docs)
     found = contaminated_rows(rows.select("row", F.col("doc")[text_col].alias("text")), benchmark, "item_id", "text")
-    bad = found.where(is_contaminated(F.col("n_hit"), F.col("n_words"))).select("row")
-    return rows.join(bad, "row", "left_anti").select(*(F.col("doc")[c].alias(c) for c in docs.columns))
+    bad = materialise(found.where(is_contaminated(F.col("n_hit"), F.col("n_words"))).select("row"))
+    marked = among(rows, bad)
+    kept = marked.where("NOT may").union(marked.where("may").join(bad, "row", "left_anti").select(marked.columns))
+    return kept.select(*(F.col("doc")[c].alias(c) for c in docs.columns))

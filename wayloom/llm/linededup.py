@@ -21,15 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
-from .common import map_texts, materialise
+from .common import FILTER_WORDS, bits_of, in_bits, map_texts, materialise
 from .components import components
 
 SHINGLE, SIMILARITY = 9, 0.8
 BANDS, ROWS = 7, 4
 #: Lines of a block, and words of 64 bits in the sketch that bounds a pair's similarity.
 BLOCK, SKETCH = 256, 16
-#: Words of 64 bits in the broadcast filter; it has this many rows at most.
-FILTER_WORDS = 1 << 20
 NONE = np.iinfo(np.uint64).max
 #: The sector that each sector asks for its minimum when it is empty, turn by turn.
 TURNS = 256
@@ -143,14 +141,6 @@ def numbered(docs: DataFrame, text_col: str) -> DataFrame:
     return materialise(map_texts(rows, line_hashes, "packed binary, his array<long>, los array<long>, signed array<struct<hi: long, bands: array<long>>>"))
 
 
-def bits_of(ids: DataFrame) -> DataFrame:
-    """(word, bits): a filter of fixed size on the one column of longs of ids, FILTER_WORDS rows at most."""
-    c = F.col(ids.columns[0])
-    word = F.pmod(F.shiftright(c, 6), F.lit(FILTER_WORDS)).cast("int")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))
-    return ids.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-
-
 def bands_of(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode("signed").alias("s")).select(F.col("s.hi").alias("line"), F.explode("s.bands").alias("band"))
 
@@ -164,9 +154,7 @@ def buckets(all_bands: DataFrame, one_order: bool = False) -> DataFrame:
     """
     sizes = all_bands.groupBy("band").agg(F.min("line").alias("lo"), F.max("line").alias("hi"))
     sizes = materialise(sizes.where("lo < hi").select("band"))
-    word = F.pmod(F.shiftright("band", 6), F.lit(FILTER_WORDS)).cast("int")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("band").bitwiseAND(F.lit(63)).cast("int"))
-    met = all_bands.withColumn("word", word).join(F.broadcast(bits_of(sizes)), "word").where(F.col("bits").bitwiseAND(bit) != 0)
+    met = in_bits(all_bands, F.col("band"), bits_of(sizes)).where("may")
     shared = materialise(met.select("band", "line").join(sizes, "band").distinct())
     orders = [(F.lit(0).cast("long"), F.min)] if one_order else [(m, f) for m in (F.col("band"), F.shiftrightunsigned("band", 1)) for f in (F.min, F.max)]
     ends = [f(F.col("line").bitwiseXOR(m)).alias(f"c{k}") for k, (m, f) in enumerate(orders)]
