@@ -88,3 +88,48 @@ def test_pairs_found_by_cells_are_neither_written_nor_shuffled(spark, monkeypatc
     pairs = joins.pip_pairs(points, cut)
     assert pairs.count() == pairs.distinct().count() == 40_000
     assert max(t.count() for t in written) < 10_000
+
+
+def plain_nearest(points, vertices, most=math.inf):
+    found = {}
+    for k, x, y in points:
+        if x is not None and y is not None and not math.isnan(x):
+            d, idx, fid = min((math.hypot(x - vx, y - vy), idx, fid) for fid, idx, vx, vy in vertices if vx is not None)
+            if d <= most:
+                found[k] = (fid, idx, pytest.approx(d))
+    return found
+
+
+@pytest.mark.parametrize("most", [None, 1.5])
+def test_nearest_of_dense_and_sparse_vertices(spark, most):
+    rng = random.Random(4)
+    at = [(rng.gauss(0, 0.01), rng.gauss(0, 0.01)) for _ in range(300)] + [(rng.uniform(-60, 60), rng.uniform(-40, 40)) for _ in range(60)]
+    vertices = [(f"f{i % 9}", i % 9, x, y) for i, (x, y) in enumerate(at + at[:50])] + [("f0", 0, None, 1.0)]
+    points = at[::7] + [(rng.gauss(0, 0.02), rng.gauss(0, 0.02)) for _ in range(200)] + [(rng.uniform(-90, 90), rng.uniform(-60, 60)) for _ in range(100)]
+    points = [(k, x, y) for k, (x, y) in enumerate([*points, (None, 0.0), (float("nan"), 0.0)])]
+    df, targets = spark.createDataFrame(points, "k long, x double, y double"), spark.createDataFrame(vertices, "fid string, feature_idx int, x double, y double")
+    got = joins.nearest_vertex(df, targets, most=most).collect()
+    assert len(got) == len({r.k for r in got})
+    assert {r.k: (r.fid, r.feature_idx, r.degrees) for r in got} == plain_nearest(points, vertices, most or math.inf)
+
+
+def joined_rows(spark, first):
+    """The most rows that a join has given in the executions from the first on."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store, most = spark._jsparkSession.sharedState().statusStore(), 0
+    for e in range(first, store.executionsCount()):
+        nodes, values = store.planGraph(store.executionsList().apply(e).executionId()).allNodes(), store.executionMetrics(store.executionsList().apply(e).executionId())
+        for node in (nodes.apply(i) for i in range(nodes.size()) if "Join" in nodes.apply(i).name()):
+            for m in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most
+
+
+def test_a_point_meets_few_vertices_however_dense_they_lie(spark):
+    n = 3000
+    vertices = spark.range(n).select(F.lit("f").alias("fid"), F.lit(1).alias("feature_idx"), F.rand(1).alias("x"), F.rand(2).alias("y"))
+    points = spark.range(n).select(F.col("id").alias("k"), F.rand(3).alias("x"), F.rand(4).alias("y"))
+    first = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    assert joins.nearest_vertex(points, vertices).count() == n
+    assert n <= joined_rows(spark, first) < 30 * n

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from ..functions.scratch import checkpoint
 POLYGON = ["layer", "fid", "feature_idx", "part"]
 #: Cells this near to an edge count as touched by it.
 NEAR = 1e-9
+#: Vertices that share a bucket, on average, when points look for the nearest.
+FEW = 4
 
 
 def edge_rows(edges: DataFrame, size: float) -> DataFrame:
@@ -87,22 +91,39 @@ def pip_all_names(pairs: DataFrame, features: DataFrame, value: str) -> DataFram
     return met.groupBy("k").agg(F.sort_array(F.collect_set(value)).alias("found"))
 
 
+def bucket_size(targets: DataFrame, size: float, least: float) -> float:
+    """size, halved until a target (vx, vy) shares its square bucket with FEW on average, itself included, or least is passed."""
+    while size > least:
+        counts = targets.groupBy(F.floor(F.col("vx") / size).alias("i"), F.floor(F.col("vy") / size).alias("j")).agg(F.count("*").cast("double").alias("n"))
+        mean = counts.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 0.0
+        if mean <= FEW:
+            break
+        size /= 2 ** max(1, round(math.log2(mean / FEW) / 2))
+    return size
+
+
 def nearest_vertex(points: DataFrame, vertices: DataFrame, first_size: float = 2.0, most: float | None = None) -> DataFrame:
     """(k, fid, feature_idx, degrees) of the nearest vertex of vertices (fid, feature_idx, x, y) for each point (k, x, y).
 
     The lowest feature wins ties. Points and vertices meet in square buckets and their neighbours; a find within the
-    bucket size is certain, the other points try again with buckets twice as large. With most, only finds within that
-    distance count, and one round does. Points that find nothing have no row.
+    bucket size is certain, the other points try again with buckets twice as large. The first size is first_size or, where
+    vertices lie dense, so much smaller that a bucket has few of them: a point meets as many in a larger table. Vertices
+    at one place count once. With most, only finds within that distance count. Points that find nothing have no row, as
+    have those without coordinates.
     """
-    if most is not None:
-        first_size = most
-    targets = vertices.select("fid", "feature_idx", F.col("x").alias("vx"), F.col("y").alias("vy"))
+    real = lambda *names: " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in names)
+    targets = vertices.select("fid", "feature_idx", F.col("x").alias("vx"), F.col("y").alias("vy")).where(real("vx", "vy"))
+    targets = targets.groupBy("vx", "vy").agg(F.min(F.struct("feature_idx", "fid")).alias("v"))
+    targets = checkpoint(targets.select("v.fid", "v.feature_idx", "vx", "vy"))
     spans = targets.agg(F.min("vx"), F.max("vx"), F.min("vy"), F.max("vy")).first()
     if spans[0] is None:
         return points.select("k", F.lit(None).cast("string").alias("fid"), F.lit(None).cast("int").alias("feature_idx"), F.lit(None).cast("double").alias("degrees")).limit(0)
-    edge = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    left, found = points.select("k", "x", "y").where(real("x", "y")), None
+    edge = left.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     widest = 1.0 if edge[0] is None else 1.0 + max(max(edge[1], spans[1]) - min(edge[0], spans[0]), max(edge[3], spans[3]) - min(edge[2], spans[2]))
-    left, size, found = points.select("k", "x", "y"), first_size, None
+    if most is not None:
+        first_size = widest = most
+    size = bucket_size(targets, first_size, widest * 1e-9)
     while True:
         near = F.array(F.lit(-1), F.lit(0), F.lit(1)).cast("array<long>")
         spread = targets.withColumn("i", F.explode(near)).withColumn("j", F.explode(near))
@@ -111,11 +132,11 @@ def nearest_vertex(points: DataFrame, vertices: DataFrame, first_size: float = 2
         d = F.hypot(F.col("x") - F.col("vx"), F.col("y") - F.col("vy"))
         met = met.withColumn("degrees", d).where(F.col("degrees") <= size)
         best = met.groupBy("k").agg(F.min(F.struct("degrees", "feature_idx", "fid")).alias("b")).select("k", "b.fid", "b.feature_idx", "b.degrees")
-        if most is not None:
-            return best
         best = checkpoint(best)
         found = best if found is None else found.union(best)
+        if most is not None and size >= most:
+            return found
         left = checkpoint(left.join(best, "k", "left_anti"))
         if size > widest or left.isEmpty():
             return found
-        size *= 2
+        size = size * 2 if most is None else min(size * 2, most)
