@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import pytest
 
+from wayloom.llm import linededup
 from wayloom.llm.linededup import SHINGLE, SIMILARITY, bands, dedup_lines
 
 
@@ -118,3 +120,49 @@ def test_no_rows_and_very_long_lines(spark):
     rows = [(1, long), (2, long[:1000] + "y" + long[1000:]), (3, "".join(rng.choices("abcdefgh ", k=300_000)))]
     got = {r["doc_id"]: len(r["text"]) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1] and not got[2] and got[3]
+
+
+@pytest.mark.parametrize("job", ["bands", "sketches", "similar_pairs"])
+def test_hashing_holds_little_more_than_its_lines(job):
+    """Two megabytes of lines, the most that a worker takes at once; the arrays of all their shingles would take more."""
+    rng = random.Random(7)
+    lines = ["".join(rng.choices("abcdefgh ", k=400)) + "x" for _ in range(5000)]
+    run = {"bands": lambda: bands(lines), "sketches": lambda: linededup.sketches()(lines), "similar_pairs": lambda: linededup.similar_pairs()([{"x": x, "y": x} for x in lines])}[job]
+    tracemalloc.start()
+    try:
+        run()
+        assert tracemalloc.get_traced_memory()[1] < 48 * sum(map(len, lines)) / 2
+    finally:
+        tracemalloc.stop()
+
+
+def test_stretches_of_any_length_give_the_same(monkeypatch):
+    rng = random.Random(8)
+    lines = ["".join(rng.choices("abc本𝄞", k=rng.choice((1, 8, 9, 10, 40, 300)))) for _ in range(300)] + ["a" * 30, "abcdefghi", ""]
+    long = [x for x in lines if len(x) >= SHINGLE]
+    pairs = [{"x": x, "y": y} for x, y in zip(long, [y[1:] + "q" for y in long], strict=True)]
+    runs = []
+    for stretch in (1, 500, 1 << 30):
+        monkeypatch.setattr(linededup, "STRETCH", stretch)
+        runs.append((bands(long).tolist(), linededup.sketches()(lines), linededup.similar_pairs()(pairs)))
+    assert runs[0] == runs[1] == runs[2]
+    for (s,), p in zip(runs[0][2], pairs, strict=True):
+        x, y = shingles(p["x"]), shingles(p["y"])
+        assert s == len(x & y) / len(x | y)
+    assert [size for _, _, size, _ in runs[0][1]] == [len(shingles(x)) if len(x.strip()) >= SHINGLE else 0 for x in lines]
+
+
+def test_pairs_that_their_sketches_part_are_not_compared(spark, monkeypatch):
+    rng = random.Random(3)
+    base = ["".join(rng.choices("abcdefghij ", k=200)) for _ in range(30)]
+    lines = {k: x for k, x in enumerate([y.strip() for x in base for y in (x, x + "q", x[::-1])])}
+    rows = [(k, line, 0, size, sketch) for k, (line, _, size, sketch) in enumerate(linededup.sketches()(list(lines.values())))]
+    table = spark.createDataFrame(rows, "hi long, line string, lo long, size long, sketch array<long>")
+    pairs = spark.createDataFrame([(a, b) for a in lines for b in lines if a < b and a // 3 - b // 3 in (0, -1)], "a long, b long")
+    met = []
+    plain = linededup.map_texts
+    monkeypatch.setattr(linededup, "map_texts", lambda df, *args: (met.append(df.count()), plain(df, *args))[1])
+    got = {(r.a, r.b) for r in linededup.similar(pairs, table).collect()}
+    want = {(a, b) for a, b in pairs.collect() if len(shingles(lines[a]) & shingles(lines[b])) >= SIMILARITY * len(shingles(lines[a]) | shingles(lines[b]))}
+    assert got == want and len(want) >= 30
+    assert met == [len(want)]

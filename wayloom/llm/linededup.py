@@ -13,7 +13,7 @@ DataFrame functions alone. All grouping, joining and shuffling is Spark's.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import zstandard
@@ -26,6 +26,8 @@ from .components import components
 
 SHINGLE, SIMILARITY = 9, 0.8
 BANDS, ROWS = 7, 4
+#: Lines are hashed in stretches of about this many characters, whose arrays stay in the processor's cache.
+STRETCH = 1 << 14
 #: Lines of a block, and words of 64 bits in the sketch that bounds a pair's similarity.
 BLOCK, SKETCH = 256, 16
 NONE = np.iinfo(np.uint64).max
@@ -61,10 +63,33 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         run, width = run[:-width] * np.uint64(pow(FACTOR, width, 1 << 64)) + run[width:], 2 * width
     for k in range(width, SHINGLE):
         run = run[: len(x) - k] * np.uint64(FACTOR) + x[k:]
-    counts = np.maximum(sizes - SHINGLE + 1, 0)
-    owner = np.repeat(np.arange(len(lines)), counts)
-    shift = np.cumsum(sizes) - sizes - (np.cumsum(counts) - counts)
-    return owner, mixed(run[np.arange(len(owner)) + shift[owner]])
+    owner = np.repeat(np.arange(len(lines)), np.maximum(sizes - SHINGLE + 1, 0))
+    ends = np.cumsum(sizes)
+    over = ends[:, None] - np.arange(1, SHINGLE)  # where a run would leave its line
+    whole = np.ones(len(x), bool)
+    whole[over[over >= (ends - sizes)[:, None]]] = False
+    return owner, mixed(run[whole[: len(run)]])
+
+
+def stretches(lines: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """Runs of lines of about STRETCH characters, and the number of the first line of each; a longer line is one by itself."""
+    start, size = 0, 0
+    for end, line in enumerate(lines, 1):
+        size += len(line)
+        if size >= STRETCH or end == len(lines):
+            yield start, lines[start:end]
+            start, size = end, 0
+
+
+def shingle_sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, hash) of shingle_hashes() without repeats, the hashes of each line sorted."""
+    owner, h = shingle_hashes(lines)
+    ends = np.searchsorted(owner, np.arange(len(lines) + 1)).tolist()
+    for a, b in zip(ends, ends[1:], strict=False):
+        h[a:b].sort()
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    return owner[first], h[first]
 
 
 def filled(minima: np.ndarray) -> np.ndarray:
@@ -94,9 +119,10 @@ def filled(minima: np.ndarray) -> np.ndarray:
 def bands(lines: list[str]) -> np.ndarray:
     """The bands of normal lines of SHINGLE characters or more: a row of BANDS signed numbers for each."""
     sectors = BANDS * ROWS
-    owner, h = shingle_hashes(lines)
     minima = np.full(len(lines) * sectors, NONE, np.uint64)
-    np.minimum.at(minima, owner * sectors + ((h >> np.uint64(32)) * np.uint64(sectors) >> np.uint64(32)).astype(np.int64), h)
+    for start, part in stretches(lines):
+        owner, h = shingle_hashes(part)
+        np.minimum.at(minima, (owner + start) * sectors + ((h >> np.uint64(32)) * np.uint64(sectors) >> np.uint64(32)).astype(np.int64), h)
     minima = filled(minima.reshape(len(lines), sectors))
     out = np.empty((len(lines), BANDS), np.uint64)
     for b in range(BANDS):
@@ -191,16 +217,12 @@ def sketches() -> Callable[[list], list[tuple]]:
 
     def of(raw: list) -> list[tuple]:
         lines = [normal(r) for r in raw]
-        owner, h = shingle_hashes(lines)
-        order = np.lexsort((h, owner))
-        owner, h = owner[order], h[order]
-        first = np.ones(len(h), bool)
-        first[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-        owner, h = owner[first], h[first]
-        words = np.zeros(len(lines) * SKETCH, np.uint64)
-        place = owner * SKETCH + (h & np.uint64(SKETCH - 1)).astype(np.int64)
-        np.bitwise_xor.at(words, place, np.uint64(1) << (h >> np.uint64(8) & np.uint64(63)))
-        sizes = np.bincount(owner, minlength=len(lines)).tolist()
+        words, sizes = np.zeros(len(lines) * SKETCH, np.uint64), []
+        for start, part in stretches(lines):
+            owner, h = shingle_sets(part)
+            place = (owner + start) * SKETCH + (h & np.uint64(SKETCH - 1)).astype(np.int64)
+            np.bitwise_xor.at(words, place, np.uint64(1) << (h >> np.uint64(8) & np.uint64(63)))
+            sizes += np.bincount(owner, minlength=len(part)).tolist()
         los = np.array([xxh3_64_intdigest(x.encode()) for x in lines], np.uint64).view(np.int64).tolist()
         return list(zip(lines, los, sizes, words.view(np.int64).reshape(len(lines), SKETCH).tolist(), strict=True))
 
@@ -227,10 +249,10 @@ def similar_pairs() -> Callable[[list], list[tuple]]:
 
     def of(pairs: list) -> list[tuple]:
         lines = list(dict.fromkeys(line for p in pairs for line in (p["x"], p["y"])))
-        owner, h = shingle_hashes(lines)
-        ends = np.searchsorted(owner, np.arange(1, len(lines)))
-        sets = dict(zip(lines, map(np.unique, np.split(h, ends)), strict=True))
-        out = []
+        sets, out = {}, []
+        for _, part in stretches(lines):
+            owner, h = shingle_sets(part)
+            sets |= zip(part, np.split(h, np.searchsorted(owner, np.arange(1, len(part)))), strict=True)
         for p in pairs:
             x, y = sets[p["x"]], sets[p["y"]]
             both = np.concatenate((x, y))
@@ -244,8 +266,11 @@ def similar_pairs() -> Callable[[list], list[tuple]]:
 
 def similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """Those of pairs (a, b) with a Jaccard similarity of SIMILARITY or more."""
-    texts = lines.select("hi", "line")
-    both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", F.struct("x", "y").alias("pair"))
+    texts = [lines.select(F.col("hi").alias(end), F.struct("line", "size", "sketch").alias(side)) for end, side in ("ax", "by")]
+    both = pairs.join(texts[0], "a").join(texts[1], "b")
+    words = ([F.get(f"{side}.sketch", F.lit(k)) for k in range(SKETCH)] for side in "xy")
+    both = both.where(may_be_similar(*words, F.col("x.size"), F.col("y.size")))
+    both = both.select("a", "b", F.struct(F.col("x.line").alias("x"), F.col("y.line").alias("y")).alias("pair"))
     return map_texts(both, similar_pairs, "similarity double").where(F.col("similarity") >= SIMILARITY - 1e-9).select("a", "b")
 
 
